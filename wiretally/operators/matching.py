@@ -21,6 +21,7 @@ from wiretally.functions import packs
 from wiretally.functions.keys import strip_port
 
 FOLD_LIMIT = 200
+RULE_LIMIT = 2000
 AUTOMATON_BYTES = 64 * 1024 * 1024
 GRAM = 4
 
@@ -55,6 +56,9 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
         return False
 
 
+PLAIN_WORD = r"^\^(?:[A-Za-z0-9_\-]|\\\.)*\$$"
+
+
 def _plain_word(pattern: str) -> str | None:
     """The literal of an anchored pattern such as ``^name$`` (escaped dots allowed), else None."""
     m = re.fullmatch(r"\^((?:[A-Za-z0-9_\-]|\\\.)*)\$", pattern)
@@ -80,33 +84,61 @@ def lookup_first(df: DataFrame, key: Column, table: DataFrame, key_col: str, id_
     return df.withColumn("_key", key).join(side, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
 
 
-def rule_match(log: DataFrame, rules: DataFrame, kind: str, target: str, out: str) -> DataFrame:
-    """Add ``out``: id of the first active rule of a kind that hits the target column.
-
-    Anchored plain words are an equi-join once there are many; other patterns are folded.
+def _folded_rules(spark: SparkSession, target: Column, rows: list) -> Column:
+    """Lowest id among rules (``id, pattern`` in id order) that hit a lower-cased target."""
+    tests = []
+    for row in rows:
+        plain = target.contains(row.pattern.lower())
+        word = _plain_word(row.pattern)
+        if word is not None:
+            hit = (target == word) | plain
+        elif compiles(spark, row.pattern):
+            hit = target.rlike(java_regex(row.pattern)) | plain
+        else:
+            hit = plain
+        tests.append((row.id, hit))
+    return least_id(_folded(tests))
+
+
+def rule_match(log: DataFrame, rules: DataFrame, targets: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add one column per entry ``out: (kind, target column)``: id of the first active rule that hits.
+
+    A rule hits when its pattern is found in the lower-cased target, or the target contains the
+    pattern's own text; an invalid pattern only has the latter. Empty targets never match.
+    Up to ``RULE_LIMIT`` rules are folded into the plan. Beyond it, anchored plain words become an
+    equi-join and pattern texts a substring search; only true patterns stay folded, in blocks.
     """
     spark = log.sparkSession
-    active = rules.filter(F.col("active") & (F.col("kind") == kind)).select("id", "pattern")
-    words, general = [], []
-    for row in active.orderBy("id").toLocalIterator():
-        word = _plain_word(row.pattern)
-        (words if word is not None else general).append((row.id, row.pattern, word))
-    low = F.lower(F.col(target))
-    tests = []
-    for rid, pattern, _ in general:
-        plain = low.contains(pattern.lower())
-        tests.append((rid, low.rlike(java_regex(pattern)) | plain if compiles(spark, pattern) else plain))
-    for rid, pattern, word in words:
-        plain = low.contains(pattern.lower())
-        tests.append((rid, (low == word) | plain if len(words) <= FOLD_LIMIT else plain))
-    columns = _folded(sorted(tests, key=lambda t: t[0]))
+    active = rules.filter("active").select("id", "kind", "pattern")
+    rows = active.limit(RULE_LIMIT + 1).collect()
+    few = len(rows) <= RULE_LIMIT
     df = log
-    if len(words) > FOLD_LIMIT:
-        table = spark.createDataFrame([(w, i) for i, _, w in words], "word string, id long")
-        df = lookup_first(df, low, table, "word", "id", "_word_id")
-        columns.append(F.col("_word_id"))
-    usable = F.col(target).isNotNull() & (F.col(target) != "")
-    return df.withColumn(out, F.when(usable, least_id(columns))).drop("_word_id")
+    for out, (kind, target) in targets.items():
+        low = F.lower(F.col(target))
+        if few:
+            found = _folded_rules(spark, low, sorted((r for r in rows if r.kind == kind), key=lambda r: r.id))
+        else:
+            found, df = _many_rules(df, active.filter(F.col("kind") == kind), target, out)
+        usable = F.col(target).isNotNull() & (F.col(target) != "")
+        df = df.withColumn(out, F.when(usable, found)).drop(f"_low_{out}", f"_word_{out}", f"_text_{out}")
+    return df
+
+
+def _many_rules(df: DataFrame, rules: DataFrame, target: str, out: str) -> tuple[Column, DataFrame]:
+    spark = df.sparkSession
+    plain = F.col("pattern").rlike(PLAIN_WORD)
+    words = rules.filter(plain).select("id", F.regexp_replace(F.expr("substr(pattern, 2, length(pattern) - 2)"), r"\\\.", ".").alias("word"))
+    df = df.withColumn(f"_low_{out}", F.lower(target))
+    df = lookup_first(df, F.col(f"_low_{out}"), words, "word", "id", f"_word_{out}")
+    names = df.select(F.col(f"_low_{out}").alias("name")).filter("name IS NOT NULL").distinct()
+    needles = rules.select("id", F.lower("pattern").alias("needle"))
+    texts = substring_first(names, "name", needles, "name", "text_id").filter("text_id IS NOT NULL")
+    df = lookup_first(df, F.col(f"_low_{out}"), texts, "name", "text_id", f"_text_{out}")
+    general = sorted(rules.filter(~plain).toLocalIterator(), key=lambda r: r.id)
+    tests = [
+        (r.id, F.col(f"_low_{out}").rlike(java_regex(r.pattern))) for r in general if compiles(spark, r.pattern)
+    ]
+    return least_id([F.col(f"_word_{out}"), F.col(f"_text_{out}"), *_folded(tests)]), df
 
 
 def with_reason(df: DataFrame, rules: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -123,13 +155,11 @@ def match_blocked(
     table: str | None = None,
 ) -> DataFrame:
     """Connection check: database, then user, then table. Adds ``blocked, rule_id, reason``."""
-    df = rule_match(log, rules, "database", database, "_db_rule")
-    df = rule_match(df, rules, "username", username, "_user_rule")
-    order = [F.col("_db_rule"), F.col("_user_rule")]
+    targets = {"_db_rule": ("database", database), "_user_rule": ("username", username)}
     if table is not None:
-        df = rule_match(df, rules, "table", table, "_table_rule")
-        order.append(F.col("_table_rule"))
-    df = df.withColumn("rule_id", F.coalesce(*order)).drop("_db_rule", "_user_rule", "_table_rule")
+        targets["_table_rule"] = ("table", table)
+    df = rule_match(log, rules, targets)
+    df = df.withColumn("rule_id", F.coalesce(*targets)).drop(*targets)
     return with_reason(df, rules, "rule_id", "reason").withColumn("blocked", F.col("rule_id").isNotNull())
 
 
@@ -148,7 +178,7 @@ def substring_first(log: DataFrame, text: str, needles: DataFrame, key: str, out
     if size.n == 0:
         return log.withColumn(out, F.lit(None).cast("bigint"))
     if size.n <= FOLD_LIMIT:
-        rows = needles.orderBy("id").collect()
+        rows = sorted(needles.collect(), key=lambda r: r.id)
         return log.withColumn(out, least_id(_folded([(r.id, F.col(text).contains(r.needle)) for r in rows])))
     if size.bytes <= AUTOMATON_BYTES:
         return _by_automaton(log, text, needles, out)
@@ -184,7 +214,7 @@ def substring_by_grams(log: DataFrame, text: str, needles: DataFrame, key: str,
     Needles shorter than a gram are few by nature of their alphabet and are folded.
     """
     long_needles = needles.filter(F.length("needle") >= GRAM)
-    short = needles.filter(F.length("needle") < GRAM).orderBy("id").toLocalIterator()
+    short = sorted(needles.filter(F.length("needle") < GRAM).collect(), key=lambda r: r.id)
     folded = _folded([(r.id, F.col(text).contains(r.needle)) for r in short])
     last = F.length("needle") - GRAM + 1
     anchored = (  # the anchor is the needle's rarest gram among the needles: it spreads the join
@@ -197,28 +227,25 @@ def substring_by_grams(log: DataFrame, text: str, needles: DataFrame, key: str,
         .groupBy("id", "needle")
         .agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
     )
-    grams = log.filter(F.length(text) >= GRAM).select(
-        key,
-        F.col(text).alias("_text"),
+    # one distinct row per (text, gram); the texts themselves are joined back by key only
+    grams = log.select(
+        F.col(key).alias("_gk"),
         F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(text) - (GRAM - 1)),
-                    lambda p: F.substring(F.col(text), p, F.lit(GRAM)),
-                )
-            )
+            F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
         ).alias("gram"),
     )
+    candidates = grams.join(anchors, "gram").select("_gk", "id", "needle")
     hits = (
-        grams.join(anchors, "gram")
+        log.select(F.col(key).alias("_tk"), F.col(text).alias("_text"))
+        .join(candidates, F.col("_tk") == F.col("_gk"))
         .filter(F.col("_text").contains(F.col("needle")))
-        .groupBy(key)
+        .groupBy("_tk")
         .agg(F.min("id").cast("bigint").alias("_gram_id"))
     )
     return (
-        log.join(hits, key, "left")
+        log.join(hits, F.col(key) == F.col("_tk"), "left")
         .withColumn(out, least_id([*folded, F.col("_gram_id")]))
-        .drop("_gram_id")
+        .drop("_gram_id", "_tk")
     )
 
 
@@ -261,7 +288,7 @@ def match_threats(
     df = df.withColumn("_low", F.lower(query))
     needles = of_type(*SUBSTRING_TYPES).select("id", F.lower("value").alias("needle"))
     df = substring_first(df, "_low", needles, key, "_text_id")
-    patterns = of_type("pattern").select("id", "value").orderBy("id").toLocalIterator()
+    patterns = sorted(of_type("pattern").select("id", "value").toLocalIterator(), key=lambda r: r.id)
     tests = [
         (r.id, F.col("_low").rlike(java_regex(r.value))) for r in patterns if compiles(spark, r.value)
     ]
