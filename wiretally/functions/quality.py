@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 Rule = Callable[[Column], Column]
 
@@ -225,7 +226,7 @@ def url(schemes: tuple[str, ...] = ("http", "https"), require_tld: bool = True)
     return rule
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """IPv6 texts have no workable single pattern; Arrow batches through the address parser."""
     from ipaddress import AddressValueError, IPv6Address

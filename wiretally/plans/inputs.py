@@ -75,7 +75,7 @@ _INDICATORS = """
       WHEN 1 THEN 'USER_' || (c_custkey * 3) WHEN 2 THEN 'ID = ' || (c_custkey * 4) || ' OR'
       WHEN 3 THEN 'oid' || c_custkey WHEN 4 THEN 'curl' ELSE 'total = ' || c_custkey || ' ' END AS value,
     CASE c_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS threat_level,
-    CAST(c_acctbal AS INT) % 100 / 100.0 AS confidence,
+    CAST(floor(c_acctbal) AS INT) % 100 / 100.0 AS confidence,
     'feed' || (c_nationkey % 5) AS feed,
     c_custkey % 11 <> 0 AS active
   FROM customer
@@ -141,7 +141,7 @@ _CACHE_LOG = """
 _CACHE_ENTRIES = """
   SELECT o_orderkey AS entry_id, 'k' || o_orderkey AS cache_key, 'table' || (o_custkey % 50) AS table,
     'db' || (o_custkey % 4) AS database,
-    o_orderdate AS created_at, CAST(o_totalprice AS BIGINT) AS size, 86400 * (o_orderkey % 900) AS ttl_s
+    o_orderdate AS created_at, CAST(floor(o_totalprice) AS BIGINT) AS size, 86400 * (o_orderkey % 900) AS ttl_s
   FROM orders
 """
 
