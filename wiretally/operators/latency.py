@@ -345,8 +345,9 @@ def ema_series(
         partial.select(F.col(key).alias("k"), F.col(SLICE).alias("s"), F.col("_n").alias("n"), F.col("_e").alias("e"))
         .groupBy("k")
         .applyInPandas(chain, f"k {key_type}, s long, entry double")
+        .withColumnsRenamed({"k": "_ek", "s": "_es", "entry": "_entry"})
     )
-    joined = rows.join(entry, (F.col(key) == F.col("k")) & (F.col(SLICE) == F.col("s")), "left").drop("k", "s")
+    joined = rows.join(entry, (F.col(key) == F.col("_ek")) & (F.col(SLICE) == F.col("_es")), "left").drop("_ek", "_es")
     ordered = joined.repartition(key, SLICE).sortWithinPartitions(key, SLICE, ts, tie)
     columns = list(df.columns)
 
@@ -354,7 +355,7 @@ def ema_series(
         at, level = None, start
         for pdf in batches:
             out = []
-            for here, entered, x in zip(zip(pdf[key], pdf[SLICE]), pdf["entry"], pdf[value]):
+            for here, entered, x in zip(zip(pdf[key], pdf[SLICE]), pdf["_entry"], pdf[value]):
                 if here != at:
                     at, level = here, entered
                 level = alpha * x + keep * level

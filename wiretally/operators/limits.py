@@ -342,9 +342,10 @@ def replay(
             entered = entered.withColumn(n, F.lit(None).cast("long"))
     else:
         entry = _entry_states(rows, machine, key, active, slice_us)
+        entry = entry.withColumnsRenamed({"k": "_ek", "slice": "_es"})
         entered = rows.join(
-            entry, (F.col(key) == F.col("k")) & (F.col("_slice") == F.col("slice")), "left"
-        ).drop("k", "slice")
+            entry, (F.col(key) == F.col("_ek")) & (F.col("_slice") == F.col("_es")), "left"
+        ).drop("_ek", "_es")
     ordered = entered.repartition(key, "_slice").sortWithinPartitions(key, "_slice", "_t", tie)
     schema = T.StructType([*df.schema.fields, *outputs.fields])
     out_names = outputs.fieldNames()

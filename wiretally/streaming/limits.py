@@ -34,14 +34,14 @@ class LimiterProcessor(StatefulProcessor):
         self.state = handle.getValueState("limiter", T.StructType(fields), self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["_t", self.tie])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", self.tie])
         stored = self.state.get() if self.state.exists() else None
         state = None if stored is None or stored[0] is None else tuple(int(v) for v in stored[:-1])
         seen = None if stored is None else int(stored[-1])
         names = self.machine.outputs.fieldNames()
         results, late = [], []
-        params = batch["_param"].tolist()
-        for i, t in enumerate(batch["_t"].tolist()):
+        params = batch["limiter_param"].tolist()
+        for i, t in enumerate(batch["event_us"].tolist()):
             late.append(seen is not None and t < seen)
             if late[-1]:
                 results.append(self.machine.unlimited)
@@ -66,8 +66,8 @@ def limit_stream(
 ) -> DataFrame:
     """Add the machine's outputs and ``late`` to a stream; rows with a null key must be split off before."""
     columns = list(stream.columns)
-    prepared = stream.withColumn("_t", F.unix_micros(ts)).withColumn(
-        "_param", (F.col(param) if param else F.lit(None)).cast("long")
+    prepared = stream.withColumn("event_us", F.unix_micros(ts)).withColumn(
+        "limiter_param", (F.col(param) if param else F.lit(None)).cast("long")
     )
     schema = T.StructType([*stream.schema.fields, *machine.outputs.fields, T.StructField("late", T.BooleanType())])
     processor = LimiterProcessor(machine, columns, tie, None if ttl_seconds is None else ttl_seconds * 1000)
@@ -91,7 +91,7 @@ class StickyProcessor(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["_t", self.tie])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", self.tie])
         held = int(self.backend.get()[0]) if self.backend.exists() else None
         backends, hits = [], []
         for proposed, unhealthy in zip(batch["backend_id"].tolist(), batch["unhealthy_ids"].tolist()):
@@ -117,7 +117,7 @@ def sticky_stream(
 ) -> DataFrame:
     """Session affinity on a routed stream: ``backend_id`` (long), ``unhealthy_ids`` (ids known to be down)."""
     columns = list(stream.columns)
-    prepared = stream.withColumn("_t", F.unix_micros(ts))
+    prepared = stream.withColumn("event_us", F.unix_micros(ts))
     return prepared.groupBy(ip, port).transformWithStateInPandas(
         statefulProcessor=StickyProcessor(columns, tie, None if ttl_seconds is None else ttl_seconds * 1000),
         outputStructType=T.StructType([*stream.schema.fields, T.StructField("session_hit", T.BooleanType())]),
