@@ -133,7 +133,7 @@ def read_openioc(spark: SparkSession, path: str) -> DataFrame:
         .filter(F.col("has_context") & (_or_empty(F.col("value")) != ""))
     )
     local = lambda name: f"//*[local-name()='{name}']"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     first = lambda name: F.xpath_string("value", F.lit(f"({local(name)})[1]"))
     documents = text.select(
         F.col("_metadata.file_path").alias("_file"),

@@ -30,7 +30,7 @@ def describe_scripts(scripts: DataFrame, content: str = "content") -> DataFrame:
 
 
 def scan_sql_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.sql")
     return describe_scripts(
         files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
     )
