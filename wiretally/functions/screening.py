@@ -53,8 +53,30 @@ def found(text: Column, pattern: str, *, ascii_words: bool = True) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def words_regex(patterns: list[str]) -> str:
+    """One regex for patterns that all start with a word edge and a letter, keyed by first letter.
+
+    A text position that starts no word fails at once; one that does only tries the alternatives
+    of its letter. Much cheaper than one scan per pattern, and small in generated code.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for p in dict.fromkeys(patterns):
+        by_letter.setdefault(p[2], []).append(p[3:])
+    heads = []
+    for letter, rests in sorted(by_letter.items()):
+        bodies = [ascii_boundary("x" + rest)[len("(?d)x") :] for rest in rests]
+        heads.append(f"{letter}(?:{'|'.join(bodies)})")
+    return f"(?d)(?<![{_WORD}])(?:{'|'.join(heads)})"
+
+
 def any_group(text: Column, groups: list[list[str]]) -> Column:
-    return reduce(lambda a, b: a | b, [found(text, p) for group in groups for p in group])
+    """Whether any pattern of any group is found."""
+    patterns = list(dict.fromkeys(p for group in groups for p in group))
+    words = [p for p in patterns if re.match(r"\\b[a-z]", p) and ".*" not in p]
+    tests = [found(text, p) for p in patterns if p not in words]
+    if words:
+        tests.insert(0, text.rlike(words_regex(words)))
+    return reduce(lambda a, b: a | b, tests)
 
 
 def count_of(text: Column, needle: str) -> Column:
@@ -77,11 +99,15 @@ def _heuristic_hits(low: Column) -> Column:
     return reduce(lambda a, b: a + b, [c.cast("int") for _, c in _heuristics(low)])
 
 
-def is_sql_injection(query: Column) -> Column:
-    low = F.lower(query)
+def injection_found(low: Column) -> Column:
+    """Injection flag of an already lower-cased query."""
     return any_group(low, packs.INJECTION_GROUPS) | (_heuristic_hits(low) >= 2)
 
 
+def is_sql_injection(query: Column) -> Column:
+    return injection_found(F.lower(query))
+
+
 def is_shell_command(query: Column) -> Column:
     return any_group(F.lower(query), packs.SHELL_GROUPS)
 

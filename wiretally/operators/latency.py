@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiretally.functions import fingerprint as fp
 from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, SLICE, ema_final, with_slice
@@ -156,7 +158,10 @@ def _assembled(df: DataFrame) -> DataFrame:
 
 
 def fit_latency(df: DataFrame, *, label: str = "latency") -> LinearRegressionModel | None:
-    """Least squares over the ten features plus bias; none below the minimum of samples."""
+    """Least squares over the ten features plus bias; none below the minimum of samples.
+
+    The solver passes over the rows more than once: persist the features before.
+    """
     if len(df.limit(MIN_SAMPLES).take(MIN_SAMPLES)) < MIN_SAMPLES:
         return None
     return LinearRegression(
@@ -319,8 +324,6 @@ def ema_series(
     Slices carry their entry value from a per-slice closed form; inside a slice rows stream in
     order through one pass that holds a single number.
     """
-    import pandas as pd
-
     keep = 1.0 - alpha
     rows = with_slice(df, ts, slice_seconds)
     back = F.row_number().over(W.partitionBy(key, SLICE).orderBy(F.col(ts).desc(), F.col(tie).desc())) - 1
@@ -334,17 +337,22 @@ def ema_series(
     )
     key_type = df.schema[key].dataType.simpleString()
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, out = start, []
-        for row in pdf.sort_values("s").itertuples(index=False):
-            out.append((row.k, row.s, level))
-            level = row.e + level * keep**row.n
-        return pd.DataFrame(out, columns=["k", "s", "entry"])
+    def chain(batches):
+        at, level = None, start
+        for pdf in batches:  # sorted by key, slice
+            out = []
+            for k, s, n, e in zip(*[pdf[c].tolist() for c in ("k", "s", "n", "e")]):
+                if k != at:
+                    at, level = k, start
+                out.append((k, s, level))
+                level = e + level * keep**n
+            yield pd.DataFrame(out, columns=["k", "s", "entry"])
 
     entry = (
         partial.select(F.col(key).alias("k"), F.col(SLICE).alias("s"), F.col("_n").alias("n"), F.col("_e").alias("e"))
-        .groupBy("k")
-        .applyInPandas(chain, f"k {key_type}, s long, entry double")
+        .repartition("k")
+        .sortWithinPartitions("k", "s")
+        .mapInPandas(chain, f"k {key_type}, s long, entry double")
         .withColumnsRenamed({"k": "_ek", "s": "_es", "entry": "_entry"})
     )
     joined = rows.join(entry, (F.col(key) == F.col("_ek")) & (F.col(SLICE) == F.col("_es")), "left").drop("_ek", "_es")
@@ -355,11 +363,12 @@ def ema_series(
         at, level = None, start
         for pdf in batches:
             out = []
-            for here, entered, x in zip(zip(pdf[key], pdf[SLICE]), pdf["_entry"], pdf[value]):
+            heres = zip(pdf[key].tolist(), pdf[SLICE].tolist())
+            for here, entered, x in zip(heres, pdf["_entry"].tolist(), pdf[value].tolist()):
                 if here != at:
                     at, level = here, entered
                 level = alpha * x + keep * level
                 out.append(level)
             yield pdf[columns].assign(ema=out)
 
-    return ordered.mapInPandas(run, df.schema.add("ema", "double"))
+    return ordered.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())]))

@@ -267,42 +267,60 @@ def _entry_states(rows: DataFrame, machine, key: str, active: str | None, slice_
     key_type = rows.schema[key].dataType.simpleString()
     names = list(machine.state)
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["_t"].to_numpy())
-        number = int(pdf["_slice"].iloc[0])
-        param = pdf["_param"].iloc[0]
-        found = machine.summarise(ts, number * slice_us, None if pd.isna(param) else int(param))
-        return pd.DataFrame(
-            {
-                "k": [pdf["k"].iloc[0]],
-                "slice": [number],
-                "param": pd.array([None if pd.isna(param) else int(param)], dtype="Int64"),
-                **{p: [found.get(p, [])] for p in _PAYLOAD},
-            }
-        )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for row in pdf.sort_values("slice").itertuples(index=False):
-            out.append((row.k, row.slice, *(state or (None,) * len(names))))
-            table = {p: [int(v) for v in getattr(row, p)] for p in _PAYLOAD}
-            state = machine.advance(state, table, None if pd.isna(row.param) else int(row.param))
-        frame = pd.DataFrame(out, columns=["k", "slice", *names])
-        return frame.astype({n: "Int64" for n in names})
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table(key, number, param, parts):
+            found = machine.summarise(np.concatenate(parts), number * slice_us, param)
+            return (key, number, param, *[found.get(p, []) for p in _PAYLOAD])
+
+        open_at, param, parts = None, None, []
+        for pdf in batches:  # sorted by key, slice, time: a slice is whole when the next one starts
+            keys, numbers, times = pdf["k"].to_numpy(), pdf["_slice"].to_numpy(), pdf["_t"].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+            out = []
+            for start, end in zip([0, *cuts], [*cuts, len(pdf)]):
+                here = (keys[start], int(numbers[start]))
+                if here != open_at:
+                    if open_at is not None:
+                        out.append(table(*open_at, param, parts))
+                    value = pdf["_param"].iat[start]
+                    open_at, param, parts = here, None if pd.isna(value) else int(value), []
+                parts.append(times[start:end])
+            yield _frame(out, ["k", "slice", "param", *_PAYLOAD], ["param"])
+        if open_at is not None:
+            yield _frame([table(*open_at, param, parts)], ["k", "slice", "param", *_PAYLOAD], ["param"])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for pdf in batches:  # sorted by key, slice
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.k != at:
+                    at, state = row.k, None
+                out.append((row.k, row.slice, *(state or (None,) * len(names))))
+                payload = {p: getattr(row, p).tolist() for p in _PAYLOAD}
+                state = machine.advance(state, payload, None if pd.isna(row.param) else int(row.param))
+            yield _frame(out, ["k", "slice", *names], names)
 
     tables = (
         used.select(F.col(key).alias("k"), "_slice", "_t", "_param")
-        .groupBy("k", "_slice")
-        .applyInPandas(
+        .repartition("k", "_slice")
+        .sortWithinPartitions("k", "_slice", "_t")
+        .mapInPandas(
             summarise,
             f"k {key_type}, slice long, param long, " + ", ".join(f"{p} array<long>" for p in _PAYLOAD),
         )
     )
-    return tables.groupBy("k").applyInPandas(
-        chain, f"k {key_type}, slice long, " + ", ".join(f"{n} long" for n in names)
+    return (
+        tables.repartition("k")
+        .sortWithinPartitions("k", "slice")
+        .mapInPandas(chain, f"k {key_type}, slice long, " + ", ".join(f"{n} long" for n in names))
     )
 
 
+def _frame(rows: list[tuple], columns: list[str], nullable: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns).astype({n: "Int64" for n in nullable})
+
+
 def replay(
     df: DataFrame,
     machine,

@@ -90,16 +90,12 @@ def slot_map(nodes: DataFrame) -> DataFrame:
         .groupBy(F.col("master_id").alias("_m"))
         .agg(F.min("node_id").alias("replica"))
     )
+    first, last = F.greatest(F.col("r.start"), F.lit(0)), F.least(F.col("r.end"), F.lit(SLOTS - 1))
     owned = (
         nodes.filter("is_master")
         .select("node_id", "healthy", F.explode("slots").alias("r"))
-        .select(
-            "node_id",
-            "healthy",
-            F.explode(
-                F.sequence(F.greatest(F.col("r.start"), F.lit(0)), F.least(F.col("r.end"), F.lit(SLOTS - 1)))
-            ).alias("slot"),
-        )
+        .filter(first <= last)  # a sequence would count down
+        .select("node_id", "healthy", F.explode(F.sequence(first, last)).alias("slot"))
         .groupBy("slot")
         .agg(F.max(F.struct("node_id", "healthy")).alias("n"))
     )

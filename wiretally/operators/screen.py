@@ -10,6 +10,13 @@ from wiretally.functions import screening as S
 from wiretally.functions.screening import count_of
 
 
+def flag_injections(log: DataFrame, query: str = "query") -> DataFrame:
+    """Add ``injection``; the text is lower-cased once per row, not once per pattern."""
+    return (
+        log.withColumn("_low", F.lower(query)).withColumn("injection", S.injection_found(F.col("_low"))).drop("_low")
+    )
+
+
 def classify_queries(log: DataFrame, query: str = "query") -> DataFrame:
     """Add ``flagged, kind, detail``; each pattern is evaluated once per row."""
     return (

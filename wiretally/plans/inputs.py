@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wiretally.session import spread
+
 AS_OF = "2024-01-20 00:00:00"
+TEXT_TABLES = ("documents", "pages", "conversations")  # little to read, much to compute per row
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +17,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def as_of():
@@ -168,7 +171,8 @@ _SOURCE = {
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source = _SOURCE.get(name, "events")
     text = DERIVED[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", "FROM {source}")
-    return spark.sql(text, source=load(spark, sf_dir, source))
+    table = load(spark, sf_dir, source)
+    return spark.sql(text, source=spread(table) if name == "query_log" else table)
 
 
 def ctes(*names: str) -> str:

@@ -283,14 +283,14 @@ def _(spark, sf):
 
 @query("latency_fit")
 def _(spark, sf):
-    df = with_features(spark, sf)
+    df = with_features(spark, sf).persist()
     model = L.fit_latency(df)
     return L.predict_latency(model, df).select("log_id", "latency", F.round("predicted", 6).alias("predicted"))
 
 
 @query("latency_fit_accuracy")
 def _(spark, sf):
-    df = with_features(spark, sf)
+    df = with_features(spark, sf).persist()
     return L.fit_accuracy(L.predict_latency(L.fit_latency(df), df).filter("latency > 0"))
 
 

@@ -107,8 +107,8 @@ def _(spark, sf):
     FROM (SELECT log_id, lower(query) AS low FROM query_log)""",
 )
 def _(spark, sf):
-    log = derive(spark, sf, "query_log")
-    return log.select("log_id", S.is_sql_injection(F.col("query")).alias("injection"))
+    log = derive(spark, sf, "query_log").select("log_id", "query")
+    return screen.flag_injections(log).drop("query")
 
 
 @query(
