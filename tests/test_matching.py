@@ -130,3 +130,28 @@ def test_login_needs_address_only_when_given(spark):
     log = spark.createDataFrame([(1, "u", "d", ""), (2, "u", "d", "10.0.0.1:99"), (3, "u", "d", "10.0.0.2"), (4, "x", "d", None)], "i int, username string, database string, source_ip string")
     got = {r.i: r.deny_reason for r in A.authenticate(log, users, perms, F.current_timestamp()).collect()}
     assert got == {1: None, 2: None, 3: "address not allowed", 4: "user not found or disabled"}
+
+
+def test_custom_rules(spark):
+    rules = spark.createDataFrame(
+        [(2, "drop\\s+table", "block", "high", True), (1, "(", "log", "low", True), (3, "X{2}$", "alert", "low", True), (0, "a", "log", "low", False)],
+        "id long, pattern string, action string, severity string, active boolean",
+    )
+    log = spark.createDataFrame([(1, "DROP  TABLE a xx"), (2, "axx"), (3, "axx\n")], "i int, query string")
+    got = {r.i: (r.custom_rule, r.action) for r in M.match_security_rules(log, rules).collect()}
+    assert got == {1: (2, "block"), 2: (3, "alert"), 3: (None, None)}
+
+
+def test_nested_lists_split_big_keys(spark):
+    from wiretally.operators.nest import nest
+
+    rows = [(("a" if i % 3 else None), i) for i in range(90)] + [("b", 1)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = nest(df, ["k"], F.col("v"), "items", spread_by="v", max_items=20).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.k, []).extend(r["items"])
+    assert {k: sorted(v) for k, v in found.items()} == {
+        "a": [i for i in range(90) if i % 3], None: [i for i in range(90) if not i % 3], "b": [1],
+    }
+    assert len([r for r in got if r.k == "a"]) > 1 and len([r for r in got if r.k == "b"]) == 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions.keys import strip_port
+from wiretally.operators.nest import MAX_ITEMS, nest
 from wiretally.operators.netblocks import ip_in_list
 from wiretally.operators.screen import first_denial
 
@@ -162,18 +163,22 @@ def user_view(users: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def users_enhanced(users: DataFrame, profiles: DataFrame, permissions: DataFrame) -> DataFrame:
-    """``user_view`` with each user's permissions nested, ordered by database, table, id."""
-    nested = permissions.groupBy(F.col("user_id").alias("_uid")).agg(
-        F.sort_array(
-            F.collect_list(F.struct("database", "table", "permission_id", "actions"))
-        ).alias("permissions")
-    )
+def users_enhanced(
+    users: DataFrame, profiles: DataFrame, permissions: DataFrame, *, max_items: int = MAX_ITEMS
+) -> DataFrame:
+    """``user_view`` with each user's permissions nested, ordered by database, table, id.
+
+    ``part`` numbers the rows of a user with more than ``max_items`` permissions (else 0).
+    """
+    item = F.struct("database", "table", "permission_id", "actions")
+    nested = nest(permissions, ["user_id"], item, "permissions", spread_by="permission_id", max_items=max_items)
+    nested = nested.withColumnRenamed("user_id", "_uid")
     empty = F.array().cast(nested.schema["permissions"].dataType)
     return (
         user_view(users, profiles)
         .join(nested, F.col("user_id") == F.col("_uid"), "left")
         .drop("_uid")
+        .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("permissions", F.coalesce(F.col("permissions"), empty))
     )
 

@@ -29,6 +29,14 @@ def finding(test: Column, engine: str, kind: str, evidence: Column | None = None
     )
 
 
+def with_identity(findings: DataFrame, detected_at: Column) -> DataFrame:
+    """Add ``detected_at`` and ``issue_id``: type, server and detection time."""
+    seconds = F.unix_timestamp(detected_at).cast("string")
+    return findings.withColumn("detected_at", detected_at).withColumn(
+        "issue_id", F.concat_ws("_", "type", "server", seconds)
+    )
+
+
 def _spread(df: DataFrame, keys: list[str], items: list[Column]) -> DataFrame:
     return df.select(*keys, F.explode(F.array_compact(F.array(*items))).alias("f")).select(*keys, "f.*")
 

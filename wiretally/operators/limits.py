@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wiretally.operators.sliced import gap_sessions, running_sums
+
 SECOND = 1_000_000
 HOT_ROWS = 5_000_000
 HOT_SLICE_SECONDS = 60
@@ -215,12 +217,18 @@ class TokenBucket:
 
     def advance(self, state, s, param):
         if state is None:
-            i, tokens = 0, self.size + (1 if self.free_first else 0)
-        else:
-            i = bisect_left(s["at"], state[1] + self.unit) if self.rate > 0 else len(s["at"])
-            if i >= len(s["at"]):
-                return (max(0, state[0] - s["rows"][0]), state[1])
-            tokens = min(self.size, max(0, state[0] - i) + self._gain(s["at"][i] - state[1]))
+            return self._leave(0, self.size + (1 if self.free_first else 0), s)
+        return self.advance_from(0, state, s)
+
+    def advance_from(self, start, state, s):
+        """State after the slice's events from position ``start`` on."""
+        tokens, last = state
+        i = max(start, bisect_left(s["at"], last + self.unit)) if self.rate > 0 else len(s["at"])
+        if i >= len(s["at"]):
+            return (max(0, tokens - (s["rows"][0] - start)), last)
+        return self._leave(i, min(self.size, max(0, tokens - (i - start)) + self._gain(s["at"][i] - last)), s)
+
+    def _leave(self, i, tokens, s):
         return (max(s["b"][i], min(s["c"][i], tokens + s["a"][i])), s["d"][i])
 
 
@@ -228,23 +236,34 @@ class AdaptiveBucket:
     """Token bucket that shrinks in an emergency: new ones start at a quarter of the size and half
     the rate, existing ones above size 10 halve on every event. The creating event is free.
 
+    After the first few events of a key the size no longer changes and it is a plain bucket; a
+    slice's table therefore is that bucket's, plus the slice's first events for keys still shrinking.
     State: tokens, last refill, size, rate.
     """
 
     state = ["s_tokens", "s_last", "s_size", "s_rate"]
     outputs = TokenBucket.outputs
     unlimited = TokenBucket.unlimited
-    summarise = None
 
     def __init__(self, size: int, rate: int, *, emergency: bool):
         self.size, self.rate, self.emergency = size, rate, emergency
+        size, rate, self.shrinking = *self._first(), 1
+        while self._shrinks(size):
+            size, rate, self.shrinking = size // 2, rate // 2, self.shrinking + 1
+        self.settled = TokenBucket(size, rate)
+
+    def _first(self) -> tuple[int, int]:
+        return (self.size // 4, self.rate // 2) if self.emergency else (self.size, self.rate)
+
+    def _shrinks(self, size: int) -> bool:
+        return self.emergency and size > 10
 
     def step(self, state, t, param):
         if state is None:
-            size, rate = (self.size // 4, self.rate // 2) if self.emergency else (self.size, self.rate)
+            size, rate = self._first()
             return (size, t, size, rate), (True, size, True, False)
         tokens, last, size, rate = state
-        if self.emergency and size > 10:
+        if self._shrinks(size):
             size, rate = size // 2, rate // 2
         gain = (t - last) * rate // SECOND
         if gain > 0:
@@ -253,6 +272,19 @@ class AdaptiveBucket:
         tokens -= allowed
         return (tokens, last, size, rate), (allowed, tokens, False, gain > 0)
 
+    def summarise(self, ts, start, param):
+        head = ts[: self.shrinking]
+        return {**self.settled.summarise(ts, max(start, int(head[-1])), param), "e": head.tolist()}
+
+    def advance(self, state, s, param):
+        done, total = 0, s["rows"][0]
+        while done < total and (state is None or self._shrinks(state[2])):
+            state, _ = self.step(state, s["e"][done], param)
+            done += 1
+        if done == total:
+            return state
+        return (*self.settled.advance_from(done, state[:2], s), *state[2:])
+
 
 # --- batch replay ------------------------------------------------------------------------------------
 
@@ -349,21 +381,14 @@ def replay(
         .withColumn("_hot", F.col("_hk").isNotNull())
         .drop("_hk")
     )
-    if machine.summarise is None:
-        rows = rows.withColumn("_hot", F.lit(False))
     number = F.floor(F.col("_t") / slice_us)
     rows = rows.withColumn("_slice", F.when(F.col("_hot"), number).otherwise(F.lit(0).cast("long")))
     names = list(machine.state)
-    if machine.summarise is None:
-        entered = rows
-        for n in names:
-            entered = entered.withColumn(n, F.lit(None).cast("long"))
-    else:
-        entry = _entry_states(rows, machine, key, active, slice_us)
-        entry = entry.withColumnsRenamed({"k": "_ek", "slice": "_es"})
-        entered = rows.join(
-            entry, (F.col(key) == F.col("_ek")) & (F.col("_slice") == F.col("_es")), "left"
-        ).drop("_ek", "_es")
+    entry = _entry_states(rows, machine, key, active, slice_us)
+    entry = entry.withColumnsRenamed({"k": "_ek", "slice": "_es"})
+    entered = rows.join(
+        entry, (F.col(key) == F.col("_ek")) & (F.col("_slice") == F.col("_es")), "left"
+    ).drop("_ek", "_es")
     ordered = entered.repartition(key, "_slice").sortWithinPartitions(key, "_slice", "_t", tie)
     schema = T.StructType([*df.schema.fields, *outputs.fields])
     out_names = outputs.fieldNames()
@@ -432,23 +457,21 @@ def adaptive_limit(
 
 def gap_limit(df: DataFrame, key: str, ts: str, tie: str, *, limit: int, gap_seconds: int, **how) -> DataFrame:
     """Every event restarts the gap, so the count is the rank in the session; expressions only."""
-    from wiretally.operators.sliced import gap_sessions
-
     ranked = gap_sessions(df, [key], ts, tie, gap_seconds * SECOND, **how)
     return ranked.withColumn("allowed", F.col("session_rank") <= limit)
 
 
-def aligned_window_limit(df: DataFrame, key: str, ts: str, tie: str, *, limit: int, width_seconds: int) -> DataFrame:
-    """Fixed windows on epoch boundaries; (key, window) groups are small, so one window function."""
-    from pyspark.sql import Window as W
-
-    start = F.floor(F.unix_micros(ts) / (width_seconds * SECOND))
-    rows = df.withColumn("_window", start)
-    rank = F.row_number().over(W.partitionBy(key, "_window").orderBy(ts, tie))
+def aligned_window_limit(
+    df: DataFrame, key: str, ts: str, tie: str, *, limit: int, width_seconds: int, **how
+) -> DataFrame:
+    """Fixed windows on epoch boundaries; windows longer than a slice are counted slice by slice."""
+    rows = df.withColumn("_window", F.floor(F.unix_micros(ts) / (width_seconds * SECOND)))
+    ranked = running_sums(rows, [key, "_window"], ts, tie, {"window_rank": F.lit(1)}, **how)
+    rank = F.col("window_rank").cast("int")
     return (
-        rows.withColumn("window_rank", rank)
-        .withColumn("allowed", F.col("window_rank") <= limit)
-        .withColumn("remaining", F.greatest(F.lit(limit) - F.col("window_rank"), F.lit(0)))
+        ranked.withColumn("window_rank", rank)
+        .withColumn("allowed", rank <= limit)
+        .withColumn("remaining", F.greatest(F.lit(limit) - rank, F.lit(0)))
         .drop("_window")
     )
 

@@ -163,6 +163,19 @@ def match_blocked(
     return with_reason(df, rules, "rule_id", "reason").withColumn("blocked", F.col("rule_id").isNotNull())
 
 
+def match_security_rules(log: DataFrame, rules: DataFrame, *, query: str = "query") -> DataFrame:
+    """Custom rules (``id, pattern, action, severity, active``) on query text, case-insensitively:
+    adds ``custom_rule, action, severity`` of the first that hits. Invalid patterns are skipped."""
+    spark = log.sparkSession
+    rows = sorted(rules.filter("active").select("id", "pattern").toLocalIterator(), key=lambda r: r.id)
+    tests = [
+        (r.id, F.col("_low").rlike("(?i)" + java_regex(r.pattern))) for r in rows if compiles(spark, r.pattern)
+    ]
+    df = log.withColumn("_low", F.lower(query)).withColumn("custom_rule", least_id(_folded(tests))).drop("_low")
+    side = rules.select(F.col("id").alias("_rid"), "action", "severity")
+    return df.join(side, F.col("custom_rule") == F.col("_rid"), "left").drop("_rid")
+
+
 # --- substrings ------------------------------------------------------------------------------------
 
 

@@ -152,6 +152,15 @@ def auth_attempts(events: DataFrame) -> DataFrame:
     return count_per(events, "username", "source_ip", "result", out="attempts")
 
 
+def match_levels(matches: DataFrame) -> DataFrame:
+    """Threat matches by indicator and level."""
+    return count_per(matches.filter(F.col("indicator_id").isNotNull()), "indicator_id", "threat_level", out="matches")
+
+
+def packet_actions(decisions: DataFrame) -> DataFrame:
+    return count_per(decisions, "decision", out="packets")
+
+
 def traffic_rollup(points: DataFrame, by: str = "interface") -> DataFrame:
     """Packet families per interface with hit ratio and error rate."""
     families = ("processed", "dropped", "passed", "aborted", "redirected", "cache_hit", "cache_miss")

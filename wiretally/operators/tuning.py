@@ -107,7 +107,7 @@ def condition_met(operator: Column, value: Column, bound: Column) -> Column:
 def applicable_rules(
     metrics: DataFrame, rules: DataFrame, *, snapshot: str = "snapshot_id", last_applied: DataFrame | None = None, as_of: Column | None = None
 ) -> DataFrame:
-    """Rules whose met weight is at least 70 % of their total, per snapshot, highest priority first.
+    """Rules whose met weight is at least 70 % of their total, per snapshot.
 
     ``metrics`` is long form (snapshot, metric, value). A missing metric adds to the total only.
     Rules in cooldown at ``as_of`` are left out when ``last_applied`` (name, applied_at) is given.
@@ -136,6 +136,11 @@ def applicable_rules(
     )
 
 
+def by_priority(rules: DataFrame) -> DataFrame:
+    """Order in which applicable rules are applied."""
+    return rules.orderBy(F.col("priority").desc(), "name")
+
+
 def snapshot_metrics(snapshots: DataFrame, columns: list[str], *, snapshot: str = "snapshot_id") -> DataFrame:
     """Wide snapshots to long form, one row per non-null metric."""
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])

@@ -324,7 +324,7 @@ def _(spark, sf):
     )
     nested = A.users_enhanced(people, profiles(spark, sf), grants)
     text = F.transform("permissions", lambda p: F.concat(p["database"], F.lit("."), p["table"], F.lit("#"), p["permission_id"]))
-    return nested.withColumn("grants", F.concat_ws(",", text)).drop("permissions")
+    return nested.withColumn("grants", F.concat_ws(",", text)).drop("permissions", "part")
 
 
 @query(
@@ -543,4 +543,4 @@ def _(spark, sf):
         F.lit(True).alias("is_nullable"),
     )
     text = F.transform("columns", lambda c: F.concat(c["column_name"], F.lit(":"), c["data_type"]))
-    return views.schema_view(columns).withColumn("columns", F.concat_ws(",", text))
+    return views.schema_view(columns).withColumn("columns", F.concat_ws(",", text)).drop("part")

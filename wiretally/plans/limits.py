@@ -178,7 +178,7 @@ def _(spark, sf):
       CAST(row_number() OVER (PARTITION BY user_id, epoch_us(ts) // {DAY * US} ORDER BY ts, event_id) AS INT) AS r FROM events)""",
 )
 def _(spark, sf):
-    out = R.aligned_window_limit(events(spark, sf), "user_id", "ts", "event_id", limit=2, width_seconds=DAY)
+    out = R.aligned_window_limit(events(spark, sf), "user_id", "ts", "event_id", limit=2, width_seconds=DAY, slice_seconds=DAY)
     return out.select("event_id", "allowed", "remaining")
 
 

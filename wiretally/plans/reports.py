@@ -10,6 +10,7 @@ from wiretally.operators import feeds as D
 from wiretally.operators import findings as G
 from wiretally.operators import quality as QJ
 from wiretally.operators import rollups
+from wiretally.operators.nest import nest
 from wiretally.plans.inputs import AS_OF, as_of, ctes, derive, load
 from wiretally.plans.registry import query
 from wiretally.plans.screening import SQL_SEVERITY, sql_in
@@ -139,9 +140,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Scan documents as they are stored (servers, issues nested), opened again."""
-    per_server = issues(spark, sf).groupBy("scan_id", "scan_ts", "server").agg(
-        F.collect_list(F.struct("issue_id", "type", "severity", "category", "title")).alias("issues")
-    )
+    item = F.struct("issue_id", "type", "severity", "category", "title")
+    per_server = nest(issues(spark, sf), ["scan_id", "scan_ts", "server"], item, "issues", spread_by="issue_id", max_items=20)
     documents = per_server.select(
         "scan_id", "scan_ts", F.array(F.struct(F.col("server").alias("server_name"), "issues")).alias("server_results")
     )
