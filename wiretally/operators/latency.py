@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiretally.functions import fingerprint as fp
-from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, SLICE, ema_final, with_slice
+from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, PLACE, SLICE, ema_final, ema_parts, with_slice
 
 ALPHA = 0.1
 MIN_SAMPLES = 10
@@ -325,16 +326,6 @@ def ema_series(
     order through one pass that holds a single number.
     """
     keep = 1.0 - alpha
-    rows = with_slice(df, ts, slice_seconds)
-    back = F.row_number().over(W.partitionBy(key, SLICE).orderBy(F.col(ts).desc(), F.col(tie).desc())) - 1
-    partial = (
-        rows.withColumn("_b", back)
-        .groupBy(key, SLICE)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(F.col(value) * alpha * F.pow(F.lit(keep), F.col("_b"))).alias("_e"),
-        )
-    )
     key_type = df.schema[key].dataType.simpleString()
 
     def chain(batches):
@@ -346,29 +337,32 @@ def ema_series(
                     at, level = k, start
                 out.append((k, s, level))
                 level = e + level * keep**n
-            yield pd.DataFrame(out, columns=["k", "s", "entry"])
+            yield pd.DataFrame(out, columns=["k", "s", "level"])
 
+    place = F.col(PLACE)
     entry = (
-        partial.select(F.col(key).alias("k"), F.col(SLICE).alias("s"), F.col("_n").alias("n"), F.col("_e").alias("e"))
+        ema_parts(df, [key], ts, tie, {"v": F.col(value)}, alpha, slice_seconds)
+        .select(place[key].alias("k"), place[SLICE].alias("s"), F.col("_n").alias("n"), F.col("_e_v").alias("e"))
         .repartition("k")
         .sortWithinPartitions("k", "s")
-        .mapInPandas(chain, f"k {key_type}, s long, entry double")
-        .withColumnsRenamed({"k": "_ek", "s": "_es", "entry": "_entry"})
+        .mapInPandas(chain, f"k {key_type}, s long, level double")
     )
-    joined = rows.join(entry, (F.col(key) == F.col("_ek")) & (F.col(SLICE) == F.col("_es")), "left").drop("_ek", "_es")
-    ordered = joined.repartition(key, SLICE).sortWithinPartitions(key, SLICE, ts, tie)
+    # entry values travel with the rows, ahead of their slice's first one: one shuffle, no join
+    rows = with_slice(df, [key], ts, slice_seconds).withColumn(SLICE, place[SLICE]).drop(PLACE)
+    entries = entry.select(F.col("k").alias(key), F.col("s").alias(SLICE), F.col("level").alias("_level"))
+    both = rows.withColumn("_level", F.lit(None).cast("double")).unionByName(entries, allowMissingColumns=True)
+    ordered = both.repartition(key, SLICE).sortWithinPartitions(key, SLICE, F.col("_level").isNull(), ts, tie)
     columns = list(df.columns)
 
     def run(batches):
-        at, level = None, start
-        for pdf in batches:
+        level = start
+        for batch in batches:  # Arrow keeps the rows' own columns exactly as they came
             out = []
-            heres = zip(pdf[key].tolist(), pdf[SLICE].tolist())
-            for here, entered, x in zip(heres, pdf["_entry"].tolist(), pdf[value].tolist()):
-                if here != at:
-                    at, level = here, entered
-                level = alpha * x + keep * level
-                out.append(level)
-            yield pdf[columns].assign(ema=out)
-
-    return ordered.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())]))
+            for entered, x in zip(batch.column("_level").to_pylist(), batch.column(value).to_pylist()):
+                level = alpha * x + keep * level if entered is None else entered
+                if entered is None:
+                    out.append(level)
+            rows = batch.select(columns).filter(pc.is_null(batch.column("_level")))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.float64())], names=[*columns, "ema"])
+
+    return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())]))

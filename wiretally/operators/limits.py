@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -385,40 +387,45 @@ def replay(
     rows = rows.withColumn("_slice", F.when(F.col("_hot"), number).otherwise(F.lit(0).cast("long")))
     names = list(machine.state)
     entry = _entry_states(rows, machine, key, active, slice_us)
-    entry = entry.withColumnsRenamed({"k": "_ek", "slice": "_es"})
-    entered = rows.join(
-        entry, (F.col(key) == F.col("_ek")) & (F.col("_slice") == F.col("_es")), "left"
-    ).drop("_ek", "_es")
-    ordered = entered.repartition(key, "_slice").sortWithinPartitions(key, "_slice", "_t", tie)
+    # entry states travel with the rows, ahead of their slice's first one: one shuffle, no join
+    marks = entry.select(
+        F.col("k").alias(key), F.col("slice").alias("_slice"), *names, F.lit(True).alias("_mark")
+    )
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    ordered = both.repartition(key, "_slice").sortWithinPartitions(
+        key, "_slice", F.col("_mark").desc(), "_t", tie
+    )
     schema = T.StructType([*df.schema.fields, *outputs.fields])
     out_names = outputs.fieldNames()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out_types = [pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64() for f in outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
         idle = (None,) * len(out_names)
-        for pdf in batches:
-            keys, slices, times = pdf[key].tolist(), pdf["_slice"].tolist(), pdf["_t"].tolist()
-            params = [None if pd.isna(p) else int(p) for p in pdf["_param"].tolist()]
-            live = pdf[active].tolist() if active else None
-            entries = list(zip(*[pdf[n].tolist() for n in names]))
+        for batch in batches:  # Arrow keeps the rows' own columns exactly as they came
+            read = lambda c: batch.column(c).to_pylist()  # noqa: E731, B023
+            marks, times, params = read("_mark"), read("_t"), read("_param")
+            live = read(active) if active else None
+            entries = list(zip(*[read(n) for n in names])) if any(marks) else None
             results = []
-            for i, here in enumerate(zip(keys, slices)):
+            for i, here in enumerate(zip(read(key), read("_slice"))):
                 if here != at:
-                    at, start = here, entries[i]
-                    state = None if pd.isna(start[0]) else tuple(int(v) for v in start)
-                if live is not None and not live[i]:
+                    at, state = here, None
+                if marks[i]:
+                    state = None if entries[i][0] is None else entries[i]
+                elif live is not None and not live[i]:
                     results.append(idle)
-                    continue
-                state, result = machine.step(state, times[i], params[i])
-                results.append(result)
-            out = pdf[columns].copy()
-            for name, values in zip(out_names, zip(*results)):
-                out[name] = pd.array(
-                    values, dtype="boolean" if isinstance(outputs[name].dataType, T.BooleanType) else "Int64"
-                )
-            yield out
-
-    replayed = ordered.mapInPandas(run, schema)
+                else:
+                    state, result = machine.step(state, times[i], params[i])
+                    results.append(result)
+            rows = batch.select(columns).filter(pc.invert(batch.column("_mark")))
+            added = [pa.array(v, t) for v, t in zip(zip(*results), out_types)] if results else [
+                pa.array([], t) for t in out_types
+            ]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*columns, *out_names])
+
+    replayed = ordered.mapInArrow(run, schema)
     passed = df.filter(F.col(key).isNull())
     for name, value in zip(out_names, machine.unlimited):
         passed = passed.withColumn(name, F.lit(value).cast(outputs[name].dataType))

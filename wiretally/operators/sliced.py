@@ -8,38 +8,42 @@ over the slice width, not by the row count.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+PLACE = "_place"  # struct of the keys and the slice: one column to shuffle, join and window by
 DEFAULT_SLICE_SECONDS = 3600
 
 
-def with_slice(df: DataFrame, ts: str, slice_seconds: int) -> DataFrame:
-    return df.withColumn(SLICE, F.floor(F.unix_micros(ts) / (slice_seconds * 1_000_000)))
+def with_slice(df: DataFrame, keys: list[str], ts: str, slice_seconds: int) -> DataFrame:
+    """Add ``_place``. As a struct it equals itself where keys are null, and a join on it leaves the
+    rows partitioned the way the windows over it need them."""
+    number = F.floor(F.unix_micros(ts) / (slice_seconds * 1_000_000))
+    return df.withColumn(PLACE, F.struct(*keys, number.alias(SLICE)))
 
 
-def join_slices(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach summary columns to the rows of their slice; null keys match null keys."""
-    side = summary.select(
-        *[F.col(k).alias(f"_j_{k}") for k in [*keys, SLICE]],
-        *[c for c in summary.columns if c not in (*keys, SLICE)],
-    )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in [*keys, SLICE]])
-    return rows.join(side, on, "left").drop(*[f"_j_{k}" for k in [*keys, SLICE]])
+def _chain(keys: list[str], descending: bool = False):
+    """Window over one key's summary rows in slice order."""
+    order = F.col(f"{PLACE}.{SLICE}")
+    by = [F.col(f"{PLACE}.{k}") for k in keys]
+    return W.partitionBy(*by).orderBy(order.desc() if descending else order.asc())
 
 
-def _in_slice(keys: list[str], order: list[Column]):
-    return W.partitionBy(*keys, SLICE).orderBy(*order)
+def _attach(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    side = summary.withColumnRenamed(PLACE, "_side")
+    return rows.join(side, F.col(PLACE) == F.col("_side"), "left").drop("_side")
 
 
-def _order(ts: str, tie: str, descending: bool) -> list[Column]:
+def _order(ts: str, tie: str, descending: bool = False) -> list[Column]:
     return [F.col(ts).desc(), F.col(tie).desc()] if descending else [F.col(ts).asc(), F.col(tie).asc()]
 
 
+def _upto(order: list[Column]):
+    return W.partitionBy(PLACE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
 def running_sums(
     df: DataFrame,
     keys: list[str],
@@ -51,19 +55,34 @@ def running_sums(
     descending: bool = False,
 ) -> DataFrame:
     """Inclusive running sums per key in (ts, tie) order; ``F.lit(1)`` gives a row number."""
-    rows = with_slice(df, ts, slice_seconds)
-    totals = rows.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    slice_order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
-    before = W.partitionBy(*keys).orderBy(slice_order).rowsBetween(W.unboundedPreceding, -1)
+    rows = with_slice(df, keys, ts, slice_seconds)
+    totals = rows.groupBy(PLACE).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = _chain(keys, descending).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, SLICE, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        PLACE, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    upto = _in_slice(keys, _order(ts, tie, descending)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = join_slices(rows, offsets, keys)
-    out = joined.select(
+    upto = _upto(_order(ts, tie, descending))
+    return _attach(rows, offsets).select(
         *df.columns, *[(F.sum(c).over(upto) + F.col(f"_o_{n}")).alias(n) for n, c in sums.items()]
     )
-    return out
+
+
+def _with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, str], slice_seconds: int) -> DataFrame:
+    """Rows with ``_place`` and the values of the key's preceding row."""
+    rows = with_slice(df, keys, ts, slice_seconds)
+    packed = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
+    last = rows.groupBy(PLACE).agg(F.max_by(packed, F.struct(ts, tie)).alias("_last"))
+    carried = last.select(PLACE, F.lag("_last").over(_chain(keys)).alias("_carry"))
+    w = W.partitionBy(PLACE).orderBy(*_order(ts, tie))
+    first = F.row_number().over(w) == 1
+    return _attach(rows, carried).select(
+        *df.columns,
+        PLACE,
+        *[
+            F.when(first, F.col(f"_carry.{out}")).otherwise(F.lag(src).over(w)).alias(out)
+            for out, src in values.items()
+        ],
+    )
 
 
 def previous_values(
@@ -76,21 +95,7 @@ def previous_values(
     slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
     """Values of the key's preceding row as new columns (null on the first row)."""
-    rows = with_slice(df, ts, slice_seconds)
-    packed = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
-    last = rows.groupBy(*keys, SLICE).agg(F.max_by(packed, F.struct(ts, tie)).alias("_last"))
-    chain = W.partitionBy(*keys).orderBy(SLICE)
-    carried = last.select(*keys, SLICE, F.lag("_last").over(chain).alias("_carry"))
-    w = _in_slice(keys, _order(ts, tie, False))
-    joined = join_slices(rows, carried, keys)
-    first = F.row_number().over(w) == 1
-    return joined.select(
-        *df.columns,
-        *[
-            F.when(first, F.col(f"_carry.{out}")).otherwise(F.lag(src).over(w)).alias(out)
-            for out, src in values.items()
-        ],
-    )
+    return _with_previous(df, keys, ts, tie, values, slice_seconds).drop(PLACE)
 
 
 def gap_sessions(
@@ -106,32 +111,43 @@ def gap_sessions(
 
     Adds ``session_rank`` (1 on a session's first row).
     """
-    marked = previous_values(df, keys, ts, tie, {"_prev_ts": ts}, slice_seconds=slice_seconds)
+    marked = _with_previous(df, keys, ts, tie, {"_prev_ts": ts}, slice_seconds)
     starts = F.col("_prev_ts").isNull() | (F.unix_micros(ts) - F.unix_micros("_prev_ts") >= gap_us)
-    rows = with_slice(marked.withColumn("_new", starts.cast("int")), ts, slice_seconds)
-    w = _in_slice(keys, _order(ts, tie, False)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("_rn", F.count(F.lit(1)).over(w)).withColumn(
-        "_start_rn", F.max(F.when(F.col("_new") == 1, F.col("_rn"))).over(w)
+    upto = _upto(_order(ts, tie))
+    rows = marked.withColumn("_rn", F.count(F.lit(1)).over(upto)).withColumn(
+        "_start_rn", F.max(F.when(starts, F.col("_rn"))).over(upto)
     )
-    summary = rows.groupBy(*keys, SLICE).agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_start_rn").alias("_last_start")
-    )
-    chain = W.partitionBy(*keys).orderBy(SLICE)
-    upto, before = (chain.rowsBetween(W.unboundedPreceding, e) for e in (W.currentRow, -1))
+    summary = rows.groupBy(PLACE).agg(F.count(F.lit(1)).alias("_n"), F.max("_start_rn").alias("_last_start"))
+    chain = _chain(keys)
+    through, before = (chain.rowsBetween(W.unboundedPreceding, e) for e in (W.currentRow, -1))
     # rows since the last session start, carried over slices that contain no start
-    sized = summary.withColumn("_end", F.sum("_n").over(upto)).withColumn(
+    sized = summary.withColumn("_end", F.sum("_n").over(through)).withColumn(
         "_anchor", F.col("_end") - F.col("_n") + F.col("_last_start") - 1
     )
     carry = sized.select(
-        *keys,
-        SLICE,
-        (F.col("_end") - F.col("_n") - F.coalesce(F.max("_anchor").over(before), F.lit(0))).alias("_carry"),
+        PLACE, (F.col("_end") - F.col("_n") - F.coalesce(F.max("_anchor").over(before), F.lit(0))).alias("_carry")
     )
-    joined = join_slices(rows, carry, keys)
     rank = F.when(F.col("_start_rn").isNull(), F.col("_carry") + F.col("_rn")).otherwise(
         F.col("_rn") - F.col("_start_rn") + 1
     )
-    return joined.select(*df.columns, rank.alias("session_rank"))
+    return _attach(rows, carry).select(*df.columns, rank.alias("session_rank"))
+
+
+def ema_parts(
+    df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, Column], alpha: float, slice_seconds: int
+) -> DataFrame:
+    """Per (key, slice) the row count ``_n`` and each average's part ``_e_<name>`` from its own rows.
+
+    Weights use the distance from the slice's end, so long series cannot overflow.
+    """
+    rows = with_slice(df, keys, ts, slice_seconds)
+    back = F.row_number().over(W.partitionBy(PLACE).orderBy(*_order(ts, tie, True))) - 1
+    weight = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_back"))
+    return (
+        rows.withColumn("_back", back)
+        .groupBy(PLACE)
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c * weight).alias(f"_e_{n}") for n, c in values.items()])
+    )
 
 
 def ema_final(
@@ -145,28 +161,16 @@ def ema_final(
     init: dict[str, float] | None = None,
     slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
-    """Final exponential moving average per key, plus ``n`` rows; start value 0 unless given.
-
-    Weights use the distance from the end, so long series cannot overflow.
-    """
-    keep = 1.0 - alpha
-    rows = with_slice(df, ts, slice_seconds)
-    back = F.row_number().over(_in_slice(keys, _order(ts, tie, True))) - 1
-    weighted = rows.withColumn("_back", back)
-    partial = weighted.groupBy(*keys, SLICE).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(c * alpha * F.pow(F.lit(keep), F.col("_back"))).alias(f"_e_{n}") for n, c in values.items()],
-    )
-    later = W.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(W.unboundedPreceding, -1)
+    """Final exponential moving average per key, plus ``n`` rows; start value 0 unless given."""
+    keep = F.lit(1.0 - alpha)
+    partial = ema_parts(df, keys, ts, tie, values, alpha, slice_seconds)
+    later = _chain(keys, descending=True).rowsBetween(W.unboundedPreceding, -1)
     shifted = partial.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
     start = init or {}
-    return shifted.groupBy(*keys).agg(
+    return shifted.groupBy(*[F.col(f"{PLACE}.{k}").alias(k) for k in keys]).agg(
         F.sum("_n").alias("n"),
         *[
-            (
-                F.sum(F.col(f"_e_{n}") * F.pow(F.lit(keep), F.col("_after")))
-                + F.lit(start.get(n, 0.0)) * F.pow(F.lit(keep), F.sum("_n"))
-            ).alias(n)
+            (F.sum(F.col(f"_e_{n}") * F.pow(keep, F.col("_after"))) + F.lit(start.get(n, 0.0)) * F.pow(keep, F.sum("_n"))).alias(n)
             for n in values
         ],
     )
