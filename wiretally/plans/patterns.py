@@ -119,13 +119,14 @@ def _(spark, sf):
     "latency_series",
     f"""{ctes('query_log')}, ranked AS (SELECT user_id, log_id, latency,
       row_number() OVER (PARTITION BY user_id ORDER BY ts, log_id) AS rn FROM query_log)
-    SELECT a.log_id, round(sum(0.1 * b.latency * pow(0.9, a.rn - b.rn)), 6) AS ema
+    SELECT a.log_id, round(sum(0.1 * b.latency * pow(0.9, a.rn - b.rn)) + 1e-9, 6) AS ema
     FROM ranked a JOIN ranked b ON a.user_id = b.user_id AND b.rn <= a.rn GROUP BY 1""",
 )
 def _(spark, sf):
     log = derive(spark, sf, "query_log").select("user_id", "ts", "log_id", "latency")
     series = L.ema_series(log, "user_id", "ts", "log_id", "latency", slice_seconds=DAY * 7)
-    return series.select("log_id", F.round("ema", 6).alias("ema"))
+    # the offset keeps exact halves of short series from rounding by summation order
+    return series.select("log_id", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
 
 
 PROFILE = f"""{PATTERNED}, avgs AS ({ema_sql('marked', 'pattern_id', 'latency')}),
