@@ -157,3 +157,12 @@ def test_addresses(spark):
     assert column(spark, ["10.0.0.1", "256.1.1.1", "1.2.3", "x", "255.255.255.255"], K.ip_to_long) == [
         167772161, None, None, None, 4294967295,
     ]
+
+
+def test_digest_numbers(spark):
+    import hashlib
+
+    texts = ["a", "users", "é", ""]
+    whole = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8]) for t in texts]
+    assert [int(v) for v in column(spark, texts, K.hash_u64)] == whole
+    assert column(spark, texts, K.hash_u32) == [w >> 32 for w in whole]

@@ -11,7 +11,7 @@ from wiretally.functions.screening import is_write_query
 from wiretally.operators import access as A
 from wiretally.operators import matching as M
 from wiretally.operators import netblocks as N
-from wiretally.operators import screen, views
+from wiretally.operators import rollups, views
 from wiretally.plans.inputs import AS_OF, as_of, ctes, derive, lists, load, permissions, users
 from wiretally.plans.registry import query
 
@@ -544,3 +544,40 @@ def _(spark, sf):
     )
     text = F.transform("columns", lambda c: F.concat(c["column_name"], F.lit(":"), c["data_type"]))
     return views.schema_view(columns).withColumn("columns", F.concat_ws(",", text)).drop("part")
+
+
+# --- counts over decisions -----------------------------------------------------------------------------------
+
+
+@query(
+    "threat_match_levels",
+    f"""{THREATS_SQL} SELECT indicator_id, threat_level, count(*) AS matches FROM m JOIN indicators i ON i.id = indicator_id GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    matched = M.match_threats(derive(spark, sf, "query_log"), derive(spark, sf, "indicators"), policy(spark, sf))
+    return rollups.match_levels(matched)
+
+
+@query(
+    "packet_actions",
+    f"{FILTERED_SQL} SELECT CASE WHEN reason IS NULL THEN 'pass' ELSE 'drop' END AS decision, count(*) AS packets FROM decided GROUP BY 1",
+)
+def _(spark, sf):
+    requests = derive(spark, sf, "packets").select("event_id", F.col("ip").cast("bigint").alias("ip"))
+    return rollups.packet_actions(N.filter_requests(requests, blocked_ips(spark, sf), blocked_nets(spark, sf)))
+
+
+CUSTOM_SQL = """SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 3 WHEN 0 THEN 'USER_ID = [0-9]*' || n_nationkey || '$' WHEN 1 THEN 'total = ' || n_nationkey || ' ' ELSE '(' END AS pattern,
+    CASE n_regionkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'alert' ELSE 'log' END AS action, CASE n_regionkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS severity, n_nationkey % 5 <> 4 AS active FROM nation"""
+
+
+@query(
+    "custom_rule_hits",
+    f"""{ctes('query_log')}, r AS ({CUSTOM_SQL}), hit AS (SELECT log_id, min(id) AS id FROM query_log JOIN (SELECT * FROM r WHERE active AND pattern <> '(') x
+      ON regexp_matches(lower(query), '(?i)' || pattern) GROUP BY 1)
+    SELECT log_id, hit.id AS custom_rule, action, severity FROM query_log LEFT JOIN hit USING (log_id) LEFT JOIN r ON r.id = hit.id""",
+)
+def _(spark, sf):
+    rules = spark.sql(CUSTOM_SQL.replace("FROM nation", "FROM {n}"), n=load(spark, sf, "nation"))
+    log = derive(spark, sf, "query_log").select("log_id", "query")
+    return M.match_security_rules(log, rules).drop("query")

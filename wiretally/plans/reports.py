@@ -874,3 +874,12 @@ def _(spark, sf):
 def _(spark, sf):
     level = F.when(F.col("event_type") == "error", "CRITICAL").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
     return rollups.count_per(X.filter_audit(load(spark, sf, "events").withColumn("level", level), "WARNING"), "level")
+
+
+@query(
+    "identified_findings",
+    f"""WITH per AS ({VERSION_SQL}) SELECT server, 'tls_disabled_' || server || '_' || CAST(epoch(TIMESTAMP '{AS_OF}') AS BIGINT) AS issue_id FROM per WHERE NOT tls_enabled""",
+)
+def _(spark, sf):
+    found = G.tls_findings(_over(spark, sf, VERSION_SQL, "customer"), as_of()).filter("type = 'tls_disabled'")
+    return G.with_identity(found, as_of()).select("server", "issue_id")
