@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wiretally.functions import packs
 from wiretally.functions.fingerprint import primary_table
-from wiretally.functions.keys import ip_to_long
 from wiretally.functions.screening import is_write_query
 from wiretally.operators import access as A
 from wiretally.operators import matching as M

@@ -12,7 +12,8 @@ TEXT_TABLES = ("documents", "pages", "conversations")  # little to read, much to
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with its zone-less timestamps read as UTC."""
+    """A table with its zone-less timestamps read as UTC (the session's zone is set to it)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for field in df.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
