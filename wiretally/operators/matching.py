@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from importlib.util import find_spec
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,7 +194,7 @@ def substring_first(log: DataFrame, text: str, needles: DataFrame, key: str, out
     if size.n <= FOLD_LIMIT:
         rows = sorted(needles.collect(), key=lambda r: r.id)
         return log.withColumn(out, least_id(_folded([(r.id, F.col(text).contains(r.needle)) for r in rows])))
-    if size.bytes <= AUTOMATON_BYTES:
+    if size.bytes <= AUTOMATON_BYTES and find_spec("ahocorasick"):
         return _by_automaton(log, text, needles, out)
     return substring_by_grams(log, text, needles, key, out)
 
