@@ -69,12 +69,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     masks = shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
 
     contexts = blobs.join(masks, "batch").mapInArrow(
-        lambda rows: _contexts(rows, splitters, length), "batch long, bucket int, first binary, windows binary, offsets binary, ids binary, context binary"
+        lambda rows: _contexts(rows, splitters, length, buckets), "batch long, bucket int, first binary, windows binary, offsets binary, ids binary, context binary"
     )
-    contexts = written(contexts, folder, "contexts", compression="lz4")
-    sent, local = contexts.where("bucket >= 0"), contexts.where("bucket < 0")
-    found = sent.groupBy("bucket").applyInPandas(lambda rows: _duplicates(rows, length), "batch long, begins binary, ends binary")
-    cut = found.unionByName(local.select("batch", F.col("first").alias("begins"), F.col("windows").alias("ends")))
+    cut = contexts.groupBy("bucket").applyInPandas(lambda rows: _duplicates(rows, length), "batch long, begins binary, ends binary")
     cut = cut.groupBy("batch").agg(F.collect_list(F.struct("begins", "ends")).alias("cuts"))
     whole = blobs.join(cut, "batch", "left")
     return whole.mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
@@ -173,8 +170,15 @@ CONTEXTS = pa.schema(
 )
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """The marked groups of each batch by bucket; in bucket -1 the intervals that a smaller document of the batch covers."""
+def _small(values: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 3)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The marked groups of each batch by bucket, compressed.
+
+    A row without a context holds, as begins and ends, what smaller documents of the same batch cover; any bucket passes it on.
+    """
     for row, data, ends, ids in _opened(batches):
         masks = {x["bucket"]: np.frombuffer(x["mask"], np.uint8) for x in row["masks"]}
         found = groups(data, ends, length)
@@ -201,14 +205,14 @@ def _contexts(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length:
                     texts.append(text)
             chosen = part[sent]
             values = (
-                row["batch"], number, found.first[chosen].astype(np.int64).tobytes(), (found.last[chosen] - found.first[chosen] + 1).astype(np.uint16).tobytes(),
-                (found.start[chosen] - found.first[chosen]).astype(np.uint16).tobytes(), ids[found.owner[chosen]].tobytes(), b"".join(texts),
+                row["batch"], number, _small(found.first[chosen].astype(np.int64)), _small((found.last[chosen] - found.first[chosen] + 1).astype(np.uint16)),
+                _small((found.start[chosen] - found.first[chosen]).astype(np.uint16)), _small(ids[found.owner[chosen]]), _small(b"".join(texts)),
             )
             for column, value in zip(out, values, strict=True):
                 column.append(value)
         if covered_begin:
-            values = (row["batch"], -1, np.array(covered_begin, np.int64).tobytes(), np.array(covered_end, np.int64).tobytes(), b"", b"", b"")
-            for column, value in zip(out, values, strict=True):
+            begin, end = _merged(np.array(covered_begin, np.int64), np.array(covered_end, np.int64))
+            for column, value in zip(out, (row["batch"], row["batch"] % buckets, begin.tobytes(), end.tobytes(), None, None, None), strict=True):
                 column.append(value)
         yield record_batch(CONTEXTS, *out)
 
@@ -240,12 +244,17 @@ def multikey_runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
 
 def _duplicates(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """For each batch, the intervals of its contexts that a document with a smaller id holds."""
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-    per_row = np.array([len(x) // 8 for x in rows["first"]])
-    batch = np.repeat(rows["batch"].to_numpy(), per_row)
+    known = rows[rows["context"].isna()]
+    rows = rows[rows["context"].notna()]
+    out: dict[str, list] = {"batch": known["batch"].tolist(), "begins": known["first"].tolist(), "ends": known["windows"].tolist()}
+    if not len(rows):
+        return pd.DataFrame(out)
+    opened = {name: [zstandard.decompress(x) for x in rows[name]] for name in ("first", "windows", "offsets", "ids", "context")}
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in opened[name]])
+    batch = np.repeat(rows["batch"].to_numpy(), [len(x) // 8 for x in opened["first"]])
     first, windows = joined("first", np.int64), joined("windows", np.uint16).astype(np.int64)
     offset, doc = joined("offsets", np.uint16).astype(np.int64), joined("ids", np.int64)
-    raw = b"".join(rows["context"])
+    raw = b"".join(opened["context"])
     data = np.frombuffer(raw, np.uint8)
     size = windows + length - 1
     place = np.cumsum(size) - size
@@ -278,7 +287,6 @@ def _duplicates(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         ends.append(first[entry[hit]] + step[hit] + length)
         where.append(batch[entry[hit]])
     begin, end, owner = np.concatenate(begins), np.concatenate(ends), np.concatenate(where)
-    out: dict[str, list] = {"batch": [], "begins": [], "ends": []}
     for number in np.unique(owner):
         low, high = _merged(begin[owner == number], end[owner == number])
         for name, value in zip(out, (number, low.tobytes(), high.tobytes()), strict=True):
