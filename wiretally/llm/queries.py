@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wiretally.llm import bpe, language, suffix_dedup, token_counts, token_files, toxicity
+from wiretally.llm import bpe, exact_dedup, language, suffix_dedup, token_counts, token_files, toxicity
 from wiretally.llm.common import held_out, work_folder
 from wiretally.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -25,6 +25,22 @@ def token_counts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+EXACT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm, row_number() OVER (PARTITION BY doc_id, text) AS again FROM documents
+), c AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+    row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, again) = 1 AS kept FROM t
+)
+SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM c
+"""
+
+
+@query("op4_exact_dedup", EXACT_SQL)
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_classes(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query("op7_token_files")
 def token_files_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_folder(spark)}/tokens"
