@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wiretally.llm import bpe, exact_dedup, language, suffix_dedup, token_counts, token_files, toxicity
+from wiretally.llm import bpe, exact_dedup, language, near_dedup, suffix_dedup, token_counts, token_files, toxicity
 from wiretally.llm.common import held_out, work_folder
 from wiretally.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -25,6 +25,12 @@ def token_counts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op3_ngram_jaccard_join")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = near_dedup.similarity_join(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 EXACT_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm, row_number() OVER (PARTITION BY doc_id, text) AS again FROM documents
