@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wiretally.llm import bpe, exact_dedup, language, near_dedup, suffix_dedup, token_counts, token_files, toxicity
+from wiretally.llm import bpe, decontaminate, exact_dedup, language, near_dedup, suffix_dedup, token_counts, token_files, toxicity
 from wiretally.llm.common import held_out, work_folder
 from wiretally.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -47,6 +47,11 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op5_decontamination")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_token_files")
 def token_files_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_folder(spark)}/tokens"
