@@ -12,8 +12,9 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import held_out, keyed_texts, record_batch
@@ -93,14 +94,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < TOP).drop("n")
 
 
-def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of each row from its whole text alone.
-
-    The score is 1 less the sum of out-of-place distances as a share of the largest possible. Null texts, texts without a letter, and all
-    texts if there are no profiles, are ``und`` with score 0; equal sums go to the first language in order of name. Every row gives one
-    row. Profiles are broadcast: ``TOP`` rows for each language.
-    """
-    spark = docs.sparkSession
+def predictor(spark: SparkSession, profiles: DataFrame):
+    """A function from a text column to (lang_pred, score). Profiles are broadcast: ``TOP`` rows for each language."""
     found = sorted(map(tuple, profiles.select("lang", "gram", "rank").collect()))
     langs = sorted({lang for lang, _, _ in found})
     grams = np.array(sorted({gram for _, gram, _ in found}), np.int64)
@@ -108,24 +103,32 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
     for lang, gram, rank in found:
         ranks[np.searchsorted(grams, gram), langs.index(lang)] = rank
     shared = spark.sparkContext.broadcast((langs, grams, ranks))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(text: str | None) -> tuple[str, float]:
         langs, grams, ranks = shared.value
+        own = ranked(ngrams(text or ""))
+        if not len(own) or not langs:
+            return UNKNOWN, 0.0
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        place = ranks[at]
+        known = (grams[at] == own)[:, None] & (place >= 0)
+        apart = np.where(known, np.abs(place - np.arange(len(own))[:, None]), TOP).sum(axis=0)
+        best = int(np.argmin(apart))
+        return langs[best], float(1 - apart[best] / (TOP * len(own)))
 
-        def answer(text: str | None) -> tuple[str, float]:
-            own = ranked(ngrams(text or ""))
-            if not len(own) or not langs:
-                return UNKNOWN, 0.0
-            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-            place = ranks[at]
-            known = (grams[at] == own)[:, None] & (place >= 0)
-            apart = np.where(known, np.abs(place - np.arange(len(own))[:, None]), TOP).sum(axis=0)
-            best = int(np.argmin(apart))
-            return langs[best], float(1 - apart[best] / (TOP * len(own)))
+    @F.pandas_udf("lang_pred string, score double")
+    def answers(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([answer(text) for text in texts], columns=["lang_pred", "score"])
 
-        for batch in batches:
-            answers = [answer(text) for text in batch.column(1).to_pylist()]
-            yield record_batch(schema, batch.column(0), [a for a, _ in answers], [s for _, s in answers])
+    return answers
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of each row from its whole text alone.
+
+    The score is 1 less the sum of out-of-place distances as a share of the largest possible. Null texts, texts without a letter, and all
+    texts if there are no profiles, are ``und`` with score 0; equal sums go to the first language in order of name. Every row gives one
+    row; other columns are left behind.
+    """
+    answers = predictor(docs.sparkSession, profiles)
+    return keyed_texts(docs, id_col, text_col).select("doc_id", answers(F.col("text")).alias("found")).select("doc_id", "found.*")

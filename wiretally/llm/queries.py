@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wiretally.llm import bpe, decontaminate, exact_dedup, language, near_dedup, suffix_dedup, token_counts, token_files, toxicity
+import corpus_pipeline
+from wiretally.llm import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, suffix_dedup, token_counts, token_files, toxicity
 from wiretally.llm.common import held_out, work_folder
 from wiretally.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -52,6 +53,11 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_license_scan")
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_token_files")
 def token_files_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_folder(spark)}/tokens"
@@ -78,3 +84,6 @@ def toxicity_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
