@@ -6,6 +6,8 @@ fewer shingles are retrieved by single shingles, windows of one. A copy that kee
 certain: its window is a window of the template. A word changed breaks five shingles in a row, so every copy with a containment of 0.8 that
 is longer than a line has such a run. Windows that share a part J of their shingles agree with probability 1 - (1 - J) ** BANDS.
 
+Texts without any shingle whose hash is a template's min-hash are passed over before windows are made: they agree in no band.
+
 Around each place retrieved, the share of the template's shingles that the text holds there is then counted exactly.
 
 All of it runs in the scan's own tasks but for the last sum by text and template, which only retrieved places reach. Templates are a stated
@@ -60,10 +62,13 @@ def shingles(text: Column) -> Column:
     return held(words, lambda w: F.when(F.size(w) > 0, F.transform(places(w), lambda i: F.xxhash64(F.slice(w, i, SIZE)))).otherwise(F.array().cast("array<bigint>")))
 
 
+def _flip(band: int) -> int:
+    return random.Random(band).getrandbits(63)
+
+
 def band_minima(hashes: Column, band: int) -> Column:
     """The min-hash in one band of the window from each place on; the last windows are shorter."""
-    flip = random.Random(band).getrandbits(63)
-    least = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(flip)))
+    least = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(_flip(band))))
     step = 1
     while step < WINDOW:
         least, step = held(least, _with_ahead(step)), 2 * step
@@ -115,10 +120,11 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, id_col: str = "doc_i
         "way int, key long, license string, own array<long>",
     )
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), shingles(F.col(text_col)).alias("hashes"))
-    hit, places = F.lit(False), [F.array().cast("array<struct<way:int,place:int,key:bigint>>")]
+    # A min-hash is one shingle's hash, flipped: a text without any of the shingles behind the keys agrees in no band.
+    behind = sorted({*keys["short"], *(key ^ _flip(b) for b in range(BANDS) for key in keys[f"band{b}"])})
+    hit, places = F.exists("hashes", _among(behind)) if behind else F.lit(False), [F.array().cast("array<struct<way:int,place:int,key:bigint>>")]
     for number, (name, values) in enumerate(ways):
         if keys[name]:
-            hit = hit | F.exists(values, _among(keys[name]))
             places.append(F.filter(F.transform(values, _placed(number)), _keys_among(keys[name])))
     retrieved = texts.where(hit).select("row", "doc_id", "hashes", F.explode(F.concat(*places)).alias("p")).select("row", "doc_id", "hashes", "p.*")
     found = retrieved.join(F.broadcast(table), ["way", "key"])  # the windows of at most MOST templates
