@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.anchors import mix
 from wiretally.llm.common import keyed_texts, record_batch
-from wiretally.llm.shingles import PRIME, Shingler
+from wiretally.llm.shingles import PRIME, WORD
 
 SEED = 4
 RARE = 0.001
@@ -36,16 +36,29 @@ BLOCK_CHARS = 4 << 20
 MATCHED = "array<struct<item_id:long,score:double,begin:int,end:int>>"
 
 
+def _joined(words: list[np.ndarray]) -> np.ndarray:
+    """One key for words that follow one another, and for how many they are."""
+    key = words[0]
+    for word in words[1:]:
+        key = key * PRIME + word
+    return mix(key + np.uint64(len(words)))
+
+
+def _seeds(words: np.ndarray, size: int) -> np.ndarray:
+    n = len(words) - size + 1
+    return _joined([words[step : step + n] for step in range(size)]) if size else np.empty(0, np.uint64)
+
+
 class Items:
-    """Seeds of one block of items, ready for lookup."""
+    """Seeds of one block of items, ready for lookup. Words are numbers of the items' own vocabulary; all other words are 0."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.words = Shingler(SEED)
+        self.vocabulary: dict[str, int] = {}
         self.ids = [item_id for item_id, _ in rows]
-        self.texts = [self.words.words(text) for _, text in rows]
+        self.texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.lower())], np.uint64) for _, text in rows]
         owners, places, keys = [], [], []
-        for number, (_, text) in enumerate(rows):
-            found = self.words.in_order(text)
+        for number, words in enumerate(self.texts):
+            found = _seeds(words, min(SEED, len(words)))
             keys.append(found)
             owners += [number] * len(found)
             places += range(len(found))
@@ -56,6 +69,10 @@ class Items:
         self.sizes = sorted({min(SEED, len(t)) for t in self.texts if len(t)})
         self.weight = np.ones(len(self.seeds))
 
+    def words(self, text: str | None) -> np.ndarray:
+        number = self.vocabulary.get
+        return np.array([number(w, 0) for w in WORD.findall((text or "").lower())], np.uint64)
+
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text where seeds begin, and which seeds; items shorter than a seed are seeds as a whole."""
         where, which = [], []
@@ -63,20 +80,24 @@ class Items:
             n = len(words) - size + 1
             if n < 1 or not len(self.seeds):
                 continue
-            joined = words[:n].copy()
+            known = words > 0
+            whole = known[:n].copy()
             for step in range(1, size):
-                joined = joined * PRIME + words[step : step + n]
-            keys = mix(joined + np.uint64(size))
+                whole &= known[step : step + n]
+            spots = np.flatnonzero(whole)
+            if not len(spots):
+                continue
+            keys = _joined([words[spots + step] for step in range(size)])
             at = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
-            found = np.flatnonzero(self.seeds[at] == keys)
-            where.append(found)
+            found = self.seeds[at] == keys
+            where.append(spots[found])
             which.append(at[found])
         empty = np.empty(0, np.int64)
         return (np.concatenate(where), np.concatenate(which)) if where else (empty, empty)
 
     def matches(self, text: str | None, threshold: float) -> list[dict]:
         """The best passage for each item that reaches the threshold, as places of words in the text."""
-        words = self.words.words(text)
+        words = self.words(text)
         where, which = self.hits(words)
         if not len(where):
             return []
@@ -144,7 +165,7 @@ def seed_counts(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             total += batch.num_rows
             for text in batch.column(1).to_pylist():
-                counts[np.unique(items.hits(items.words.words(text))[1])] += 1
+                counts[np.unique(items.hits(items.words(text))[1])] += 1
         found = np.flatnonzero(counts)
         yield record_batch(schema, [-1, *found], [total, *counts[found]])
 

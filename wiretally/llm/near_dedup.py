@@ -196,12 +196,14 @@ def similarity_join(
     the links (a, b, similarity) between texts, a < b, that hold the classes together; pairs inside a class are not all listed.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer words is one shingle; a text without words
-    (null, empty) is a class of its own. ``row`` is ``row_col`` (longs, unique) if given, else a number by place in the table: ``docs``
-    must then read the same rows in the same order each time, as files do. Shingles are compared as 64-bit hashes.
+    (null, empty) is a class of its own. ``row`` is ``row_col`` (longs, unique, the same at every reading) if given; else rows are
+    numbered and written once, as texts are read twice. Shingles are compared as 64-bit hashes.
     """
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
     texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not row_col:
+        texts = written(texts, folder, "numbered", compression="zstd")
     signed = written(signatures(texts, size), folder, "signed", compression="none")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(rank.alias("rank"), "labels", "bits")).alias("first"))

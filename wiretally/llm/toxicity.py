@@ -27,7 +27,8 @@ STEMS = (4, 5, 6)
 SAMPLE = 20_000  # labelled rows that a fit takes: those with the smallest hashes of their ids
 TERMS = 1_024  # buckets that the machine knows: those that tell the labels apart best among the sample
 FACTORS = 4
-EPOCHS = 12
+STEPS = 1_000  # of a fit, whatever the number of rows
+MIXED = 256  # rows in a step
 CACHED = 300_000
 WORD = re.compile(r"\w+")
 
@@ -127,16 +128,18 @@ def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seed: i
     bias, weights = np.float32(np.log(mean / (1 - mean))), np.zeros(len(terms), np.float32)
     factors = random.normal(0, 0.01, (len(terms), FACTORS)).astype(np.float32)
     sums = [np.float32(1e-6), np.full(len(terms), 1e-6, np.float32), np.full(factors.shape, 1e-6, np.float32)]
-    for _ in range(EPOCHS):
-        order = random.permutation(len(rows))
-        for at in range(0, len(rows), 256):
-            x, y = table[order[at : at + 256]].astype(np.float32), labels[order[at : at + 256]]
-            inner = x @ factors
-            raw = bias + x @ weights + 0.5 * ((inner**2).sum(axis=1) - x @ (factors**2).sum(axis=1))
-            slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(y)
-            steps = (slope.sum(), slope @ x + 1e-5 * weights, x.T @ (slope[:, None] * inner) - factors * (slope @ x)[:, None] + 1e-5 * factors)
-            sums = [s + g * g for s, g in zip(sums, steps, strict=True)]
-            bias, weights, factors = (p - 0.1 * g / np.sqrt(s) for p, g, s in zip((bias, weights, factors), steps, sums, strict=True))
+    order, at = random.permutation(len(rows)), 0
+    for _ in range(STEPS):
+        if at >= len(order):
+            order, at = random.permutation(len(rows)), 0
+        x, y = table[order[at : at + MIXED]].astype(np.float32), labels[order[at : at + MIXED]]
+        at += MIXED
+        inner = x @ factors
+        raw = bias + x @ weights + 0.5 * ((inner**2).sum(axis=1) - x @ (factors**2).sum(axis=1))
+        slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(y)
+        steps = (slope.sum(), slope @ x + 1e-5 * weights, x.T @ (slope[:, None] * inner) - factors * (slope @ x)[:, None] + 1e-5 * factors)
+        sums = [s + g * g for s, g in zip(sums, steps, strict=True)]
+        bias, weights, factors = (p - 0.1 * g / np.sqrt(s) for p, g, s in zip((bias, weights, factors), steps, sums, strict=True))
     return Machine(terms, float(bias), weights, factors)
 
 
