@@ -39,11 +39,9 @@ TARGETS = [
 ]
 
 
-@pytest.mark.parametrize("rule_limit,fold", [(2000, 200), (2, 200), (2, 0)])
-def test_rule_paths(spark, monkeypatch, rule_limit, fold):
+@pytest.mark.parametrize("rule_limit", [2000, 2])
+def test_rule_paths(spark, monkeypatch, rule_limit):
     monkeypatch.setattr(M, "RULE_LIMIT", rule_limit)
-    if fold == 0:  # needles through the automaton
-        monkeypatch.setattr(M, "FOLD_LIMIT", 1)
     rules = sorted(RULES)
     table = spark.createDataFrame([(*r, "why") for r in RULES], "id long, kind string, pattern string, active boolean, reason string")
     log = spark.createDataFrame([(i, *t) for i, t in enumerate(TARGETS)], "log_id int, database string, username string, tab string")
@@ -54,18 +52,16 @@ def test_rule_paths(spark, monkeypatch, rule_limit, fold):
         assert got[i] == (first, first is not None), TARGETS[i]
 
 
-@pytest.mark.parametrize("path", ["fold", "automaton", "grams"])
-def test_substring_paths(spark, monkeypatch, path):
+@pytest.mark.parametrize("count", [80, 1, 0])
+def test_substrings(spark, count):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
     texts = [word(rng.randrange(0, 60)) for _ in range(150)] + [None]
-    needles = [(i + 1, word(rng.randrange(1, 9))) for i in range(80)]
-    monkeypatch.setattr(M, "FOLD_LIMIT", 200 if path == "fold" else 5)
-    if path == "grams":
-        monkeypatch.setattr(M, "AUTOMATON_BYTES", 0)
+    texts += texts[:30]
+    needles = [(i + 1, word(rng.randrange(1, 9))) for i in range(count)]
     log = spark.createDataFrame(list(enumerate(texts)), "log_id int, low string")
     table = spark.createDataFrame(needles, "id long, needle string")
-    got = {r.log_id: r.hit for r in M.substring_first(log, "low", table, "log_id", "hit").collect()}
+    got = {r.log_id: r.hit for r in M.substring_first(log, "low", table, "hit").collect()}
     for i, t in enumerate(texts):
         assert got[i] == (None if t is None else min((n for n, w in needles if w in t), default=None))
 
@@ -142,16 +138,16 @@ def test_custom_rules(spark):
     assert got == {1: (2, "block"), 2: (3, "alert"), 3: (None, None)}
 
 
-def test_nested_lists_split_big_keys(spark):
+def test_nested_lists_in_parts(spark):
     from wiretally.operators.nest import nest
 
     rows = [(("a" if i % 3 else None), i) for i in range(90)] + [("b", 1)]
     df = spark.createDataFrame(rows, "k string, v int")
-    got = nest(df, ["k"], F.col("v"), "items", spread_by="v", max_items=20).collect()
+    got = nest(df, ["k"], F.col("v"), "items", spread_by="v", parts=4).collect()
     found = {}
     for r in got:
         found.setdefault(r.k, []).extend(r["items"])
     assert {k: sorted(v) for k, v in found.items()} == {
         "a": [i for i in range(90) if i % 3], None: [i for i in range(90) if not i % 3], "b": [1],
     }
-    assert len([r for r in got if r.k == "a"]) > 1 and len([r for r in got if r.k == "b"]) == 1
+    assert len([r for r in got if r.k == "a"]) == 4 and len([r for r in got if r.k == "b"]) == 1

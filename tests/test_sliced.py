@@ -109,4 +109,4 @@ def test_trend_of_a_flat_series_and_short_series(spark):
     found = {r.key: r for r in T.trend(df, "key", ["ts", "id"], "v").collect()}
     assert set(found) == {"flat", "up"}
     assert found["flat"].direction == "stable" and found["flat"].confidence == 1.0
-    assert found["up"].n == 1000 and round(found["up"].slope, 6) == 1.0 and found["up"].direction == "increasing"
+    assert found["up"].n == 1500 and round(found["up"].slope, 6) == 1.0 and found["up"].direction == "increasing"

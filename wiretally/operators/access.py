@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions.keys import strip_port
-from wiretally.operators.nest import MAX_ITEMS, nest
+from wiretally.operators.nest import nest
 from wiretally.operators.netblocks import ip_in_list
 from wiretally.operators.screen import first_denial
 
@@ -22,12 +22,15 @@ def _user_side(users: DataFrame) -> DataFrame:
 
 
 def _permission_side(permissions: DataFrame) -> DataFrame:
-    return permissions.select(
-        F.col("username").alias("_p"),
-        F.col("database").alias("_p_db"),
-        F.col("table").alias("_p_table"),
-        F.col("actions").alias("_p_actions"),
-        F.col("time_limit").alias("_p_until"),
+    """One permission per user, so that no request is multiplied: of several the first by database, table, actions, limit."""
+    row = F.struct("database", "table", "actions", "time_limit")
+    first = permissions.groupBy(F.col("username").alias("_p")).agg(F.min(row).alias("_first"))
+    return first.select(
+        "_p",
+        F.col("_first.database").alias("_p_db"),
+        F.col("_first.table").alias("_p_table"),
+        F.col("_first.actions").alias("_p_actions"),
+        F.col("_first.time_limit").alias("_p_until"),
     )
 
 
@@ -57,7 +60,7 @@ def authenticate(
     *,
     check_ip: bool = True,
 ) -> DataFrame:
-    """Add ``allowed, deny_reason``. One permission row per user; users are unique by name."""
+    """Add ``allowed, deny_reason``. Of several permissions of a user the first counts; users are unique by name."""
     df = requests.join(_user_side(users), F.col("username") == F.col("_u"), "left")
     df = df.join(_permission_side(permissions), F.col("username") == F.col("_p"), "left")
     ip = F.col("source_ip") if check_ip else None
@@ -164,14 +167,14 @@ def user_view(users: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def users_enhanced(
-    users: DataFrame, profiles: DataFrame, permissions: DataFrame, *, max_items: int = MAX_ITEMS
+    users: DataFrame, profiles: DataFrame, permissions: DataFrame, *, parts: int = 1
 ) -> DataFrame:
     """``user_view`` with each user's permissions nested, ordered by database, table, id.
 
-    ``part`` numbers the rows of a user with more than ``max_items`` permissions (else 0).
+    Each user has a row for each of ``parts`` (see ``nest``) that holds permissions, and one without any else.
     """
     item = F.struct("database", "table", "permission_id", "actions")
-    nested = nest(permissions, ["user_id"], item, "permissions", spread_by="permission_id", max_items=max_items)
+    nested = nest(permissions, ["user_id"], item, "permissions", spread_by="permission_id", parts=parts)
     nested = nested.withColumnRenamed("user_id", "_uid")
     empty = F.array().cast(nested.schema["permissions"].dataType)
     return (

@@ -40,7 +40,7 @@ def top_patterns(stats: DataFrame, k: int = 10) -> DataFrame:
     return stats.orderBy(F.col("frequency").desc(), "pattern_id").limit(k)
 
 
-def cap_patterns(stats: DataFrame, n: int = 1000) -> DataFrame:
+def cap_patterns(stats: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` patterns (the older ones are evicted)."""
     return stats.orderBy(F.col("last_seen").desc(), "pattern_id").limit(n)
 
@@ -54,12 +54,9 @@ def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str])
     )
 
 
-def trim_history(df: DataFrame, order: list[str], cap: int) -> DataFrame:
-    """Above twice the cap keep the newest half of the rows, else all of them."""
-    total = df.count()
-    if total <= 2 * cap:
-        return df
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(total // 2)
+def trim_history(df: DataFrame, ts: str, since: Column) -> DataFrame:
+    """The rows from ``since`` on; the caller says how far back training looks."""
+    return df.filter(F.col(ts) >= since)
 
 
 def latency_ema(
@@ -170,8 +167,10 @@ def fit_latency(df: DataFrame, *, label: str = "latency") -> LinearRegressionMod
     ).fit(_assembled(df).select("_x", label))
 
 
-def predict_latency(model: LinearRegressionModel, df: DataFrame) -> DataFrame:
-    """Add ``predicted``; negative predictions become 0.001."""
+def predict_latency(model: LinearRegressionModel | None, df: DataFrame) -> DataFrame:
+    """Add ``predicted``; negative predictions become 0.001. Without a model (too few samples) it is null."""
+    if model is None:
+        return df.withColumn("predicted", F.lit(None).cast("double"))
     scored = model.transform(_assembled(df))
     return scored.withColumn("predicted", F.when(F.col("_y") < 0, F.lit(0.001)).otherwise(F.col("_y"))).drop(
         "_x", "_y"
@@ -320,7 +319,7 @@ def ema_series(
     start: float = 0.0,
     slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
-    """Running average after every row, as ``ema``.
+    """Running average after every row, as ``ema``; a null value leaves the average as it was.
 
     Slices carry their entry value from a per-slice closed form; inside a slice rows stream in
     order through one pass that holds a single number.
@@ -359,7 +358,10 @@ def ema_series(
         for batch in batches:  # Arrow keeps the rows' own columns exactly as they came
             out = []
             for entered, x in zip(batch.column("_level").to_pylist(), batch.column(value).to_pylist()):
-                level = alpha * x + keep * level if entered is None else entered
+                if entered is not None:
+                    level = entered
+                elif x is not None:
+                    level = alpha * x + keep * level
                 if entered is None:
                     out.append(level)
             rows = batch.select(columns).filter(pc.is_null(batch.column("_level")))

@@ -10,20 +10,16 @@ equi-join on q-grams beyond that.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
-from importlib.util import find_spec
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.functions import packs
 from wiretally.functions.keys import strip_port
 
-FOLD_LIMIT = 200
+BLOCK = 200  # tests of one folded expression
 RULE_LIMIT = 2000
-AUTOMATON_BYTES = 64 * 1024 * 1024
 GRAM = 4
 
 
@@ -68,7 +64,7 @@ def _plain_word(pattern: str) -> str | None:
 
 def _folded(tests: list[tuple[int, Column]]) -> list[Column]:
     """Lowest id whose test holds, one column per block of tests (tests come in id order)."""
-    blocks = [tests[i : i + FOLD_LIMIT] for i in range(0, len(tests), FOLD_LIMIT)]
+    blocks = [tests[i : i + BLOCK] for i in range(0, len(tests), BLOCK)]
     return [F.coalesce(*[F.when(t, F.lit(i).cast("bigint")) for i, t in block]) for block in blocks]
 
 
@@ -133,7 +129,7 @@ def _many_rules(df: DataFrame, rules: DataFrame, target: str, out: str) -> tuple
     df = lookup_first(df, F.col(f"_low_{out}"), words, "word", "id", f"_word_{out}")
     names = df.select(F.col(f"_low_{out}").alias("name")).filter("name IS NOT NULL").distinct()
     needles = rules.select("id", F.lower("pattern").alias("needle"))
-    texts = substring_first(names, "name", needles, "name", "text_id").filter("text_id IS NOT NULL")
+    texts = substring_first(names, "name", needles, "text_id").filter("text_id IS NOT NULL")
     df = lookup_first(df, F.col(f"_low_{out}"), texts, "name", "text_id", f"_text_{out}")
     general = sorted(rules.filter(~plain).toLocalIterator(), key=lambda r: r.id)
     tests = [
@@ -180,59 +176,20 @@ def match_security_rules(log: DataFrame, rules: DataFrame, *, query: str = "quer
 # --- substrings ------------------------------------------------------------------------------------
 
 
-def substring_first(log: DataFrame, text: str, needles: DataFrame, key: str, out: str) -> DataFrame:
-    """Add ``out``: lowest id of the needles (``id, needle``, lower case) a text contains.
+def substring_first(log: DataFrame, text: str, needles: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: lowest id of the needles (``id, needle``, lower case) that a text contains.
 
-    ``text`` is lower-cased already; ``key`` identifies log rows (used beyond the automaton size).
+    ``text`` is lower-cased already. One plan for any number of needles: each is anchored on the q-gram that is rarest among the needles,
+    and joined with the q-grams of the distinct texts; needles shorter than a gram, few by nature of their alphabet, are
+    folded into the plan. Texts meet their result again by content, so rows need no key and may repeat.
     """
     needles = needles.filter(F.length("needle") > 0).groupBy("needle").agg(F.min("id").alias("id"))
-    size = needles.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("needle")).alias("bytes")
-    ).first()
-    if size.n == 0:
-        return log.withColumn(out, F.lit(None).cast("bigint"))
-    if size.n <= FOLD_LIMIT:
-        rows = sorted(needles.collect(), key=lambda r: r.id)
-        return log.withColumn(out, least_id(_folded([(r.id, F.col(text).contains(r.needle)) for r in rows])))
-    if size.bytes <= AUTOMATON_BYTES and find_spec("ahocorasick"):
-        return _by_automaton(log, text, needles, out)
-    return substring_by_grams(log, text, needles, key, out)
-
-
-def _by_automaton(log: DataFrame, text: str, needles: DataFrame, out: str) -> DataFrame:
-    shared = log.sparkSession.sparkContext.broadcast([(r.needle, r.id) for r in needles.collect()])
-
-    @F.pandas_udf("bigint")
-    def first_id(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for needle, i in shared.value:
-            automaton.add_word(needle, i)
-        automaton.make_automaton()
-        for texts in batches:
-            yield pd.Series(
-                [
-                    None if t is None else min((i for _, i in automaton.iter(t)), default=None)
-                    for t in texts
-                ],
-                dtype="Int64",
-            )
-
-    return log.withColumn(out, first_id(F.col(text)))
-
-
-def substring_by_grams(log: DataFrame, text: str, needles: DataFrame, key: str, out: str) -> DataFrame:
-    """Substring search as an equi-join: a needle is anchored on one q-gram, texts on their q-grams.
-
-    Needles shorter than a gram are few by nature of their alphabet and are folded.
-    """
-    long_needles = needles.filter(F.length("needle") >= GRAM)
     short = sorted(needles.filter(F.length("needle") < GRAM).collect(), key=lambda r: r.id)
     folded = _folded([(r.id, F.col(text).contains(r.needle)) for r in short])
     last = F.length("needle") - GRAM + 1
-    anchored = (  # the anchor is the needle's rarest gram among the needles: it spreads the join
-        long_needles.withColumn("pos", F.explode(F.sequence(F.lit(1), last)))
+    anchored = (
+        needles.filter(F.length("needle") >= GRAM)
+        .withColumn("pos", F.explode(F.sequence(F.lit(1), last)))
         .select("id", "needle", F.expr(f"substring(needle, pos, {GRAM})").alias("gram"))
     )
     freq = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
@@ -241,25 +198,19 @@ def substring_by_grams(log: DataFrame, text: str, needles: DataFrame, key: str,
         .groupBy("id", "needle")
         .agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
     )
-    # one distinct row per (text, gram); the texts themselves are joined back by key only
-    grams = log.select(
-        F.col(key).alias("_gk"),
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
-        ).alias("gram"),
-    )
-    candidates = grams.join(anchors, "gram").select("_gk", "id", "needle")
+    texts = log.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    pattern = F.lit(rf"(?s)(?=(.{{{GRAM}}})).")
+    grams = texts.select("_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", pattern, F.lit(1)))).alias("gram"))
     hits = (
-        log.select(F.col(key).alias("_tk"), F.col(text).alias("_text"))
-        .join(candidates, F.col("_tk") == F.col("_gk"))
+        grams.join(anchors, "gram")
         .filter(F.col("_text").contains(F.col("needle")))
-        .groupBy("_tk")
+        .groupBy("_text")
         .agg(F.min("id").cast("bigint").alias("_gram_id"))
     )
     return (
-        log.join(hits, F.col(key) == F.col("_tk"), "left")
+        log.join(hits, F.col(text) == F.col("_text"), "left")
         .withColumn(out, least_id([*folded, F.col("_gram_id")]))
-        .drop("_gram_id", "_tk")
+        .drop("_gram_id", "_text")
     )
 
 
@@ -273,7 +224,6 @@ def match_threats(
     indicators: DataFrame,
     policy: DataFrame | None = None,
     *,
-    key: str = "log_id",
     source_ip: str = "source_ip",
     username: str = "username",
     query: str = "query",
@@ -301,7 +251,7 @@ def match_threats(
     df = lookup_first(df, F.lower(username), emails, "value", "id", "_email_id")
     df = df.withColumn("_low", F.lower(query))
     needles = of_type(*SUBSTRING_TYPES).select("id", F.lower("value").alias("needle"))
-    df = substring_first(df, "_low", needles, key, "_text_id")
+    df = substring_first(df, "_low", needles, "_text_id")
     patterns = sorted(of_type("pattern").select("id", "value").toLocalIterator(), key=lambda r: r.id)
     tests = [
         (r.id, F.col("_low").rlike(java_regex(r.value))) for r in patterns if compiles(spark, r.value)

@@ -1,28 +1,16 @@
-"""Nested lists per key that stay bounded when one key holds most of the rows."""
+"""Nested lists per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 100_000
 
+def nest(df: DataFrame, keys: list[str], item: Column, out: str, *, spread_by: str, parts: int = 1) -> DataFrame:
+    """``keys, part, out``: the key's items as sorted arrays, one for each ``part`` that has any.
 
-def nest(df: DataFrame, keys: list[str], item: Column, out: str, *, spread_by: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """``keys, part, out``: the key's items as sorted arrays of about ``max_items`` at most.
-
-    Nearly every key has one row, ``part`` 0. A key with more items has several, its items split
-    by a hash of ``spread_by``; nothing is dropped and no row grows with the data.
+    An item's part is a hash of ``spread_by`` modulo ``parts``, whatever the key's size: callers with keys too large for one
+    row ask for more parts, and every key is laid out alike. Nothing is dropped.
     """
-    big = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.ceil(F.col("_n") / max_items).alias("_parts"))
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
-    # at most total / max_items keys are big, which bounds the broadcast side
-    marked = df.join(F.broadcast(big), on, "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0)).cast("int")
-    )
-    return marked.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias(out))
+    part = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int").alias("part")
+    return df.groupBy(*keys, part).agg(F.sort_array(F.collect_list(item)).alias(out))

@@ -219,7 +219,7 @@ def evict_lru(
     total = F.broadcast(entries.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total")))
     joined = ranked.crossJoin(total)
     target = int(max_bytes * 0.9)
-    evicted = (F.col("_total") > target) & (F.col("_bytes") > target)
+    evicted = (F.col("_total") > max_bytes) & (F.col("_bytes") > target)
     if max_entries is not None:
         evicted = evicted | (F.col("_rank") >= max_entries)
     return joined.withColumn("evicted", evicted).drop("_bytes", "_rank", "_total")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from wiretally.functions.keys import SLOTS, USER_SEED, mix32
 from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, running_sums
 
-MAX_PER_ENV = 32
-PROBED = 8
+ENV_BITS = 32  # a backend's id is its environment's id, shifted, and its position there
 
 
 def backend_lists(backends: DataFrame) -> DataFrame:
@@ -153,11 +152,11 @@ def split_traffic(
 
 
 def environment_arrays(backends: DataFrame) -> DataFrame:
-    """Per environment its backends' health by position and the first healthy of the first eight."""
+    """Per environment its backends' health by position and the first healthy one."""
     return backends.groupBy("env_id").agg(
         F.count(F.lit(1)).cast("int").alias("_n"),
         F.sort_array(F.collect_list(F.struct("position", "healthy"))).alias("_b"),
-        F.min(F.when(F.col("healthy") & (F.col("position") < PROBED), F.col("position"))).alias("_spare"),
+        F.min(F.when(F.col("healthy"), F.col("position"))).alias("_spare"),
     )
 
 
@@ -171,7 +170,7 @@ def choose_backend(
     ip: str = "ip",
     port: str = "port",
 ) -> DataFrame:
-    """Hash (ip, port) to a backend of ``env_id``; unhealthy: first healthy of the first eight.
+    """Hash (ip, port) to a backend of ``env_id``; unhealthy: the environment's first healthy one.
 
     Adds ``backend_id`` (null: request failed) and ``failed_over``. With failover on, requests of
     the primary without a backend try the secondary.
@@ -182,14 +181,14 @@ def choose_backend(
         joined = df.join(side.withColumnRenamed("env_id", "_env"), env == F.col("_env"), "left")
         at = (mix32(F.col(ip), F.col(port)) % F.col("_n")).cast("int")
         place = F.when(F.get("_b", at)["healthy"], at).otherwise(F.col("_spare"))
-        return joined.withColumn(out, F.col("_env") * MAX_PER_ENV + place).drop("_env", "_n", "_b", "_spare")
+        return joined.withColumn(out, F.shiftleft(F.col("_env").cast("bigint"), ENV_BITS) + place).drop("_env", "_n", "_b", "_spare")
 
     df = pick(requests, F.col("env_id"), "_first")
     if failover:
         df = pick(df, F.lit(secondary), "_second")
         second = F.when((F.col("env_id") == primary) & F.col("_first").isNull(), F.col("_second"))
     else:
-        second = F.lit(None).cast("int")
+        second = F.lit(None).cast("bigint")
     df = df.withColumn("failed_over", second.isNotNull()).withColumn(
         "backend_id", F.coalesce(F.col("_first"), second)
     )

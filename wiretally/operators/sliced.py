@@ -8,6 +8,8 @@ over the slice width, not by the row count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,15 +140,19 @@ def ema_parts(
 ) -> DataFrame:
     """Per (key, slice) the row count ``_n`` and each average's part ``_e_<name>`` from its own rows.
 
-    Weights use the distance from the slice's end, so long series cannot overflow.
+    Weights use the distance from the slice's end, so long series cannot overflow. Rows with a null among the values are left out.
     """
     rows = with_slice(df, keys, ts, slice_seconds)
-    back = F.row_number().over(W.partitionBy(PLACE).orderBy(*_order(ts, tie, True))) - 1
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in values.values()])
+    back = F.count_if(known).over(_upto(_order(ts, tie, True))) - 1
     weight = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_back"))
     return (
         rows.withColumn("_back", back)
         .groupBy(PLACE)
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c * weight).alias(f"_e_{n}") for n, c in values.items()])
+        .agg(
+            F.count_if(known).alias("_n"),
+            *[F.coalesce(F.sum(F.when(known, c * weight)), F.lit(0.0)).alias(f"_e_{n}") for n, c in values.items()],
+        )
     )
 
 
@@ -161,7 +167,7 @@ def ema_final(
     init: dict[str, float] | None = None,
     slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
-    """Final exponential moving average per key, plus ``n`` rows; start value 0 unless given."""
+    """Final exponential moving average per key, plus ``n`` rows without nulls; start value 0 unless given."""
     keep = F.lit(1.0 - alpha)
     partial = ema_parts(df, keys, ts, tie, values, alpha, slice_seconds)
     later = _chain(keys, descending=True).rowsBetween(W.unboundedPreceding, -1)

@@ -7,19 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wiretally.functions import packs
-from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, ema_final, previous_values
+from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, ema_final, previous_values, running_sums
 
-HISTORY = 1000
 MIN_POINTS = 10
 
 
-def trend(points: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Least-squares trend over each key's last 1000 points (ten at least).
+def trend(points: DataFrame, key: str, order: list[str], value: str, last: int | None = None, **how) -> DataFrame:
+    """Least-squares trend over each key's points (ten at least), newest first; over the ``last`` ones if that is given.
 
-    The row-number limit is pushed below the shuffle, so at most 1000 rows per key and task move.
+    A point's place comes from running sums over time slices, so a key's points may be in many tasks; with ``last`` the limit is
+    pushed below the shuffle instead, and at most so many rows per key and task move.
     """
-    newest = W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    kept = points.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= HISTORY)
+    if last is None:
+        kept = running_sums(points, [key], *order, {"_r": F.lit(1)}, descending=True, **how)
+    else:
+        newest = W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+        kept = points.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= last)
     x, y = -F.col("_r").cast("double"), F.col(value)
     fitted = kept.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("_r2")

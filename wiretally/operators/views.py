@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions.fingerprint import truncate
-from wiretally.operators.nest import MAX_ITEMS, nest
+from wiretally.operators.nest import nest
 
 
 def page(df: DataFrame, order: list[Column], *, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -87,11 +87,11 @@ def policy_view(configs: DataFrame, databases: DataFrame) -> DataFrame:
     return configs.join(side, F.col("database_id") == F.col("_d"), "inner").drop("_d")
 
 
-def schema_view(columns: DataFrame, database_id: int | None = None, *, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Column descriptions nested by table (``part`` numbers the rows of an oversized table)."""
+def schema_view(columns: DataFrame, database_id: int | None = None, *, parts: int = 1) -> DataFrame:
+    """Column descriptions nested by table (in ``parts`` rows each, see ``nest``)."""
     rows = columns if database_id is None else columns.filter(F.col("database_id") == database_id)
     item = F.struct("column_name", "data_type", "is_nullable")
-    return nest(rows, ["database_id", "table_name"], item, "columns", spread_by="column_name", max_items=max_items)
+    return nest(rows, ["database_id", "table_name"], item, "columns", spread_by="column_name", parts=parts)
 
 
 def runnable_files(files: DataFrame, databases: DataFrame, servers: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def _(spark, sf):
     first = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
     needles = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), first.alias("needle"))
     pages = load(spark, sf, "pages").select("page_id", F.lower("url").alias("low"))
-    return M.substring_first(pages, "low", needles, "page_id", "indicator_id").drop("low")
+    return M.substring_first(pages, "low", needles, "indicator_id").drop("low")
 
 
 @query(
@@ -116,7 +116,7 @@ def _(spark, sf):
         .filter(F.length("needle") > 0).groupBy("needle").agg(F.min("id").alias("id"))
     )
     pages = load(spark, sf, "pages").select("page_id", F.lower("html").alias("low"))
-    return M.substring_by_grams(pages, "low", needles, "page_id", "indicator_id").drop("low")
+    return M.substring_first(pages, "low", needles, "indicator_id").drop("low")
 
 
 # --- addresses -------------------------------------------------------------------------------------------

@@ -95,11 +95,10 @@ def _(spark, sf):
 
 @query(
     "training_trim",
-    """SELECT count(*) AS kept, min(event_id) AS first_id, max(event_id) AS last_id FROM (
-      SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT (SELECT count(*) // 2 FROM events))""",
+    f"SELECT count(*) AS kept, min(event_id) AS first_id, max(event_id) AS last_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}'",
 )
 def _(spark, sf):
-    kept = L.trim_history(load(spark, sf, "events").select("ts", "event_id"), ["ts", "event_id"], 100)
+    kept = L.trim_history(load(spark, sf, "events").select("ts", "event_id"), "ts", as_of())
     return kept.agg(
         F.count(F.lit(1)).alias("kept"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
     )
@@ -284,14 +283,14 @@ def _(spark, sf):
 
 @query("latency_fit")
 def _(spark, sf):
-    df = with_features(spark, sf).persist()
+    df = with_features(spark, sf)
     model = L.fit_latency(df)
     return L.predict_latency(model, df).select("log_id", "latency", F.round("predicted", 6).alias("predicted"))
 
 
 @query("latency_fit_accuracy")
 def _(spark, sf):
-    df = with_features(spark, sf).persist()
+    df = with_features(spark, sf)
     return L.fit_accuracy(L.predict_latency(L.fit_latency(df), df).filter("latency > 0"))
 
 

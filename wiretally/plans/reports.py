@@ -141,7 +141,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Scan documents as they are stored (servers, issues nested), opened again."""
     item = F.struct("issue_id", "type", "severity", "category", "title")
-    per_server = nest(issues(spark, sf), ["scan_id", "scan_ts", "server"], item, "issues", spread_by="issue_id", max_items=20)
+    per_server = nest(issues(spark, sf), ["scan_id", "scan_ts", "server"], item, "issues", spread_by="issue_id", parts=3)
     documents = per_server.select(
         "scan_id", "scan_ts", F.array(F.struct(F.col("server").alias("server_name"), "issues")).alias("server_results")
     )
@@ -201,7 +201,7 @@ HOST_SQL = """SELECT c_custkey, 'h' || c_custkey AS host, 22 + c_custkey % 4 AS
     f"""WITH h AS ({HOST_SQL}), t AS (SELECT host, 'SOC2' AS framework, 'CC1.1' AS test_id, 'high' AS severity,
         CASE WHEN min_length >= 12 AND "upper" AND special THEN 'pass' ELSE 'fail' END AS status, '' AS details FROM h
       UNION ALL SELECT host, 'SOC2', 'CC2.1', 'critical', 'skip', '' FROM h UNION ALL SELECT host, 'NIST', 'ID.AM-1', 'medium', 'skip', '' FROM h
-      UNION ALL SELECT host, 'NIST', 'PR.AC-1', 'high', 'pass', '' FROM h UNION ALL SELECT host, 'HIPAA', '164.308(a)(1)(i)', 'high', 'skip', '' FROM h
+      UNION ALL SELECT host, 'NIST', 'PR.AC-1', 'high', 'skip', '' FROM h UNION ALL SELECT host, 'HIPAA', '164.308(a)(1)(i)', 'high', 'skip', '' FROM h
       UNION ALL SELECT host, 'network', 'NET001', 'high', CASE WHEN p1 = 22 THEN 'pass' ELSE 'fail' END, CASE WHEN p1 = 22 THEN '' ELSE p1::VARCHAR END FROM h)
     SELECT * FROM t""",
 )

@@ -256,7 +256,7 @@ def _(spark, sf):
     "lru_evict",
     f"""{ctes('cache_entries')}, r AS (SELECT entry_id, sum(size) OVER w AS bytes, row_number() OVER w AS rank, sum(size) OVER () AS total FROM cache_entries
       WINDOW w AS (ORDER BY created_at DESC, entry_id DESC ROWS UNBOUNDED PRECEDING))
-    SELECT entry_id, (total > 900000000 AND bytes > 900000000) OR rank >= 4000 AS evicted FROM r""",
+    SELECT entry_id, (total > 1000000000 AND bytes > 900000000) OR rank >= 4000 AS evicted FROM r""",
 )
 def _(spark, sf):
     entries = derive(spark, sf, "cache_entries")
@@ -457,7 +457,7 @@ def _(spark, sf):
 @query(
     "metric_trend",
     """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
-    f AS (SELECT user_id, count(*) AS n, regr_slope(value, -r) AS slope, regr_r2(value, -r) AS r2 FROM r WHERE r <= 1000 GROUP BY 1)
+    f AS (SELECT user_id, count(*) AS n, regr_slope(value, -r) AS slope, regr_r2(value, -r) AS r2 FROM r GROUP BY 1)
     SELECT user_id, n, round(slope, 6) AS slope, CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS direction,
       round(greatest(0, r2), 6) AS confidence FROM f WHERE n >= 10""",
 )

@@ -48,7 +48,7 @@ def env_backends(spark, sf):
 
 
 ENVS = """envs AS (SELECT n_regionkey + 1 AS env_id, n_nationkey // 5 AS position, n_nationkey % 3 <> 0 AS healthy FROM nation),
-    env AS (SELECT env_id, count(*) AS n, list(healthy ORDER BY position) AS h, min(position) FILTER (WHERE healthy AND position < 8) AS spare FROM envs GROUP BY 1)"""
+    env AS (SELECT env_id, count(*) AS n, list(healthy ORDER BY position) AS h, min(position) FILTER (WHERE healthy) AS spare FROM envs GROUP BY 1)"""
 
 
 def split_sql(env: str) -> str:
@@ -90,11 +90,11 @@ def _(spark, sf):
 
 HASHED = mix32_sql("ip::BIGINT", "port::BIGINT")
 CHOSEN = f"""{ctes('packets')}, {ENVS}, s AS ({split_sql(PERCENT)}), c AS (SELECT s.*,
-      s.env_id * 32 + CASE WHEN e.h[1 + {HASHED} % e.n] THEN {HASHED} % e.n ELSE e.spare END AS first,
-      2 * 32 + CASE WHEN f.h[1 + {HASHED} % f.n] THEN {HASHED} % f.n ELSE f.spare END AS second
+      s.env_id::BIGINT * 4294967296 + CASE WHEN e.h[1 + {HASHED} % e.n] THEN {HASHED} % e.n ELSE e.spare END AS first,
+      2::BIGINT * 4294967296 + CASE WHEN f.h[1 + {HASHED} % f.n] THEN {HASHED} % f.n ELSE f.spare END AS second
     FROM s LEFT JOIN env e ON e.env_id = s.env_id LEFT JOIN env f ON f.env_id = 2),
   d AS (SELECT *, env_id = 1 AND first IS NULL AND second IS NOT NULL AS failed_over,
-    CAST(CASE WHEN first IS NULL AND env_id = 1 THEN second ELSE first END AS INT) AS backend_id FROM c)"""
+    CAST(CASE WHEN first IS NULL AND env_id = 1 THEN second ELSE first END AS BIGINT) AS backend_id FROM c)"""
 
 
 def chosen(spark, sf):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,24 +23,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only when no folder is configured (tests on one machine) is a local one set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="wiretally-ckpt-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a table that was read as fewer partitions than there are cores.
 

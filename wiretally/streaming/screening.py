@@ -36,7 +36,7 @@ def screen_sql(
     """
     df = match_blocked(log, rules)
     df = classify_queries(df)
-    df = match_threats(df, indicators, policy, key=key)
+    df = match_threats(df, indicators, policy)
     df = df.withColumn("is_write", is_write_query(F.col("query")))
     df = authorize(df, permissions)
     decided = _decide(
