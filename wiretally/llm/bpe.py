@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from wiretally.llm.common import keyed_texts, record_batch, texts_of
 
 LONG = 200
-CACHED = 300_000  # pieces, and as many words, in each of two generations that a worker keeps
+CACHED = 500_000  # pieces in each of two generations that a worker keeps
+CACHED_WORDS = 300_000  # words, likewise
 OUT_BYTES = 8 << 20
 NONE = 1 << 40
 
@@ -106,16 +107,18 @@ class Vocabulary:
     def _word(self, word: str) -> bytes:
         ids = self.old_seen.get(word)
         if ids is None:
-            raw = word.encode()
-            parts = [self.inner[b] for b in raw]
-            parts[-1] = self.final[raw[-1]]
-            ids = array("I", self.merge(parts) if len(parts) <= LONG else self.merge_long(parts)).tobytes()
+            ids = array("I", self.merge_word(word.encode())).tobytes()
         if len(word) <= LONG:
-            if len(self.seen) >= CACHED:
+            if len(self.seen) >= CACHED_WORDS:
                 self.seen, self.old_seen = {}, self.seen
             self.seen[word] = ids
         return ids
 
+    def merge_word(self, raw: bytes) -> list[int]:
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.final[raw[-1]]
+        return self.merge(parts) if len(parts) <= LONG else self.merge_long(parts)
+
     def merge(self, ids: list[int]) -> list[int]:
         look, merged = self.ranks.get, self.merged
         ranks = [look(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]

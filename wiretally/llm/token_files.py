@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm.bpe import in_small_batches, Vocabulary
+from wiretally.llm.bpe import Vocabulary, byte_letters, in_small_batches
 from wiretally.llm.common import keyed_texts, record_batch, texts_of
 
 CHUNK = 8
@@ -27,8 +28,20 @@ STEP = 512  # bits for each entry of a rank directory
 BLOCK_TOKENS = 1 << 16  # a block ends with the document that reaches so many
 
 LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
-BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("ends", pa.binary()), ("levels", pa.list_(LEVEL))])
-BLOCK_TYPE = "part int, block int, n_tokens long, ids binary, nulls binary, ends binary, levels array<struct<chunks binary, more binary, ranks binary>>"
+BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("ends", pa.binary()), ("levels", pa.list_(LEVEL))])
+BLOCK_TYPE = "part int, block int, before long, n_tokens long, ids binary, nulls binary, ends binary, levels array<struct<chunks binary, more binary, ranks binary>>"
+
+
+class LibraryVocabulary(Vocabulary):
+    """The same cuts and caches, with new words merged by the library's own model."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model, self.letters = tokenizers.Tokenizer.from_file(path).model, byte_letters()
+
+    def merge_word(self, raw: bytes) -> list[int]:
+        letters = self.letters
+        return [token.id for token in self.model.tokenize("".join([letters[b] for b in raw]))]
 
 
 def encode_levels(tokens: np.ndarray) -> list[dict[str, bytes]]:
@@ -97,7 +110,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     ranged = texts.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, part, number = Vocabulary(path), TaskContext.get().partitionId(), 0
+        vocabulary, part, number, before = LibraryVocabulary(path), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
 
         def block(ids: list, texts: list[bytes]) -> pa.RecordBatch:
@@ -105,7 +118,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
             ends = np.cumsum([len(t) // 4 for t in texts], dtype=np.int64)
             numbers = np.array([i or 0 for i in ids], np.int64)
             nulls = np.array([i is None for i in ids])
-            return record_batch(BLOCK, [part], [number], [len(tokens)], [numbers.tobytes()], [nulls.tobytes()], [ends.tobytes()], [encode_levels(tokens)])
+            return record_batch(BLOCK, [part], [number], [before], [len(tokens)], [numbers.tobytes()], [nulls.tobytes()], [ends.tobytes()], [encode_levels(tokens)])
 
         ids, rows, size = [], [], 0
         for batch in batches:
@@ -115,7 +128,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
                 size += len(rows[-1]) // 4
                 if size >= BLOCK_TOKENS:
                     yield block(ids, rows)
-                    ids, rows, size, number = [], [], 0, number + 1
+                    ids, rows, before, size, number = [], [], before + size, 0, number + 1
         if ids:
             yield block(ids, rows)
 
@@ -129,22 +142,21 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.bina
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of each document in the files: the number of ids before it, and its ids as little-endian 32 bits.
 
-    Places come from the blocks' own counts: sums by part (as many as files) and running sums within a part.
+    A block knows how many ids of its part come before it; the parts' sums (one row for each file) are broadcast.
     """
     blocks = spark.read.parquet(folder)
-    sizes = blocks.groupBy("part", "block").agg(F.sum("n_tokens").alias("n_tokens"))
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = parts.selectExpr("part", "sum(size) OVER (ORDER BY part) - size AS base")
-    within = sizes.selectExpr("part", "block", "sum(n_tokens) OVER (PARTITION BY part ORDER BY block) - n_tokens AS inner_base")
-    bases = within.join(before, "part").selectExpr("part", "block", "base + inner_base AS base")
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    bases = parts.selectExpr("part", "sum(size) OVER (ORDER BY part) - size AS base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_small_batches((row for batch in batches for i in range(batch.num_rows) for row in documents({n: batch.column(n)[i].as_py() for n in batch.schema.names})), READ)
 
     def documents(row: dict) -> Iterator[tuple]:
-        block, begin = Block(row["levels"]), 0
-        for doc_id, null, end in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["nulls"], bool).tolist(), np.frombuffer(row["ends"], np.int64).tolist(), strict=True):
-            yield None if null else doc_id, row["base"] + begin, block.tokens(begin, end).astype("<u4").tobytes()
+        numbers, nulls, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["ends"], np.int64)
+        start, begin = row["base"] + row["before"], 0
+        tokens = Block(row["levels"]).tokens(0, row["n_tokens"]).astype("<u4").tobytes()
+        for doc_id, null, end in zip(numbers.tolist(), nulls.tolist(), ends.tolist(), strict=True):
+            yield None if null else doc_id, start + begin, tokens[4 * begin : 4 * end]
             begin = end
 
-    return blocks.join(bases, ["part", "block"]).mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.join(F.broadcast(bases), "part").mapInArrow(run, "doc_id long, start long, ids binary")
