@@ -4,9 +4,10 @@ import pytest
 from compare import compare, database
 
 import __spark_entry__ as entry
+from wiretally.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
