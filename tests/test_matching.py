@@ -151,3 +151,13 @@ def test_nested_lists_in_parts(spark):
         "a": [i for i in range(90) if i % 3], None: [i for i in range(90) if not i % 3], "b": [1],
     }
     assert len([r for r in got if r.k == "a"]) == 4 and len([r for r in got if r.k == "b"]) == 1
+
+
+def test_short_and_long_needles_share_one_plan(spark):
+    texts = ["abc", "xaby", "", "zz\nq", "a" * 40, None, "abc"]
+    words = ["a", "ab", "z\nq", "aaaaa", "y", "missing", ""]
+    log = spark.createDataFrame([(t,) for t in texts], "low string")
+    needles = spark.createDataFrame([(9 - i, w) for i, w in enumerate(words)], "id long, needle string")
+    got = sorted((r.low or "", r.hit or 0) for r in M.substring_first(log, "low", needles, "hit").collect())
+    want = sorted((t or "", min((9 - i for i, w in enumerate(words) if w and t and w in t), default=0)) for t in texts)
+    assert got == want

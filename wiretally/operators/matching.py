@@ -180,16 +180,12 @@ def substring_first(log: DataFrame, text: str, needles: DataFrame, out: str) ->
     """Add ``out``: lowest id of the needles (``id, needle``, lower case) that a text contains.
 
     ``text`` is lower-cased already. One plan for any number of needles: each is anchored on the q-gram that is rarest among the needles,
-    and joined with the q-grams of the distinct texts; needles shorter than a gram, few by nature of their alphabet, are
-    folded into the plan. Texts meet their result again by content, so rows need no key and may repeat.
+    or on its whole self where it is shorter, and joined with the grams of the distinct texts. Texts meet their result again by
+    content, so rows need no key and may repeat.
     """
     needles = needles.filter(F.length("needle") > 0).groupBy("needle").agg(F.min("id").alias("id"))
-    short = sorted(needles.filter(F.length("needle") < GRAM).collect(), key=lambda r: r.id)
-    folded = _folded([(r.id, F.col(text).contains(r.needle)) for r in short])
-    last = F.length("needle") - GRAM + 1
     anchored = (
-        needles.filter(F.length("needle") >= GRAM)
-        .withColumn("pos", F.explode(F.sequence(F.lit(1), last)))
+        needles.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.length("needle") - GRAM + 1, F.lit(1)))))
         .select("id", "needle", F.expr(f"substring(needle, pos, {GRAM})").alias("gram"))
     )
     freq = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
@@ -199,8 +195,9 @@ def substring_first(log: DataFrame, text: str, needles: DataFrame, out: str) ->
         .agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
     )
     texts = log.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
-    pattern = F.lit(rf"(?s)(?=(.{{{GRAM}}})).")
-    grams = texts.select("_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", pattern, F.lit(1)))).alias("gram"))
+    patterns = [F.lit(rf"(?s)(?=(.{{{n}}})).") for n in range(1, GRAM + 1)]
+    every = F.flatten(F.array(*[F.array_distinct(F.regexp_extract_all("_text", p, F.lit(1))) for p in patterns]))
+    grams = texts.select("_text", F.explode(every).alias("gram"))
     hits = (
         grams.join(anchors, "gram")
         .filter(F.col("_text").contains(F.col("needle")))
@@ -209,8 +206,8 @@ def substring_first(log: DataFrame, text: str, needles: DataFrame, out: str) ->
     )
     return (
         log.join(hits, F.col(text) == F.col("_text"), "left")
-        .withColumn(out, least_id([*folded, F.col("_gram_id")]))
-        .drop("_gram_id", "_text")
+        .withColumnRenamed("_gram_id", out)
+        .drop("_text")
     )
 
 

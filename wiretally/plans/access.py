@@ -92,29 +92,31 @@ def _(spark, sf):
     return M.match_counts(matched)
 
 
+WORD_NEEDLES = """WITH needles AS (SELECT min(doc_id) AS id, w FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)
+    WHERE length(w) > 0 GROUP BY w)"""
+
+
+def word_needles(spark, sf):
+    """Every word of every document, as an indicator with the lowest id of a document that holds it."""
+    return load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split(F.lower("text"), " ")).alias("needle"))
+
+
 @query(
     "url_threats",
-    """WITH needles AS (SELECT min(doc_id) AS id, w FROM (SELECT doc_id, lower(string_split(text, ' ')[1]) AS w FROM documents) WHERE length(w) > 0 GROUP BY w)
-    SELECT page_id, min(id) AS indicator_id FROM pages LEFT JOIN needles ON contains(lower(url), w) GROUP BY 1""",
+    f"""{WORD_NEEDLES} SELECT page_id, min(id) AS indicator_id FROM pages LEFT JOIN needles ON contains(lower(url), w) GROUP BY 1""",
 )
 def _(spark, sf):
-    first = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
-    needles = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), first.alias("needle"))
+    needles = word_needles(spark, sf)
     pages = load(spark, sf, "pages").select("page_id", F.lower("url").alias("low"))
     return M.substring_first(pages, "low", needles, "indicator_id").drop("low")
 
 
 @query(
     "url_threats_by_gram",
-    """WITH needles AS (SELECT min(doc_id) AS id, w FROM (SELECT doc_id, lower(string_split(text, ' ')[2]) AS w FROM documents) WHERE length(w) > 0 GROUP BY w)
-    SELECT page_id, min(id) AS indicator_id FROM pages LEFT JOIN needles ON contains(lower(html), w) GROUP BY 1""",
+    f"""{WORD_NEEDLES} SELECT page_id, min(id) AS indicator_id FROM pages LEFT JOIN needles ON contains(lower(html), w) GROUP BY 1""",
 )
 def _(spark, sf):
-    second = F.lower(F.split_part("text", F.lit(" "), F.lit(2)))
-    needles = (
-        load(spark, sf, "documents").select(F.col("doc_id").alias("id"), second.alias("needle"))
-        .filter(F.length("needle") > 0).groupBy("needle").agg(F.min("id").alias("id"))
-    )
+    needles = word_needles(spark, sf)
     pages = load(spark, sf, "pages").select("page_id", F.lower("html").alias("low"))
     return M.substring_first(pages, "low", needles, "indicator_id").drop("low")
 

@@ -400,12 +400,15 @@ def _(spark, sf):
     return headers.groupBy(ip.alias("ip")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SCANNED = "2024-01-31 00:00:00"  # after the last event
+
+
 @query(
     "scan_ages",
     f"""SELECT age, count(*) AS n FROM (SELECT CASE WHEN s // 86400 > 0 THEN (s // 86400) || ' days ago'
         WHEN s % 86400 > 3600 THEN (s % 86400 // 3600) || ' hours ago' ELSE (s % 86400 // 60) || ' minutes ago' END AS age
-      FROM (SELECT CAST(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE ts < TIMESTAMP '{AS_OF}')) GROUP BY 1""",
+      FROM (SELECT CAST(epoch(TIMESTAMP '{SCANNED}') - floor(epoch(ts)) AS BIGINT) AS s FROM events)) GROUP BY 1""",
 )
 def _(spark, sf):
-    past = load(spark, sf, "events").filter(F.col("ts") < as_of())
-    return past.groupBy(fp.age_text(F.col("ts"), as_of()).alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    age = fp.age_text(F.col("ts"), F.lit(SCANNED).cast("timestamp"))
+    return load(spark, sf, "events").groupBy(age.alias("age")).agg(F.count(F.lit(1)).alias("n"))

@@ -643,13 +643,13 @@ def _(spark, sf):
 
 # --- column quality ----------------------------------------------------------------------------------------------
 
-TOKEN = "coalesce(string_split(text, ' ')[3], '')"
+WORDS_SQL = "w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS place FROM documents)"
 
 
 def words(spark, sf):
-    """One token per document: the third word, or a mail address built of it."""
-    word = F.coalesce(F.get(F.split("text", " "), F.lit(2)), F.lit(""))
-    docs = load(spark, sf, "documents").select("doc_id", word.alias("word"))
+    """Every word of every document, with its place; of every fourth document also a mail address built of each."""
+    docs = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    docs = docs.select("doc_id", "word", (F.col("at") + 1).cast("long").alias("place"))
     mail = F.when(F.col("doc_id") % 4 == 0, F.concat("word", F.lit("@Mail.Example.com "))).otherwise(F.col("word"))
     return docs.withColumn("mail", mail)
 
@@ -659,14 +659,14 @@ EMAIL_RE2 = Q.EMAIL.replace(r"\z", "$")
 
 @query(
     "email_scan",
-    f"""WITH w AS (SELECT doc_id, {TOKEN} AS word FROM documents), m AS (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN word || '@Mail.Example.com ' ELSE word END) AS v FROM w),
+    f"""WITH {WORDS_SQL}, m AS (SELECT doc_id, place, trim(CASE doc_id % 4 WHEN 0 THEN word || '@Mail.Example.com ' ELSE word END, E' \\t\\n\\r') AS v FROM w),
     r AS (SELECT *, length(v) <= 254 AND length(string_split(v, '@')[1]) <= 64 AND regexp_matches(v, {_q(EMAIL_RE2)}) AS ok FROM m)
-    SELECT doc_id, ok AS is_valid, CASE WHEN ok THEN lower(v) END AS value, CASE WHEN NOT ok THEN 'Invalid email address' END AS error,
+    SELECT doc_id, place, ok AS is_valid, CASE WHEN ok THEN lower(v) END AS value, CASE WHEN NOT ok THEN 'Invalid email address' END AS error,
       CASE WHEN regexp_matches(lower(v), '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN lower(v) END AS cleaned FROM r""",
 )
 def _(spark, sf):
     mail = F.col("mail")
-    return words(spark, sf).withColumn("r", Q.email(mail)).select("doc_id", "r.*", Q.clean_email(mail).alias("cleaned"))
+    return words(spark, sf).withColumn("r", Q.email(mail)).select("doc_id", "place", "r.*", Q.clean_email(mail).alias("cleaned"))
 
 
 @query(
@@ -694,7 +694,7 @@ LABEL = Q.LABEL
 
 @query(
     "column_report",
-    f"""WITH w AS (SELECT doc_id, {TOKEN} AS word FROM documents), m AS (SELECT word, CASE doc_id % 4 WHEN 0 THEN word || '@Mail.Example.com ' ELSE word END AS mail FROM w),
+    f"""WITH {WORDS_SQL}, m AS (SELECT word, CASE doc_id % 4 WHEN 0 THEN word || '@Mail.Example.com ' ELSE word END AS mail FROM w),
     t AS (SELECT count(*) AS rows, [{{'column': 'word', 'rule': 'not_empty', 'valid': count_if(length(trim(word, E' \\t\\n\\r')) > 0)}}, {{'column': 'word', 'rule': 'length', 'valid': count_if(length(word) BETWEEN 3 AND 9)}},
       {{'column': 'word', 'rule': 'alphanumeric', 'valid': count_if(regexp_matches(word, '^[a-zA-Z0-9]+$'))}}, {{'column': 'word', 'rule': 'slug', 'valid': count_if(regexp_matches(word, '^[a-z0-9]+(?:-[a-z0-9]+)*$'))}},
       {{'column': 'word', 'rule': 'match', 'valid': count_if(regexp_matches(word, '^[A-Z]'))}}, {{'column': 'word', 'rule': 'hostname', 'valid': count_if(regexp_matches(lower(trim(word, E' \\t\\n\\r')), {_q(f'^{LABEL}(?:[.]{LABEL})*$')}))}},

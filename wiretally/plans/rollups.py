@@ -60,12 +60,13 @@ def _(spark, sf):
 
 @query(
     "seeded_rules",
-    f"""SELECT kind, count(*) AS n FROM (SELECT * FROM (VALUES {', '.join(f"('{k}')" for k, _, _ in packs.DEFAULT_BLOCKED)}) d(kind)
-      WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size < 0)) GROUP BY 1""",
+    f"""WITH r AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'table' ELSE 'username' END AS kind FROM part)
+    SELECT kind, count(*) AS n FROM (SELECT kind FROM r UNION ALL
+      SELECT kind FROM (VALUES {', '.join(f"('{k}')" for k, _, _ in packs.DEFAULT_BLOCKED)}) d(kind) WHERE NOT EXISTS (SELECT 1 FROM r)) GROUP BY 1""",
 )
 def _(spark, sf):
-    current = load(spark, sf, "part").filter("p_size < 0").select(
-        F.col("p_partkey").alias("id"), F.lit("table").alias("kind"), F.col("p_name").alias("pattern"),
+    current = load(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "table").otherwise("username").alias("kind"), F.col("p_name").alias("pattern"),
         F.lit("").alias("reason"), F.lit(True).alias("active"),
     )
     return M.seed_rules(current).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -373,13 +374,13 @@ def _(spark, sf):
 
 @query(
     "provider_gaps",
-    """WITH inv AS (SELECT DISTINCT 'prov' || (l_suppkey % 4) AS provider, 'db' || (l_partkey % 3000) AS name FROM lineitem WHERE l_quantity > 30)
+    """WITH inv AS (SELECT DISTINCT 'prov' || (l_suppkey % 4) AS provider, 'db' || l_orderkey AS name FROM lineitem)
     SELECT p.provider, i.name FROM (SELECT DISTINCT provider FROM inv WHERE provider <> 'prov0') p, (SELECT name FROM inv WHERE provider = 'prov0') i
     EXCEPT SELECT provider, name FROM inv""",
 )
 def _(spark, sf):
-    inventory = load(spark, sf, "lineitem").filter("l_quantity > 30").selectExpr(
-        "'prov' || (l_suppkey % 4) AS provider", "'db' || (l_partkey % 3000) AS name"
+    inventory = load(spark, sf, "lineitem").selectExpr(
+        "'prov' || (l_suppkey % 4) AS provider", "'db' || l_orderkey AS name"
     )
     return A.provider_gaps(inventory, "prov0")
 
