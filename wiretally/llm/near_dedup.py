@@ -135,7 +135,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield record_batch(schema, *(c.filter(kept) for c in (batch.column(0), batch.column(1), pa.array(found, pa.float64()))))
 
     ends = [sets.select(F.col("text").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long, similarity double")
+    second = ends[1].join(pairs.select("b").distinct(), "b", "left_semi")  # before its shuffle, where the pairs are few enough to be sent
+    return pairs.join(ends[0], "a").join(second, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 FOLLOWERS = "text long, class long, other long, other_class long, part long, place int, tree int, node binary"
@@ -237,7 +238,8 @@ def similarity_join(
             mixed = placed.groupBy("tree", "node").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").drop("low", "high")
             near = _followers(placed.join(mixed, ["tree", "node"]), following, folder)
         pairs = near.where("other is not null and class <> other_class").select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b")).distinct()
-        fresh = _verified(_likely(pairs, bits, similarity), sets, similarity)
+        likely = written(_likely(pairs, bits, similarity), folder, f"likely{number}")  # its size is known before sets are joined
+        fresh = _verified(likely, sets, similarity)
         links = written(links.unionByName(fresh).distinct(), folder, f"links{number}")
         if not links.isEmpty():
             classes = components(links, folder, f"classes{number}")
