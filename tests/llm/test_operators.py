@@ -217,6 +217,26 @@ def test_similarity_join(spark):
     assert links.where("similarity < 0.8 or a >= b").isEmpty()
 
 
+def test_near_pairs_in_a_large_node(spark):
+    """Pairs of copies among thousands of texts of one template, nearly as close to one another as the threshold."""
+    random.seed(15)
+    base = [f"w{i}" for i in range(300)]
+    changed = lambda words, n: [f"x{random.random()}" if i in at else w for at in [set(random.sample(range(0, len(words), 6), n))] for i, w in enumerate(words)]
+    texts = [changed(base, 10) for _ in range(2600)]
+    texts += [changed(base, 2) for _ in range(300)]  # one class of many texts
+    pairs = []
+    for i in range(0, 400):
+        pairs.append((i, len(texts)))
+        texts.append(changed(texts[i], 6))
+    shingler = Shingler()
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    near = [(a, b) for a, b in pairs if jaccard(shingler.set_of(rows[a][1]), shingler.set_of(rows[b][1])) >= 0.8]
+    assert len(near) > 300
+    classes, _ = near_dedup.similarity_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), row_col="doc_id")
+    of = {r.doc_id: r.class_id for r in classes.collect()}
+    assert [pair for pair in near if of[pair[0]] != of[pair[1]]] == []
+
+
 def test_near_query_on_documents(spark, documents):
     got = {r.doc_id: r.class_id for r in QUERIES["op3_ngram_jaccard_join"](spark, SF).collect()}
     assert got == classes_of(documents)

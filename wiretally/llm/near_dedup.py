@@ -1,16 +1,18 @@
 """Similarity join of documents on word shingles with a MinHash LSH forest.
 
 Texts with equal shingle sets are one *text* of the join, stood for by its first row. Each text has ``TREES`` labels of ``DEPTH`` short
-min-hashes. Sorted by label, the texts of a tree form a trie: texts that share a node's prefix are near one another. Prefixes are matched from
-the longest on and shortened until a pair at the threshold shares one with probability ``recall`` in some tree:
+min-hashes. Sorted by label, the texts of a tree form a trie: texts that share a node's prefix are near one another. The prefix is the longest
+that a pair at the threshold shares with probability ``recall`` in some tree. Texts are first brought together in *groups*, by the share of equal
+min-hashes alone; pairs below the threshold by ``MARGIN`` standard errors or less bring their texts together too:
 
 1. at full depth, each text is compared with the first text of its node;
-2. at the shortest depth, each with the first text of its node that another class holds;
-3. there, each with the ``NEXT`` texts after it in sorted order that other classes hold.
+2. at the prefix, in each node that holds several groups, all pairs of texts of different groups are compared.
 
-After each step, linked texts become classes (connected components), and pairs inside a class are not compared again: a node
-with any number of texts costs a few comparisons for each, never all pairs. A compared pair first has the share of equal
-min-hashes looked at (well below the threshold drops it), then its shingle sets are compared exactly; only that makes a link.
+So any two texts that share a node and may reach the threshold are in one group. Then all pairs of a group have their shingle sets compared
+exactly, and only that makes a link. Linked texts become classes (connected components).
+
+Large nodes and groups are dealt into sub-blocks by a hash, and every pair of sub-blocks is a piece of work of its own. A piece gives the
+few links that hold its texts together, so that rows don't grow with the pairs.
 """
 
 from __future__ import annotations
@@ -21,18 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import record_batch, work_folder, written
-from wiretally.llm.shingles import Shingler, jaccard
+from wiretally.llm.shingles import Shingler
 
 TREES = 24
 DEPTH = 8
-NEXT = 3
 MARGIN = 3.5  # standard errors below the threshold at which the share of equal min-hashes drops a pair
 BLOCK = 2048  # shingles hashed at a time
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20  # in a sub-block, on average at most
 
 
 def shortest_depth(similarity: float, recall: float) -> int:
@@ -59,26 +60,27 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.binary()), ("labels", pa.list_(pa.binary())), ("bits", pa.binary())])
+SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.binary()), ("size", pa.int64()), ("labels", pa.list_(pa.binary())), ("bits", pa.binary())])
 
 
 def signatures(texts: DataFrame, size: int = 5) -> DataFrame:
-    """(row, doc_id, set_key, labels, bits) of (row, doc_id, text): a hash of the whole shingle set, the labels of the trees, the low bytes of all min-hashes."""
+    """(row, doc_id, set_key, size, labels, bits) of (row, doc_id, text): a hash of the whole shingle set, its size, the labels of the trees, the low bytes of all min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(2).to_pylist():
                 found = shingler.set_of(text)
                 hashes = min_hashes(found)
                 short = (hashes >> np.uint32(8)).astype(">u2").tobytes()
                 out[0].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                out[1].append([short[2 * DEPTH * t : 2 * DEPTH * (t + 1)] for t in range(TREES)])
-                out[2].append(hashes.astype(np.uint8).tobytes())
+                out[1].append(len(found))
+                out[2].append([short[2 * DEPTH * t : 2 * DEPTH * (t + 1)] for t in range(TREES)])
+                out[3].append(hashes.astype(np.uint8).tobytes())
             yield record_batch(SIGNED, batch.column(0), batch.column(1), *out)
 
-    return texts.mapInArrow(run, "row long, doc_id long, set_key binary, labels array<binary>, bits binary")
+    return texts.mapInArrow(run, "row long, doc_id long, set_key binary, size long, labels array<binary>, bits binary")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -106,10 +108,15 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
+def _least(similarity: float) -> float:
+    """The number of equal min-hashes from which on a pair may reach the threshold."""
+    count = TREES * DEPTH
+    return similarity * count - MARGIN * math.sqrt(similarity * (1 - similarity) * count)
+
+
 def _likely(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose share of equal min-hashes does not lie far below the threshold; low bytes agree by chance once in 256."""
-    count = TREES * DEPTH
-    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / count)
+    count, least = TREES * DEPTH, _least(similarity)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,73 +124,131 @@ def _likely(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, count) for i in (2, 3))
-            close = (left == right).sum(axis=1) >= least * count
+            close = (left == right).sum(axis=1) >= least
             yield record_batch(schema, batch.column(0).filter(pa.array(close)), batch.column(1).filter(pa.array(close)))
 
     ends = [bits.select(F.col("text").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab"]
     return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the Jaccard similarity asked for, with that figure."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+class Forest:
+    """Which of the things seen so far are linked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [jaccard(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            kept = pa.array([x >= similarity for x in found], pa.bool_())
-            yield record_batch(schema, *(c.filter(kept) for c in (batch.column(0), batch.column(1), pa.array(found, pa.float64()))))
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    ends = [sets.select(F.col("text").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab"]
-    second = ends[1].join(pairs.select("b").distinct(), "b", "left_semi")  # before its shuffle, where the pairs are few enough to be sent
-    return pairs.join(ends[0], "a").join(second, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long, similarity double")
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
 
+    def link(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
 
-FOLLOWERS = "text long, class long, other long, other_class long, part long, place int, tree int, node binary"
 
+def _dealt(rows: DataFrame, keys: list[str], parts: Column) -> DataFrame:
+    """Rows (keys, text, ...) with the sub-block ``part`` of ``parts`` that they are in, once for every pair (i, j) of sub-blocks that it is one of; a pair's rows are together."""
+    rows = rows.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
+    return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
-def _followers(placed: DataFrame, following: int, folder: str) -> DataFrame:
-    """Each text of a node with the ``following`` texts after it in label order: (text, class, other, other_class).
 
-    The order is dealt by range over whole labels, so a node of any size is spread over tasks. Rows at the ends of a task's range also
-    come out with their place, and are paired with one another in the end: a few for each task.
-    """
-    columns = [c.split() for c in FOLLOWERS.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in columns])
+def _pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[tuple], list[tuple], bool]]:
+    """Of each pair of sub-blocks the rows of either, and whether both are the same one; rows are (keys, i, j, part, ...)."""
+    key, rows = None, []
+
+    def split():
+        i, j = key[-2:]
+        return [r for r in rows if r[keys + 2] == i], [r for r in rows if r[keys + 2] == j], i == j
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[: keys + 2] != key:
+                if rows:
+                    yield split()
+                key, rows = row[: keys + 2], []
+            rows.append(row)
+    if rows:
+        yield split()
+
+
+def _across(placed: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of groups that share a node of ``placed`` (text, tree, node, class) and hold a likely pair of texts there."""
+    count, least = TREES * DEPTH, _least(similarity)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, first, count = TaskContext.get().partitionId(), [], [], 0
-        for batch in batches:
-            rows = before + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            pairs = []
-            for i in range(len(before), len(rows)):
-                for j in range(max(0, i - following), i):
-                    if rows[i][:2] == rows[j][:2]:
-                        pairs.append((rows[j][2], rows[j][3], rows[i][2], rows[i][3], None, None, None, None))
-            if pairs:
-                yield record_batch(schema, *zip(*pairs, strict=True))
-            first += rows[len(before) :][: following - len(first)]
-            count += batch.num_rows
-            before = rows[-following:]
-        ends = [(i, row) for i, row in enumerate(first)] + [(count + i, row) for i, row in enumerate(before)]
-        if ends:
-            yield record_batch(schema, *zip(*((row[2], row[3], None, None, part, min(i, 2**31 - 1), row[0], row[1]) for i, row in ends), strict=True))
-
-    ranged = placed.repartitionByRange("tree", "node", "label", "text").sortWithinPartitions("tree", "node", "label", "text")
-    found = written(ranged.select("tree", "node", "text", "class").mapInArrow(run, FOLLOWERS), folder, "followers")
-    order = Window.orderBy("part", "place")  # a few rows for each task
-    ends = found.where("part is not null")
-    across = [
-        ends.select("text", "class", *(F.lead(c, i).over(order).alias(f"next_{c}") for c in ("text", "class", "tree", "node")), "tree", "node")
-        .where("tree = next_tree and node = next_node")
-        .select("text", "class", F.col("next_text").alias("other"), F.col("next_class").alias("other_class"))
-        for i in range(1, 2 * following + 1)
-    ]
-    pairs = found.where("part is null").select("text", "class", "other", "other_class")
-    for more in across:
-        pairs = pairs.unionByName(more)
-    return pairs.where("text <> other")
+        out = []
+        for left, right, same in _pieces(batches, 2):
+            if not left or not right:
+                continue
+            forest = Forest()
+            near, classes = np.frombuffer(b"".join(r[7] for r in right), np.uint8).reshape(-1, count), np.array([r[6] for r in right], np.int64)
+            for at, row in enumerate(left):
+                start = at + 1 if same else 0
+                others = start + np.flatnonzero(classes[start:] != row[6])
+                if len(others):
+                    close = np.count_nonzero(near[others] == np.frombuffer(row[7], np.uint8), axis=1) >= least
+                    out += [(row[6], other) for other in np.unique(classes[others[close]]).tolist() if forest.link(row[6], other)]
+            if len(out) >= 10_000:
+                yield record_batch(schema, *zip(*out, strict=True))
+                out = []
+        if out:
+            yield record_batch(schema, *zip(*out, strict=True))
+
+    mixed = placed.groupBy("tree", "node").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high")
+    rows = placed.join(mixed.select("tree", "node", "n"), ["tree", "node"]).join(bits, "text")
+    dealt = _dealt(rows, ["tree", "node"], F.ceil(F.col("n") / BLOCK_TEXTS))
+    return dealt.select("tree", "node", "i", "j", "part", "text", "class", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(left: list[tuple], right: list[tuple], same: bool, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each text of ``left`` with the texts of ``right`` whose shingle sets have the Jaccard similarity asked for, and that figure; a pair comes once."""
+    if not left or not right:
+        return
+    ends = [sorted(((np.frombuffer(r[5], np.uint64), r[4]) for r in rows), key=lambda x: (len(x[0]), x[1])) for rows in (left, right)]
+    texts, sizes = np.array([t for _, t in ends[1]], np.int64), np.array([len(x) for x, _ in ends[1]], np.int64)
+    words, numbers = np.unique(np.concatenate([x for x, _ in ends[1]]), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    held = np.zeros(len(words), np.uint8)
+    for at, (shingles, text) in enumerate(ends[0]):
+        low = int(np.searchsorted(sizes, math.floor(len(shingles) * similarity) - 1))
+        high = int(np.searchsorted(sizes, math.ceil(len(shingles) / similarity) + 1, "right"))
+        low = max(low, at + 1) if same else low
+        if low >= high:
+            continue
+        places = np.minimum(np.searchsorted(words, shingles), len(words) - 1)
+        places = places[words[places] == shingles]
+        held[places] = 1
+        both = np.add.reduceat(held[numbers[begins[low] : begins[high]]], begins[low:high] - begins[low], dtype=np.int64)
+        held[places] = 0
+        found = both / (len(shingles) + sizes[low:high] - both)
+        kept = np.flatnonzero(found >= similarity)
+        if len(kept):
+            yield text, texts[low + kept], found[kept]
+
+
+def _holding_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b, similarity), a < b, that hold the linked texts of each piece together."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for left, right, same in _pieces(batches, 1):
+            forest = Forest()
+            for text, others, found in _linked(left, right, same, similarity):
+                out += [(min(text, other), max(text, other), x) for other, x in zip(others.tolist(), found.tolist(), strict=True) if forest.link(text, other)]
+            if len(out) >= 10_000:
+                yield record_batch(schema, *zip(*out, strict=True))
+                out = []
+        if out:
+            yield record_batch(schema, *zip(*out, strict=True))
+
+    return sets.mapInArrow(run, "a long, b long, similarity double")
 
 
 def similarity_join(
@@ -207,46 +272,42 @@ def similarity_join(
         texts = written(texts, folder, "numbered", compression="zstd")
     signed = written(signatures(texts, size), folder, "signed", compression="none")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(rank.alias("rank"), "labels", "bits")).alias("first"))
-    reps = written(reps.select("set_key", F.col("first.rank.row").alias("text"), "first.labels", "first.bits"), folder, "texts", compression="none")
+    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(rank.alias("rank"), "size", "labels", "bits")).alias("first"))
+    reps = written(reps.select("set_key", F.col("first.rank.row").alias("text"), "first.size", "first.labels", "first.bits"), folder, "texts", compression="none")
 
     depth = shortest_depth(similarity, recall)
     trees = reps.select("text", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.substring("label", 1, 2 * depth))
     shared = trees.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     trees = written(trees.join(shared, ["tree", "node"]), folder, "trees")
-    needed = trees.select("text").distinct()
-    bits = written(reps.join(needed, "text").select("text", "bits"), folder, "bits", compression="none")
-    shingle_schema = pa.schema([("text", pa.int64()), ("shingles", pa.binary())])
+    bits = written(reps.join(trees.select("text").distinct(), "text").select("text", "bits"), folder, "bits", compression="none")
+
+    heads = trees.groupBy("tree", "label").agg(F.min("text").alias("head"), F.count("*").alias("n")).where("n > 1")
+    pairs = trees.join(heads, ["tree", "label"]).where("text <> head").select(F.col("head").alias("a"), F.col("text").alias("b")).distinct()
+    near = written(_likely(pairs, bits, similarity), folder, "near")
+    groups = components(near, folder, "near-groups")
+    placed = trees.join(groups, "text", "left").select("text", "tree", "node", F.coalesce("class", "text").alias("class"))
+    across = written(_across(placed, bits, similarity), folder, "across")
+    groups = components(near.union(across), folder, "groups")
+
+    homes = groups.join(reps.select("text", "size"), "text")
+    totals = homes.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("most"))
+    homes = written(homes.join(totals, "class").select("text", "class", "most"), folder, "homes")
+    shingle_schema = pa.schema([("class", pa.int64()), ("most", pa.int64()), ("text", pa.int64()), ("shingles", pa.binary())])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            yield record_batch(shingle_schema, batch.column(0), [shingler.set_of(text).tobytes() for text in batch.column(1).to_pylist()])
-
-    sets = texts.select(F.col("row").alias("text"), F.col("text").alias("body")).join(needed, "text").mapInArrow(shingled, "text long, shingles binary")
-    sets = written(sets, folder, "sets", compression="none")
-
-    classes = spark.createDataFrame([], "text long, class long")
-    links = written(spark.createDataFrame([], "a long, b long, similarity double"), folder, "links0")
-    steps = [("full", DEPTH, 0), ("first", depth, 0), ("next", depth, NEXT)]
-    for number, (name, length, following) in enumerate(steps, 1):
-        placed = trees.join(classes, "text", "left").select("text", "tree", "label", F.substring("label", 1, 2 * length).alias("node"), F.coalesce("class", "text").alias("class"))
-        if not following:
-            heads = placed.groupBy("tree", "node").agg(F.min(F.struct("text", "class")).alias("head"), F.count("*").alias("n")).where("n > 1")
-            near = placed.join(heads, ["tree", "node"]).select("text", "class", F.col("head.text").alias("other"), F.col("head.class").alias("other_class"))
-        else:
-            mixed = placed.groupBy("tree", "node").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").drop("low", "high")
-            near = _followers(placed.join(mixed, ["tree", "node"]), following, folder)
-        pairs = near.where("other is not null and class <> other_class").select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b")).distinct()
-        likely = written(_likely(pairs, bits, similarity), folder, f"likely{number}")  # its size is known before sets are joined
-        fresh = _verified(likely, sets, similarity)
-        links = written(links.unionByName(fresh).distinct(), folder, f"links{number}")
-        if not links.isEmpty():
-            classes = components(links, folder, f"classes{number}")
+            yield record_batch(shingle_schema, *(batch.column(i) for i in range(3)), [shingler.set_of(text).tobytes() for text in batch.column(3).to_pylist()])
+
+    sets = texts.select(F.col("row").alias("text"), F.col("text").alias("body")).join(homes, "text").select("class", "most", "text", "body")
+    sets = sets.mapInArrow(shingled, "class long, most long, text long, shingles binary")
+    sets = _dealt(sets, ["class"], F.col("most")).select("class", "i", "j", "part", "text", "shingles")
+    links = written(_holding_links(sets, similarity), folder, "links")
+    classes = components(links, folder, "classes")
+    degrees = links.select(F.col("a").alias("text")).unionAll(links.select("b")).groupBy("text").agg(F.count("*").alias("n_links"))
 
     members = signed.select("row", "doc_id", "set_key").join(reps.select("set_key", "text"), "set_key", "left")
     members = members.select("row", "doc_id", F.coalesce("text", "row").alias("text"))
-    degrees = links.select(F.col("a").alias("text")).unionAll(links.select("b")).groupBy("text").agg(F.count("*").alias("n_links"))
     members = members.join(classes, "text", "left").join(degrees, "text", "left")
     members = members.select("row", "doc_id", "text", F.coalesce("class", "text").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     members = written(members, folder, "members")
