@@ -217,6 +217,26 @@ def test_similarity_join(spark):
     assert links.where("similarity < 0.8 or a >= b").isEmpty()
 
 
+def test_near_links_are_all_pairs(spark, monkeypatch):
+    """Links and their numbers against brute force, with classes of many sub-blocks; exact copies are one text."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 5)
+    random.seed(14)
+    texts = []
+    for _ in range(6):
+        base = [f"w{random.randint(0, 400)}" for _ in range(200)]
+        texts += [edited(base, random.choice([0, 0.005, 0.01, 0.02, 0.03])) for _ in range(25)]
+    shingler = Shingler()
+    sets = [shingler.set_of(t) for t in texts]
+    first = {x.tobytes(): i for i, x in reversed(list(enumerate(sets)))}
+    want = {(i, j): jaccard(sets[i], sets[j]) for i in first.values() for j in first.values() if i < j}
+    want = {pair: found for pair, found in want.items() if found >= 0.8}
+    degrees = collections.Counter(i for pair in want for i in pair)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    classes, links = near_dedup.similarity_join(rows, row_col="doc_id")
+    assert {(r.a, r.b): r.similarity for r in links.collect()} == want and links.count() == len(want)
+    assert {r.doc_id: r.n_links for r in classes.collect()} == {i: degrees[first[x.tobytes()]] for i, x in enumerate(sets)}
+
+
 def test_near_pairs_in_a_large_node(spark):
     """Pairs of copies among thousands of texts of one template, nearly as close to one another as the threshold."""
     random.seed(15)

@@ -12,13 +12,14 @@ So any two texts that share a node and may reach the threshold are in one group.
 exactly, and only that makes a link. Linked texts become classes (connected components).
 
 Large nodes and groups are dealt into sub-blocks by a hash, and every pair of sub-blocks is a piece of work of its own. A piece gives the
-few links that hold its texts together, so that rows don't grow with the pairs.
+few links that hold its texts together and counts the others, so that rows don't grow with the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,22 +233,39 @@ def _linked(left: list[tuple], right: list[tuple], same: bool, similarity: float
             yield text, texts[low + kept], found[kept]
 
 
-def _holding_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b, similarity), a < b, that hold the linked texts of each piece together."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+def _summed_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, n): links that hold the linked texts of a piece together, with n null, and the number n of links of text a in a piece, with b null."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for left, right, same in _pieces(batches, 1):
-            forest = Forest()
-            for text, others, found in _linked(left, right, same, similarity):
-                out += [(min(text, other), max(text, other), x) for other, x in zip(others.tolist(), found.tolist(), strict=True) if forest.link(text, other)]
+            forest, count = Forest(), defaultdict(int)
+            for text, others, _ in _linked(left, right, same, similarity):
+                count[text] += len(others)
+                for other in others.tolist():
+                    count[other] += 1
+                    if forest.link(text, other):
+                        out.append((text, other, None))
+            out += [(text, None, n) for text, n in count.items()]
             if len(out) >= 10_000:
                 yield record_batch(schema, *zip(*out, strict=True))
                 out = []
         if out:
             yield record_batch(schema, *zip(*out, strict=True))
 
+    return sets.mapInArrow(run, "a long, b long, n long")
+
+
+def _all_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """All links (a, b, similarity), a < b."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, same in _pieces(batches, 1):
+            for text, others, found in _linked(left, right, same, similarity):
+                yield record_batch(schema, np.minimum(others, text), np.maximum(others, text), found)
+
     return sets.mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -257,9 +275,9 @@ def similarity_join(
     """Classes and links of documents whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     The first result has a row for each row of ``docs``: row, doc_id, text (the row that stands for its shingle set), class (the smallest
-    text linked with it over any number of links), class_id (doc_id of the class's first row), class_size (rows), n_links (verified links of its
-    text), kept (whether it is the class's first row: smallest doc_id, null ids last, then first in the table). The second has
-    the links (a, b, similarity) between texts, a < b, that hold the classes together; pairs inside a class are not all listed.
+    text linked with it over any number of links), class_id (doc_id of the class's first row), class_size (rows), n_links (other texts that its
+    text is linked with), kept (whether it is the class's first row: smallest doc_id, null ids last, then first in the table). The second has
+    all links (a, b, similarity) between texts, a < b; they are as many as the pairs and made when it is read.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer words is one shingle; a text without words
     (null, empty) is a class of its own. ``row`` is ``row_col`` (longs, unique, the same at every reading) if given; else rows are
@@ -302,9 +320,9 @@ def similarity_join(
     sets = texts.select(F.col("row").alias("text"), F.col("text").alias("body")).join(homes, "text").select("class", "most", "text", "body")
     sets = sets.mapInArrow(shingled, "class long, most long, text long, shingles binary")
     sets = _dealt(sets, ["class"], F.col("most")).select("class", "i", "j", "part", "text", "shingles")
-    links = written(_holding_links(sets, similarity), folder, "links")
-    classes = components(links, folder, "classes")
-    degrees = links.select(F.col("a").alias("text")).unionAll(links.select("b")).groupBy("text").agg(F.count("*").alias("n_links"))
+    found = written(_summed_links(sets, similarity), folder, "found")
+    classes = components(found.where("b is not null"), folder, "classes")
+    degrees = found.where("b is null").groupBy(F.col("a").alias("text")).agg(F.sum("n").alias("n_links"))
 
     members = signed.select("row", "doc_id", "set_key").join(reps.select("set_key", "text"), "set_key", "left")
     members = members.select("row", "doc_id", F.coalesce("text", "row").alias("text"))
@@ -315,4 +333,4 @@ def similarity_join(
     out = members.join(sizes, "class").select(
         "row", "doc_id", "text", "class", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept")
     )
-    return out, links
+    return out, _all_links(sets, similarity)
