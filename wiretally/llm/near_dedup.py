@@ -32,7 +32,7 @@ from wiretally.llm.shingles import Shingler
 
 TREES = 24
 DEPTH = 8
-MARGIN = 3.5  # standard errors below the threshold at which the share of equal min-hashes drops a pair
+MARGIN = 6  # standard errors below the threshold at which the share of equal min-hashes drops a pair
 BLOCK = 2048  # shingles hashed at a time
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20  # in a sub-block, on average at most
 
