@@ -286,6 +286,16 @@ def test_leaks(spark, documents, hard, empty):
     assert decontaminate.leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_that_many_documents_hold(spark):
+    """A short item and edited copies with one seed left are found, however many rows hold the items."""
+    items = [(1, "a b c d e"), (2, "p q r s t u v w"), (3, "so short")]
+    texts = ["x a b c d e y", "x p q r z t u v w y", "x so short y", "x y z"]
+    rows = [(i, texts[i % 4]) for i in range(400)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(i, i % 4 + 1, 0.8125 if i % 4 == 1 else 1.0) for i in range(400) if i % 4 < 3]
+
+
 def test_leaks_in_documents(spark, documents):
     plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
     items = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -1,10 +1,9 @@
 """Training passages that copy benchmark items, exactly or edited.
 
-Word n-grams of the items are seeds. A first pass counts in how many documents each seed occurs. In the second, every text is looked through
-for seeds: a rare one (in at most ``RARE`` of all documents) is enough to look closer, of others it takes ``COMMON``, so that a stock phrase
-alone starts nothing and an item that many documents hold is still found. Hits on one item that lie along one another give a
-passage, which is aligned with the item by Smith-Waterman on words: ``MATCH`` for equal words, ``MISS`` for others, ``GAP`` for a word left out on
-either side. The score is the share of the best possible, so edits lower it word by word.
+Word n-grams of the items are seeds, and every text is looked through for them. Hits on one item that lie along one another give a
+passage. One hit is enough, however many documents hold it, so that a document's matches don't depend on the rest of the table. A passage that
+has too few words of the item to reach the threshold is passed over; any other is aligned with the item by Smith-Waterman on words: ``MATCH`` for
+equal words, ``MISS`` for others, ``GAP`` for a word left out on either side. The score is the share of the best possible, so edits lower it word by word.
 
 Items are a stated query set: they are broadcast in blocks of at most ``BLOCK_CHARS`` characters, and each block is held against all
 documents. Texts are not shuffled.
@@ -19,17 +18,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.llm.anchors import mix
-from wiretally.llm.common import keyed_texts, record_batch
+from wiretally.llm.common import keyed_texts
 from wiretally.llm.shingles import PRIME, WORD
 
 SEED = 4
-RARE = 0.001
-COMMON = 3
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.5
 BLOCK_CHARS = 4 << 20
@@ -67,7 +63,6 @@ class Items:
         self.owners, self.places = np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
         self.seeds, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.sizes = sorted({min(SEED, len(t)) for t in self.texts if len(t)})
-        self.weight = np.ones(len(self.seeds))
 
     def words(self, text: str | None) -> np.ndarray:
         number = self.vocabulary.get
@@ -104,20 +99,19 @@ class Items:
         by_item = defaultdict(list)
         for place, seed in zip(where.tolist(), which.tolist(), strict=True):
             for i in range(self.first[seed], self.first[seed] + self.count[seed]):
-                by_item[int(self.owners[i])].append((place - int(self.places[i]), seed))
+                by_item[int(self.owners[i])].append(place - int(self.places[i]))
         out = []
         for number, found in by_item.items():
-            if sum(self.weight[list({seed for _, seed in found})]) < 1 - 1e-9:
-                continue
             item, best = self.texts[number], (0.0, 0, 0)
             slack = len(item) // 2 + SEED
             found.sort()
             begin = 0
             for i in range(1, len(found) + 1):
-                if i == len(found) or found[i][0] - found[i - 1][0] > slack:
-                    low, high = max(0, found[begin][0] - slack), min(len(words), found[i - 1][0] + len(item) + slack)
-                    score, first, last = align(item, words[low:high])
-                    best = max(best, (score, -(low + first), low + last))
+                if i == len(found) or found[i] - found[i - 1] > slack:
+                    low, high = max(0, found[begin] - slack), min(len(words), found[i - 1] + len(item) + slack)
+                    if np.isin(item, words[low:high]).sum() >= threshold * len(item) - 1e-9:  # each word of the item can add one MATCH at most
+                        score, first, last = align(item, words[low:high])
+                        best = max(best, (score, -(low + first), low + last))
                     begin = i
             if best[0] >= threshold:
                 out.append({"item_id": self.ids[number], "score": best[0], "begin": -best[1], "end": best[2]})
@@ -155,36 +149,13 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         yield Items(sorted(((r[0], r[1]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
-def seed_counts(docs: DataFrame, shared) -> DataFrame:
-    """(seed, n) of a broadcast block: in how many texts each seed occurs; in row -1 the number of texts. Summed in each task first."""
-    schema = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, total = shared.value, 0
-        counts = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            total += batch.num_rows
-            for text in batch.column(1).to_pylist():
-                counts[np.unique(items.hits(items.words(text))[1])] += 1
-        found = np.flatnonzero(counts)
-        yield record_batch(schema, [-1, *found], [total, *counts[found]])
-
-    return docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
 def matcher(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id: str = "item_id", item_text: str = "text"):
     """A function from a text column to its matches, an array of (item_id, score, begin, end); begin and end count words of the text.
 
     Null and empty texts match nothing, null items are left out, and without items nothing matches. An item that is in the table
     twice matches once for each id.
     """
-    spark, calls = docs.sparkSession, []
-    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for block in _blocks(items, item_id, item_text):
-        counts = dict(map(tuple, seed_counts(texts, spark.sparkContext.broadcast(block)).collect())) if len(block.seeds) else {}
-        total = counts.get(-1, 0)
-        block.weight = np.array([1.0 if counts.get(i, 0) <= max(1, RARE * total) else 1 / COMMON for i in range(len(block.seeds))])
-        calls.append(_call(spark.sparkContext.broadcast(block), threshold))
+    calls = [_call(docs.sparkSession.sparkContext.broadcast(block), threshold) for block in _blocks(items, item_id, item_text)]
     return lambda column: reduce(F.concat, [call(column) for call in calls])
 
 
