@@ -126,6 +126,15 @@ def test_long_words_merge_alike():
         assert vocabulary.merge(list(parts)) == vocabulary.merge_long(list(parts))
 
 
+def test_words_beyond_the_switch_merge_alike():
+    vocabulary = bpe.Vocabulary(WORD_BPE)
+    random.seed(16)
+    for size in [bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, *(random.randint(bpe.LONG, 3000) for _ in range(20))]:
+        raw = "".join(random.choices("theangi", k=size)).encode()
+        parts = [*(vocabulary.inner[b] for b in raw[:-1]), vocabulary.final[raw[-1]]]
+        assert vocabulary.merge(list(parts)) == vocabulary.merge_long(list(parts)) == vocabulary.merge_word(raw)
+
+
 def test_directly_addressable_codes():
     random.seed(2)
     tokens = np.array([random.choice([0, 5, 255, 256, 49_407, 70_000, 2**32 - 1]) for _ in range(3000)], np.uint32)
