@@ -179,7 +179,8 @@ def test_sql_files(spark, tmp_path):
 def test_scans_of_the_last_days(spark, tmp_path):
     scans = spark.createDataFrame([(i, f"2024-05-{20 + i:02d} 12:00:00") for i in range(11)], "scan_id long, d string")
     scans = scans.select("scan_id", F.col("d").cast("timestamp").alias("scan_ts"))
-    X.store_scan(scans, str(tmp_path / "scans"))
+    for batch in (0, 0):  # a batch that is stored again replaces itself
+        X.store_scan(scans, str(tmp_path / "scans"), batch=batch)
     back = X.read_scans(spark, str(tmp_path / "scans"), scans.schema, as_of())
     assert [r.scan_id for r in back.collect()] == [5, 6, 7, 8, 9, 10]
     assert "PartitionFilters: [isnotnull(scan_date" in back._jdf.queryExecution().toString()
@@ -187,8 +188,9 @@ def test_scans_of_the_last_days(spark, tmp_path):
 
 def test_audit_export_and_snapshots(spark, tmp_path):
     events = spark.createDataFrame([(i, lv) for i, lv in enumerate(["INFO", "WARNING", "CRITICAL", "INFO"])], "i int, level string")
-    X.write_audit(events, str(tmp_path / "audit"), min_level="WARNING", max_records=1)
-    assert spark.read.json(str(tmp_path / "audit")).count() == 2
+    X.write_audit(events, str(tmp_path / "audit"), batch=0, min_level="WARNING", max_bytes=1)
+    assert spark.read.text(str(tmp_path / "audit")).count() == 2
+    assert sorted(r.i for r in X.read_audit(spark, str(tmp_path / "audit"), events.schema).collect()) == [1, 2]
     X.export_kv(spark.createDataFrame([("k", "string", "v", 5)], "key string, kind string, value string, ttl int"), str(tmp_path / "kv"))
     assert spark.read.json(str(tmp_path / "kv")).first().type == "string"
     assert any(p.name.endswith(".json.gz") for p in (tmp_path / "kv").iterdir())
@@ -198,7 +200,9 @@ def test_audit_export_and_snapshots(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snap")).count() == 2
     assert X.read_snapshots(spark, str(tmp_path / "snap"), as_of()).count() == 1
     matches = spark.createDataFrame([(1, 5), (2, None)], "log_id int, indicator_id int")
-    X.record_matches(matches, str(tmp_path / "matches"), as_of())
+    for _ in range(2):
+        X.record_matches(matches, str(tmp_path / "matches"), as_of(), batch=3)
+    assert spark.read.parquet(str(tmp_path / "matches")).count() == 1
     assert spark.read.parquet(str(tmp_path / "matches")).first().action_taken == "blocked"
 
 
@@ -291,3 +295,24 @@ def test_quality_job(spark):
     assert good.count() == 1 and good.columns == rows.columns
     assert [e.split(":")[0] for e in bad.first().errors] == ["name", "type", "port"]
     assert {(r.column, r.invalid) for r in report.collect()} == {("name", 1), ("type", 1), ("host", 0), ("port", 1), ("role", 0)}
+
+
+def test_audit_files_are_packed_by_bytes(spark, tmp_path):
+    events = spark.range(500).select(F.col("id").alias("i"), F.repeat(F.lit("é"), (F.col("id") % 40).cast("int")).alias("text"), F.lit("INFO").alias("level")).coalesce(2)
+    for _ in range(2):
+        X.write_audit(events, str(tmp_path / "audit"), batch=7, max_bytes=600)
+    sizes = [p.stat().st_size for p in (tmp_path / "audit").rglob("part-*")]
+    assert max(sizes) <= 600 and sum(sizes) > 600 * (len(sizes) - 2) * 0.8
+    back = X.read_audit(spark, str(tmp_path / "audit"), events.schema)
+    assert sorted(r.i for r in back.collect()) == list(range(500)) and {r.batch for r in back.collect()} == {7}
+    X.write_audit(spark.createDataFrame([(1, "x" * 900, "INFO")], "i long, text string, level string"), str(tmp_path / "one"), batch=0, max_bytes=600)
+    assert X.read_audit(spark, str(tmp_path / "one"), events.schema).count() == 1
+
+
+def test_typed_values_survive_export(spark, tmp_path):
+    values = {"string": '"a\\"b\\u00e9"', "hash": '{"f":"v","g":null}', "list": '["x","x"]', "set": "[]", "zset": '[["m",1.5],["n",-2]]'}
+    rows = spark.createDataFrame([(f"k-{k}", k, v, 5) for k, v in values.items()] + [("k", "stream", "1", None)], "key string, kind string, text string, ttl long")
+    X.export_kv(rows.select("key", "kind", F.parse_json("text").alias("value"), "ttl"), str(tmp_path / "kv"))
+    back = X.import_kv(spark, str(tmp_path / "kv")).select("kind", F.to_json("value").alias("text"), F.schema_of_variant("value").alias("shape")).collect()
+    assert {r.kind: json.loads(r.text) for r in back} == {k: json.loads(v) for k, v in values.items()}
+    assert {r.kind: r["shape"].split("<")[0] for r in back}["zset"] == "ARRAY"

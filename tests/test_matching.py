@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wiretally.operators import access as A
 from wiretally.operators import matching as M
 from wiretally.operators import netblocks as N
+from wiretally.operators import textmatch as X
 
 
 def brute_rule(rules, kind, target):
@@ -19,6 +20,8 @@ def brute_rule(rules, kind, target):
         if not active or k != kind:
             continue
         low = target.lower()
+        if pattern is None:
+            continue
         try:
             hit = re.search(re.sub(r"(?<!\\)\$", r"\\Z", pattern), low)
         except re.error:
@@ -29,7 +32,7 @@ def brute_rule(rules, kind, target):
 
 
 RULES = [
-    (3, "database", "^test$", True), (1, "database", "^test_.*", True), (2, "database", ".*_old$", True), (4, "username", "^$", True),
+    (12, "database", None, True), (3, "database", "^test$", True), (1, "database", "^test_.*", True), (2, "database", ".*_old$", True), (4, "username", "^$", True),
     (5, "username", ".*admin.*", True), (6, "table", r"^mysql\.user$", True), (7, "database", "(", True), (8, "database", "^off$", False),
     (9, "database", "^Shop$", True), (10, "table", "^users$", True),
 ]
@@ -39,9 +42,9 @@ TARGETS = [
 ]
 
 
-@pytest.mark.parametrize("rule_limit", [2000, 2])
-def test_rule_paths(spark, monkeypatch, rule_limit):
-    monkeypatch.setattr(M, "RULE_LIMIT", rule_limit)
+@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
+def test_rule_paths(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(X, "INDEX_BYTES", index_bytes)
     rules = sorted(RULES)
     table = spark.createDataFrame([(*r, "why") for r in RULES], "id long, kind string, pattern string, active boolean, reason string")
     log = spark.createDataFrame([(i, *t) for i, t in enumerate(TARGETS)], "log_id int, database string, username string, tab string")
@@ -52,8 +55,9 @@ def test_rule_paths(spark, monkeypatch, rule_limit):
         assert got[i] == (first, first is not None), TARGETS[i]
 
 
-@pytest.mark.parametrize("count", [80, 1, 0])
-def test_substrings(spark, count):
+@pytest.mark.parametrize("count, index_bytes", [(80, 1 << 20), (80, 0), (1, 1 << 20), (1, 0), (0, 1 << 20), (0, -1)])
+def test_substrings(spark, monkeypatch, count, index_bytes):
+    monkeypatch.setattr(X, "INDEX_BYTES", index_bytes)
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
     texts = [word(rng.randrange(0, 60)) for _ in range(150)] + [None]
@@ -66,7 +70,9 @@ def test_substrings(spark, count):
         assert got[i] == (None if t is None else min((n for n, w in needles if w in t), default=None))
 
 
-def test_threat_types(spark):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
+def test_threat_types(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(X, "INDEX_BYTES", index_bytes)
     indicators = spark.createDataFrame(
         [
             (1, "user_agent", "curl", "low", True), (2, "ip", "10.0.0.1", "high", True), (3, "email", "Bob@X.org", "low", True),
@@ -161,3 +167,57 @@ def test_short_and_long_needles_share_one_plan(spark):
     got = sorted((r.low or "", r.hit or 0) for r in M.substring_first(log, "low", needles, "hit").collect())
     want = sorted((t or "", min((9 - i for i, w in enumerate(words) if w and t and w in t), default=0)) for t in texts)
     assert got == want
+
+
+def test_needed_literals():
+    assert X.needed_literals(r"union\s+select") == ["select"] and X.needed_literals("^name$") == ["name"]
+    assert X.needed_literals("(?:drop|delete) x") == ["elete", "rop"] and X.needed_literals("(ab|c*)") == [""]
+    assert X.needed_literals("a?b{0,3}c+") == ["c"] and X.needed_literals(r"\Qa.b\E") == [""] and X.needed_literals("(") == [""]
+    assert X.needed_literals("(?i)DROP") == ["DROP"] and X.needed_literals(None) == [""]
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
+def test_patterns_against_every_pair(spark, monkeypatch, index_bytes):
+    """Candidates by literals lose no match of any pattern."""
+    import re
+
+    monkeypatch.setattr(X, "INDEX_BYTES", index_bytes)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shapes = [
+        lambda: word(3) + r"\s+" + word(2), lambda: f"({word(2)}|{word(3)}){word(1)}", lambda: f"{word(2)}+{word(1)}?{word(2)}", lambda: f"[{word(2)}]{{3}}\\d",
+        lambda: f"^{word(2)}", lambda: f"{word(1)}$", lambda: f"(?:{word(2)}){{2,}}", lambda: f"{word(2)}.*{word(2)}", lambda: f"(?i){word(4).upper()}", lambda: "(" + word(2),
+    ]
+    patterns = [(i, rng.choice(shapes)()) for i in range(120)]
+    texts = ["".join(rng.choice("abcd 1") for _ in range(rng.randrange(25))) for _ in range(200)] + [None, ""]
+    rules = spark.createDataFrame([(*p, "a", "s", True) for p in patterns] + [(999, None, "a", "s", True)], "id long, pattern string, action string, severity string, active boolean")
+    log = spark.createDataFrame(list(enumerate(texts)), "i int, query string")
+    got = {r.i: r.custom_rule for r in M.match_security_rules(log, rules).collect()}
+
+    def first(text):
+        for i, p in patterns:
+            try:
+                if text is not None and re.search(p, text, re.I):
+                    return i
+            except re.error:
+                pass
+
+    assert got == {i: first(t) for i, t in enumerate(texts)}
+
+
+def test_hundred_thousand_rules(spark):
+    """Rules in one value; the plan holds none of them, and the log is not shuffled."""
+    n = 100_000
+    rules = spark.range(n).select("id", F.lit("database").alias("kind"), F.concat(F.lit("^srv"), "id", F.lit("\\..*")).alias("pattern"), F.lit("why").alias("reason"), F.lit(True).alias("active"))
+    log = spark.range(300).select(F.concat(F.lit("SRV"), F.col("id") * 400, F.lit(".shop")).alias("database"), F.lit("u").alias("username"), F.col("id").alias("log_id"))
+    out = M.match_blocked(log, rules)
+    assert {(r.log_id, r.rule_id) for r in out.collect()} == {(i, i * 400 if i * 400 < n else None) for i in range(300)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_seeded_rules_only_into_an_empty_table(spark, empty):
+    rules = M.default_rules(spark)
+    table = rules.limit(0) if empty else rules.limit(3)
+    assert M.seed_rules(table).count() == (rules.count() if empty else 3)

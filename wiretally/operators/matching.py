@@ -1,15 +1,12 @@
 """First-match joins of a log against rules and threat indicators.
 
-No join here is a nested loop and none emits several rows per log row: each indicator type yields
-at most one candidate id per log row, and the lowest id wins. Rule texts that must be evaluated
-against whole texts are folded into the plan in blocks while their number is small; larger
-substring sets go through one automaton per task up to a checked byte size, and through an
-equi-join on q-grams beyond that.
+No join here is a nested loop and none emits several rows per log row: each kind of rule or indicator gives
+at most one candidate per log row, the lowest id wins, and a candidate brings its reason with it. Texts meet
+substrings and patterns in ``textmatch``; addresses and names meet theirs by equi-joins.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +14,7 @@ from pyspark.sql import functions as F
 
 from wiretally.functions import packs
 from wiretally.functions.keys import strip_port
-
-BLOCK = 200  # tests of one folded expression
-RULE_LIMIT = 2000
-GRAM = 4
+from wiretally.operators.textmatch import first_hit, first_hits, regex_tests, substring_tests
 
 
 # --- rules -----------------------------------------------------------------------------------------
@@ -40,34 +34,6 @@ def seed_rules(current: DataFrame) -> DataFrame:
     return current.unionByName(seeds.select(*current.columns))
 
 
-def java_regex(pattern: str) -> str:
-    """RE2-style pattern for Java: ``$`` only at the very end, ``.`` stops at newlines only."""
-    return "(?d)" + re.sub(r"(?<!\\)\$", r"\\z", pattern)
-
-
-def compiles(spark: SparkSession, pattern: str) -> bool:
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
-        return True
-    except Exception:
-        return False
-
-
-PLAIN_WORD = r"^\^(?:[A-Za-z0-9_\-]|\\\.)*\$$"
-
-
-def _plain_word(pattern: str) -> str | None:
-    """The literal of an anchored pattern such as ``^name$`` (escaped dots allowed), else None."""
-    m = re.fullmatch(r"\^((?:[A-Za-z0-9_\-]|\\\.)*)\$", pattern)
-    return m.group(1).replace("\\.", ".") if m else None
-
-
-def _folded(tests: list[tuple[int, Column]]) -> list[Column]:
-    """Lowest id whose test holds, one column per block of tests (tests come in id order)."""
-    blocks = [tests[i : i + BLOCK] for i in range(0, len(tests), BLOCK)]
-    return [F.coalesce(*[F.when(t, F.lit(i).cast("bigint")) for i, t in block]) for block in blocks]
-
-
 def least_id(candidates: list[Column]) -> Column:
     found = [c for c in candidates if c is not None]
     if not found:
@@ -75,72 +41,27 @@ def least_id(candidates: list[Column]) -> Column:
     return found[0] if len(found) == 1 else F.least(*found)
 
 
-def lookup_first(df: DataFrame, key: Column, table: DataFrame, key_col: str, id_col: str, out: str) -> DataFrame:
-    """Left equi-join giving the lowest id per key value; never multiplies rows."""
-    side = table.groupBy(F.col(key_col).alias("_k")).agg(F.min(id_col).cast("bigint").alias(out))
+def lookup_first(df: DataFrame, key: Column, table: DataFrame, key_col: str, hit: Column, out: str) -> DataFrame:
+    """Left equi-join giving the least hit per key value; never multiplies rows."""
+    side = table.groupBy(F.col(key_col).alias("_k")).agg(F.min(hit).alias(out))
     return df.withColumn("_key", key).join(side, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
 
 
-def _folded_rules(spark: SparkSession, target: Column, rows: list) -> Column:
-    """Lowest id among rules (``id, pattern`` in id order) that hit a lower-cased target."""
-    tests = []
-    for row in rows:
-        plain = target.contains(row.pattern.lower())
-        word = _plain_word(row.pattern)
-        if word is not None:
-            hit = (target == word) | plain
-        elif compiles(spark, row.pattern):
-            hit = target.rlike(java_regex(row.pattern)) | plain
-        else:
-            hit = plain
-        tests.append((row.id, hit))
-    return least_id(_folded(tests))
+def _hit(*details: str) -> Column:
+    return F.struct(F.col("id").cast("bigint").alias("id"), *details)
 
 
 def rule_match(log: DataFrame, rules: DataFrame, targets: dict[str, tuple[str, str]]) -> DataFrame:
-    """Add one column per entry ``out: (kind, target column)``: id of the first active rule that hits.
+    """Add one column per entry ``out: (kind, target column)``: id and reason of the first active rule that hits.
 
     A rule hits when its pattern is found in the lower-cased target, or the target contains the
-    pattern's own text; an invalid pattern only has the latter. Empty targets never match.
-    Up to ``RULE_LIMIT`` rules are folded into the plan. Beyond it, anchored plain words become an
-    equi-join and pattern texts a substring search; only true patterns stay folded, in blocks.
+    pattern's own text; an invalid pattern only has the latter, a null one hits nothing. Empty targets never match.
     """
-    spark = log.sparkSession
-    active = rules.filter("active").select("id", "kind", "pattern")
-    rows = active.limit(RULE_LIMIT + 1).collect()
-    few = len(rows) <= RULE_LIMIT
-    df = log
-    for out, (kind, target) in targets.items():
-        low = F.lower(F.col(target))
-        if few:
-            found = _folded_rules(spark, low, sorted((r for r in rows if r.kind == kind), key=lambda r: r.id))
-        else:
-            found, df = _many_rules(df, active.filter(F.col("kind") == kind), target, out)
-        usable = F.col(target).isNotNull() & (F.col(target) != "")
-        df = df.withColumn(out, F.when(usable, found)).drop(f"_low_{out}", f"_word_{out}", f"_text_{out}")
-    return df
-
-
-def _many_rules(df: DataFrame, rules: DataFrame, target: str, out: str) -> tuple[Column, DataFrame]:
-    spark = df.sparkSession
-    plain = F.col("pattern").rlike(PLAIN_WORD)
-    words = rules.filter(plain).select("id", F.regexp_replace(F.expr("substr(pattern, 2, length(pattern) - 2)"), r"\\\.", ".").alias("word"))
-    df = df.withColumn(f"_low_{out}", F.lower(target))
-    df = lookup_first(df, F.col(f"_low_{out}"), words, "word", "id", f"_word_{out}")
-    names = df.select(F.col(f"_low_{out}").alias("name")).filter("name IS NOT NULL").distinct()
-    needles = rules.select("id", F.lower("pattern").alias("needle"))
-    texts = substring_first(names, "name", needles, "text_id").filter("text_id IS NOT NULL")
-    df = lookup_first(df, F.col(f"_low_{out}"), texts, "name", "text_id", f"_text_{out}")
-    general = sorted(rules.filter(~plain).toLocalIterator(), key=lambda r: r.id)
-    tests = [
-        (r.id, F.col(f"_low_{out}").rlike(java_regex(r.pattern))) for r in general if compiles(spark, r.pattern)
-    ]
-    return least_id([F.col(f"_word_{out}"), F.col(f"_text_{out}"), *_folded(tests)]), df
-
-
-def with_reason(df: DataFrame, rules: DataFrame, id_col: str, out: str) -> DataFrame:
-    side = rules.select(F.col("id").alias("_rid"), F.col("reason").alias(out))
-    return df.join(side, F.col(id_col) == F.col("_rid"), "left").drop("_rid")
+    kinds = {out: (kind, F.when(F.col(target) != "", F.lower(target))) for out, (kind, target) in targets.items()}
+    own = rules.filter("active").filter(F.col("kind").isin([kind for kind, _ in kinds.values()]))
+    pattern, hit = F.col("pattern"), _hit("reason")
+    tests = substring_tests(own, F.lower(pattern), hit, F.col("kind")) + regex_tests(own, pattern, hit, F.col("kind"))
+    return first_hits(log, kinds, tests)
 
 
 def match_blocked(
@@ -155,60 +76,26 @@ def match_blocked(
     targets = {"_db_rule": ("database", database), "_user_rule": ("username", username)}
     if table is not None:
         targets["_table_rule"] = ("table", table)
-    df = rule_match(log, rules, targets)
-    df = df.withColumn("rule_id", F.coalesce(*targets)).drop(*targets)
-    return with_reason(df, rules, "rule_id", "reason").withColumn("blocked", F.col("rule_id").isNotNull())
+    df = rule_match(log, rules, targets).withColumn("_rule", F.coalesce(*targets))
+    df = df.withColumn("rule_id", F.col("_rule.id")).withColumn("reason", F.col("_rule.reason"))
+    return df.withColumn("blocked", F.col("rule_id").isNotNull()).drop("_rule", *targets)
 
 
 def match_security_rules(log: DataFrame, rules: DataFrame, *, query: str = "query") -> DataFrame:
     """Custom rules (``id, pattern, action, severity, active``) on query text, case-insensitively:
     adds ``custom_rule, action, severity`` of the first that hits. Invalid patterns are skipped."""
-    spark = log.sparkSession
-    rows = sorted(rules.filter("active").select("id", "pattern").toLocalIterator(), key=lambda r: r.id)
-    tests = [
-        (r.id, F.col("_low").rlike("(?i)" + java_regex(r.pattern))) for r in rows if compiles(spark, r.pattern)
-    ]
-    df = log.withColumn("_low", F.lower(query)).withColumn("custom_rule", least_id(_folded(tests))).drop("_low")
-    side = rules.select(F.col("id").alias("_rid"), "action", "severity")
-    return df.join(side, F.col("custom_rule") == F.col("_rid"), "left").drop("_rid")
+    tests = regex_tests(rules.filter("active"), F.col("pattern"), _hit("action", "severity"), flags="(?i)")
+    df = first_hit(log, F.lower(query), tests, "_rule")
+    return df.select(*log.columns, F.col("_rule.id").alias("custom_rule"), "_rule.action", "_rule.severity")
 
 
 # --- substrings ------------------------------------------------------------------------------------
 
 
 def substring_first(log: DataFrame, text: str, needles: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: lowest id of the needles (``id, needle``, lower case) that a text contains.
-
-    ``text`` is lower-cased already. One plan for any number of needles: each is anchored on the q-gram that is rarest among the needles,
-    or on its whole self where it is shorter, and joined with the grams of the distinct texts. Texts meet their result again by
-    content, so rows need no key and may repeat.
-    """
-    needles = needles.filter(F.length("needle") > 0).groupBy("needle").agg(F.min("id").alias("id"))
-    anchored = (
-        needles.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.length("needle") - GRAM + 1, F.lit(1)))))
-        .select("id", "needle", F.expr(f"substring(needle, pos, {GRAM})").alias("gram"))
-    )
-    freq = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    anchors = (
-        anchored.join(freq, "gram")
-        .groupBy("id", "needle")
-        .agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
-    )
-    texts = log.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
-    patterns = [F.lit(rf"(?s)(?=(.{{{n}}})).") for n in range(1, GRAM + 1)]
-    every = F.flatten(F.array(*[F.array_distinct(F.regexp_extract_all("_text", p, F.lit(1))) for p in patterns]))
-    grams = texts.select("_text", F.explode(every).alias("gram"))
-    hits = (
-        grams.join(anchors, "gram")
-        .filter(F.col("_text").contains(F.col("needle")))
-        .groupBy("_text")
-        .agg(F.min("id").cast("bigint").alias("_gram_id"))
-    )
-    return (
-        log.join(hits, F.col(text) == F.col("_text"), "left")
-        .withColumnRenamed("_gram_id", out)
-        .drop("_text")
-    )
+    """Add ``out``: lowest id of the needles (``id, needle``, lower case) that a text (lower case) contains."""
+    df = first_hit(log, F.col(text), substring_tests(needles, F.col("needle"), _hit()), "_needle")
+    return df.withColumn(out, F.col("_needle.id")).drop("_needle")
 
 
 # --- threat indicators -----------------------------------------------------------------------------
@@ -231,9 +118,9 @@ def match_threats(
     ``indicators``: ``id, type, value, threat_level, active``. ``policy``: ``database,
     threat_intel_blocks_enabled``; databases without a row are checked.
     """
-    spark = log.sparkSession
     live = indicators.filter(F.coalesce(F.col("active"), F.lit(True)))
     of_type = lambda *types: live.filter(F.col("type").isin(*types))
+    hit = _hit("type", "value", "threat_level")
     df = log
     if policy is not None:
         side = policy.select(
@@ -243,25 +130,12 @@ def match_threats(
         df = df.withColumn("_checked", F.coalesce("_checked", F.lit(True)))
     else:
         df = df.withColumn("_checked", F.lit(True))
-    df = lookup_first(df, strip_port(F.col(source_ip)), of_type("ip"), "value", "id", "_ip_id")
-    emails = of_type("email").withColumn("value", F.lower("value"))
-    df = lookup_first(df, F.lower(username), emails, "value", "id", "_email_id")
-    df = df.withColumn("_low", F.lower(query))
-    needles = of_type(*SUBSTRING_TYPES).select("id", F.lower("value").alias("needle"))
-    df = substring_first(df, "_low", needles, "_text_id")
-    patterns = sorted(of_type("pattern").select("id", "value").toLocalIterator(), key=lambda r: r.id)
-    tests = [
-        (r.id, F.col("_low").rlike(java_regex(r.value))) for r in patterns if compiles(spark, r.value)
-    ]
-    best = least_id([F.col("_ip_id"), F.col("_email_id"), F.col("_text_id"), *_folded(tests)])
-    df = df.withColumn("indicator_id", F.when(F.col("_checked"), best))
-    details = live.select(
-        F.col("id").alias("_iid"),
-        F.col("type").alias("indicator_type"),
-        F.col("value").alias("indicator_value"),
-        "threat_level",
-    )
-    kind, value = F.col("indicator_type"), F.col("indicator_value")
+    df = lookup_first(df, strip_port(F.col(source_ip)), of_type("ip"), "value", hit, "_ip")
+    df = lookup_first(df, F.lower(username), of_type("email").withColumn("_low", F.lower("value")), "_low", hit, "_email")
+    tests = substring_tests(of_type(*SUBSTRING_TYPES), F.lower("value"), hit) + regex_tests(of_type("pattern"), F.col("value"), hit)
+    df = first_hit(df, F.when(F.col("_checked"), F.lower(query)), tests, "_text")
+    df = df.withColumn("_best", F.when(F.col("_checked"), F.least("_ip", "_email", "_text")))
+    kind, value = F.col("_best.type"), F.col("_best.value")
     reason = (
         F.when(kind == "ip", F.concat(F.lit("Source IP "), strip_port(F.col(source_ip)), F.lit(" matches threat indicator")))
         .when(kind == "sql_pattern", F.concat(F.lit("Query contains threat pattern: "), value))
@@ -269,11 +143,8 @@ def match_threats(
         .when(kind.isin("domain", "url"), F.concat(F.lit("Query contains threat indicator: "), value))
         .when(kind == "email", F.concat(F.lit("Username "), F.col(username), F.lit(" matches threat indicator")))
     )
-    return (
-        df.join(details, F.col("indicator_id") == F.col("_iid"), "left")
-        .withColumn("match_reason", reason)
-        .drop("_iid", "_ip_id", "_email_id", "_text_id", "_low", "_checked")
-    )
+    found = F.col("_best.id").alias("indicator_id"), kind.alias("indicator_type"), value.alias("indicator_value"), F.col("_best.threat_level").alias("threat_level")
+    return df.select(*log.columns, *found, reason.alias("match_reason"))
 
 
 def match_counts(matches: DataFrame) -> DataFrame:

@@ -329,13 +329,13 @@ def _(spark, sf):
     )
 
 
-KV_SETTING_SQL = """SELECT 'srv' || (c_custkey % 95) AS server, CASE c_custkey % 12 WHEN 0 THEN 'requirepass' WHEN 1 THEN 'bind' WHEN 2 THEN 'protected-mode' WHEN 3 THEN 'tls-port'
+KV_SETTING_SQL = """SELECT 'srv' || CAST(floor(c_custkey / 12) AS BIGINT) AS server, CASE c_custkey % 12 WHEN 0 THEN 'requirepass' WHEN 1 THEN 'bind' WHEN 2 THEN 'protected-mode' WHEN 3 THEN 'tls-port'
       WHEN 4 THEN 'notify-keyspace-events' WHEN 5 THEN 'save' WHEN 6 THEN 'appendonly' WHEN 7 THEN 'appendfsync' WHEN 8 THEN 'maxmemory' WHEN 9 THEN 'databases'
       WHEN 10 THEN 'rename-command FLUSHALL' ELSE 'rename-command KEYS' END AS name,
     CASE c_custkey % 12 WHEN 0 THEN CASE c_nationkey % 3 WHEN 0 THEN 'redis' WHEN 1 THEN 'a-very-long-password' ELSE '' END WHEN 1 THEN CASE c_nationkey % 3 WHEN 0 THEN '0.0.0.0' WHEN 1 THEN '' ELSE '10.0.0.1' END
       WHEN 2 THEN CASE c_nationkey % 2 WHEN 0 THEN 'no' ELSE 'yes' END WHEN 3 THEN CASE c_nationkey % 2 WHEN 0 THEN '0' ELSE '6380' END WHEN 4 THEN 'KEA' WHEN 5 THEN '900 1' WHEN 6 THEN 'yes' WHEN 7 THEN 'no'
       WHEN 8 THEN CASE c_nationkey % 2 WHEN 0 THEN '0' ELSE '1gb' END WHEN 9 THEN '' || (10 + c_nationkey) ELSE 'hidden' END AS value
-  FROM customer WHERE c_custkey < 1200"""
+  FROM customer"""
 OPEN_BIND = f"(contains(coalesce({setting('bind')}, ''), '0.0.0.0') OR coalesce({setting('bind')}, '') = '*')"
 
 
@@ -437,33 +437,40 @@ STIX_KIND = """CASE page_id % 6 WHEN 0 THEN '[url:value = ' || chr(39) || url ||
     WHEN 2 THEN '[domain-name:value = ' || chr(39) || 'd' || page_id || '.example' || chr(39) || ']' WHEN 3 THEN '[file:hashes.MD5 = ' || chr(39) || md5(url) || chr(39) || ']' ELSE 'raw ' || url END"""
 
 
-@query(
-    "stix_indicators",
-    """SELECT page_id % 6 AS kind, CASE page_id % 6 WHEN 0 THEN 'url' WHEN 1 THEN 'ip' WHEN 2 THEN 'domain' WHEN 3 THEN 'hash' ELSE 'pattern' END AS type,
-      CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '10.0.0.' || page_id WHEN 2 THEN 'd' || page_id || '.example' WHEN 3 THEN md5(url) WHEN 4 THEN 'raw ' || url ELSE 'Bad ' || page_id END AS value,
-      CASE WHEN page_id % 6 = 5 THEN 'high' WHEN page_id % 4 = 0 THEN 'critical' ELSE 'medium' END AS threat_level,
-      CAST(CASE WHEN page_id % 6 = 5 THEN 80 ELSE 75 END AS INT) AS confidence,
-      CASE WHEN page_id % 6 = 5 THEN 'low,Critical,malware' WHEN page_id % 4 = 0 THEN 'low,Critical,delivery' ELSE 'delivery' END AS tags FROM pages""".replace(
-        "CASE WHEN page_id % 6 = 5 THEN 'low,Critical,malware'", "CASE WHEN page_id % 6 = 5 THEN CASE page_id % 4 WHEN 0 THEN 'low,Critical,malware' ELSE 'malware' END"
-    ),
-)
-def _(spark, sf):
-    pages = load(spark, sf, "pages")
+def stix_entry():
+    """A page as an object of a STIX bundle."""
     plain = F.when(F.col("page_id") % 4 == 0, F.array(F.lit("low"), F.lit("Critical")))
-    entry = F.struct(
+    return F.struct(
         F.when(F.col("page_id") % 6 == 5, "malware").otherwise("indicator").alias("type"),
         F.concat(F.lit("Bad "), "page_id").alias("name"), F.lit("seen").alias("description"),
         F.expr(STIX_KIND).alias("pattern"), plain.alias("labels"), F.lit("2024-01-01T00:00:00Z").alias("created"),
         F.lit(None).cast("string").alias("valid_until"),
         F.array(F.struct(F.lit("delivery").alias("phase_name"))).alias("kill_chain_phases"),
     )
-    rows = S.stix_indicators(pages.select(F.array(entry).alias("objects")))
+
+
+def stix_columns(rows):
     kind = F.expr("CASE type WHEN 'url' THEN 0 WHEN 'ip' THEN 1 WHEN 'domain' THEN 2 WHEN 'hash' THEN 3 ELSE CASE confidence WHEN 80 THEN 5 ELSE 4 END END")
     return rows.select(
         kind.cast("bigint").alias("kind"), "type", "value", "threat_level", "confidence", F.concat_ws(",", "tags").alias("tags")
     )
 
 
+@query(
+    "stix_indicators",
+    """SELECT page_id % 6 AS kind, CASE page_id % 6 WHEN 0 THEN 'url' WHEN 1 THEN 'ip' WHEN 2 THEN 'domain' WHEN 3 THEN 'hash' ELSE 'pattern' END AS type,
+      CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '10.0.0.' || page_id WHEN 2 THEN 'd' || page_id || '.example' WHEN 3 THEN md5(url) WHEN 4 THEN 'raw ' || url ELSE 'Bad ' || page_id END AS value,
+      CASE WHEN page_id % 6 = 5 THEN 'high' WHEN page_id % 4 = 0 THEN 'critical' ELSE 'medium' END AS threat_level,
+      CAST(CASE WHEN page_id % 6 = 5 THEN 80 ELSE 75 END AS INT) AS confidence,
+      CASE WHEN page_id % 6 = 5 THEN 'low,Critical,malware' WHEN page_id % 4 = 0 THEN 'low,Critical,delivery' ELSE 'delivery' END AS tags FROM pages""".replace(
+        "CASE WHEN page_id % 6 = 5 THEN 'low,Critical,malware'", "CASE WHEN page_id % 6 = 5 THEN CASE page_id % 4 WHEN 0 THEN 'low,Critical,malware' ELSE 'malware' END"
+    ),
+)
+def _(spark, sf):
+    rows = S.stix_indicators(load(spark, sf, "pages").select(F.array(stix_entry()).alias("objects")))
+    return stix_columns(rows)
+
+
 @query(
     "misp_indicators",
     """SELECT CASE event_type WHEN 'view' THEN 'ip' WHEN 'click' THEN 'domain' WHEN 'error' THEN 'hash' WHEN 'signup' THEN 'email' ELSE 'pattern' END AS type, 'v' || event_id AS value,

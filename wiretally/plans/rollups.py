@@ -272,16 +272,13 @@ STALE_AT = "1998-06-01 00:00:00"
 
 @query(
     "stale_entries",
-    f"""{ctes('cache_entries')}, w AS (SELECT 'table' || (l_partkey % 70) AS "table", max(l_shipdate) AS w FROM lineitem
-      WHERE l_shipdate < TIMESTAMP '1997-01-01' AND l_returnflag = 'R' AND l_partkey % 10 < 6 GROUP BY 1)
+    f"""{ctes('cache_entries')}, w AS (SELECT 'table' || (l_partkey % 70) AS "table", max(l_shipdate - to_days(CAST(l_partkey % 70 * 50 AS INT))) AS w FROM lineitem GROUP BY 1)
     SELECT entry_id, coalesce(w > created_at, false) OR epoch_us(TIMESTAMP '{STALE_AT}') - epoch_us(created_at) >= ttl_s * 1000000 AS stale
     FROM cache_entries LEFT JOIN w USING ("table")""",
 )
 def _(spark, sf):
-    writes = load(spark, sf, "lineitem").filter(
-        (F.col("l_shipdate") < ts("1997-01-01")) & (F.col("l_returnflag") == "R") & (F.col("l_partkey") % 10 < 6)
-    )
-    writes = writes.select(F.concat(F.lit("table"), F.col("l_partkey") % 70).alias("table"), F.col("l_shipdate").alias("written_at"))
+    earlier = F.expr("l_shipdate - make_dt_interval(CAST(l_partkey % 70 * 50 AS INT))")  # tables differ in how long ago they were written last
+    writes = load(spark, sf, "lineitem").select(F.concat(F.lit("table"), F.col("l_partkey") % 70).alias("table"), earlier.alias("written_at"))
     return A.stale_entries(derive(spark, sf, "cache_entries"), writes, ts(STALE_AT)).select("entry_id", "stale")
 
 
@@ -405,12 +402,11 @@ def _(spark, sf):
 
 @query(
     "restore_points",
-    f"WITH r AS ({RUN_SQL}) SELECT backup_id FROM r WHERE archive_path IN (SELECT 'a' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+    f"WITH r AS ({RUN_SQL}) SELECT backup_id FROM r WHERE archive_path IN (SELECT CASE l_returnflag WHEN 'R' THEN 'a' ELSE 'gone/a' END || l_orderkey FROM lineitem)",
 )
 def _(spark, sf):
-    archives = load(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
-        F.concat(F.lit("a"), "l_orderkey").alias("path")
-    )
+    folder = F.when(F.col("l_returnflag") == "R", "a").otherwise("gone/a")
+    archives = load(spark, sf, "lineitem").select(F.concat(folder, "l_orderkey").alias("path"))
     return A.restore_points(backup_runs(spark, sf), archives).select("backup_id")
 
 

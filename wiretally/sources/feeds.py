@@ -269,11 +269,11 @@ def read_csv_feed(spark: SparkSession, path: str, feed_id: str, mapping: dict[st
     return mapped_indicators(read_csv_rows(spark, path).na.fill(""), feed_id, mapping, as_of)
 
 
-READERS = {"stix": read_stix, "taxii": read_taxii, "openioc": read_openioc, "misp": read_misp}
+READERS = {"stix": read_stix, "taxii": read_taxii, "openioc": read_openioc, "misp": read_misp, "json": read_json_feed, "csv": read_csv_feed}
 
 
-def read_feed(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """Reader by feed type; add to ``READERS`` for further ones."""
+def read_feed(spark: SparkSession, kind: str, path: str, **how) -> DataFrame:
+    """Reader by feed type; add to ``READERS`` for further ones. ``how``: what the reader takes besides, such as ``feed_id``, ``mapping`` and ``as_of``."""
     if kind not in READERS:
         raise ValueError(f"unknown feed type: {kind}")
-    return READERS[kind](spark, path)
+    return READERS[kind](spark, path, **how)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,24 +43,24 @@ def scan_sql_files(spark: SparkSession, folder: str) -> DataFrame:
 # --- scans ---------------------------------------------------------------------------------------------
 
 
-def store_scan(scans: DataFrame, path: str) -> None:
-    """Append scan documents as JSON, one folder per day of ``scan_ts``."""
+def store_scan(scans: DataFrame, path: str, *, batch: int) -> None:
+    """Scan documents as JSON, one folder per batch and in it one per day of ``scan_ts``; a batch that is stored again replaces itself."""
     dated = scans.withColumn("scan_date", F.to_date("scan_ts"))
-    dated.write.mode("append").partitionBy("scan_date").json(path)
+    dated.write.mode("overwrite").partitionBy("scan_date").json(f"{path}/batch={batch}")
 
 
 def read_scans(spark: SparkSession, path: str, schema, as_of: Column, *, days: int = 7) -> DataFrame:
     """Scans of the last days, oldest first; only the day folders of the range are listed."""
     from pyspark.sql.types import DateType, StructType
 
-    full = StructType([*schema.fields]).add("scan_date", DateType())
+    full = StructType([*schema.fields]).add("batch", "long").add("scan_date", DateType())
     start = as_of - F.make_dt_interval(F.lit(days))
     return (
         spark.read.schema(full)
         .json(path)
         .filter((F.col("scan_date") >= F.to_date(start)) & (F.col("scan_date") <= F.to_date(as_of)))
         .filter((F.col("scan_ts") >= start) & (F.col("scan_ts") <= as_of))
-        .drop("scan_date")
+        .drop("scan_date", "batch")
         .orderBy("scan_ts")
     )
 
@@ -68,28 +72,65 @@ def filter_audit(events: DataFrame, min_level: str) -> DataFrame:
     return events.filter(level_rank(F.col("level")) >= _LEVELS.index(min_level))
 
 
-def write_audit(events: DataFrame, path: str, *, min_level: str = "INFO", max_records: int = 1_000_000) -> None:
-    """JSON lines at or above a level; a new file starts after ``max_records`` lines."""
-    filter_audit(events, min_level).write.mode("append").option("maxRecordsPerFile", max_records).json(path)
+def packed_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
+    """(value, file): each task packs its lines in order into files of at most ``max_bytes`` with their line ends; a longer line has a file alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, filled = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            sizes = batch.column(1).to_numpy(zero_copy_only=False)
+            places = np.empty(len(sizes), np.int64)
+            for i, size in enumerate(sizes.tolist()):
+                if filled and filled + size > max_bytes:
+                    number, filled = number + 1, 0
+                filled += size
+                places[i] = number
+            files = pa.array([f"{part:05d}-{n:05d}" for n in places.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), files], names=["value", "file"])
+
+    sized = lines.select("value", (F.octet_length("value") + 1).cast("long").alias("size"))
+    return sized.mapInArrow(run, "value string, file string")
+
+
+def write_audit(events: DataFrame, path: str, *, batch: int, min_level: str = "INFO", max_bytes: int = 100 << 20) -> None:
+    """JSON lines at or above a level, in files of at most ``max_bytes``; a batch that is written again replaces itself."""
+    chosen = filter_audit(events, min_level)
+    lines = chosen.select(F.to_json(F.struct(*chosen.columns)).alias("value"))
+    packed_lines(lines, max_bytes).write.mode("overwrite").partitionBy("file").text(f"{path}/batch={batch}")
+
+
+def read_audit(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The events of all batches, with ``batch`` and ``file``."""
+    lines = spark.read.schema("value string, batch long, file string").text(path)
+    return lines.select(F.from_json("value", schema).alias("event"), "batch", "file").select("event.*", "batch", "file")
+
+
+#: Kinds of values, and the shape that JSON gives them.
+KV_KINDS = ("string", "hash", "list", "set", "zset")
 
 
 def export_kv(entries: DataFrame, path: str) -> None:
-    """Typed key/value entries (``key, kind, value, ttl``) as gzip JSON lines."""
-    entries.select("key", F.col("kind").alias("type"), "value", "ttl").write.mode("overwrite").option(
-        "compression", "gzip"
-    ).json(path)
+    """Typed entries (``key, kind, value, ttl``) as gzip JSON lines; ``value`` is a ``VARIANT``: text, object, array, array, or array of [member, score]."""
+    lines = entries.where(F.col("kind").isin(*KV_KINDS)).select(F.to_json(F.struct("key", F.col("kind").alias("type"), "value", "ttl")).alias("value"))
+    lines.write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def import_kv(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of an export, whatever their kinds; lines that are no entry are left out."""
+    read = spark.read.schema("key string, type string, value variant, ttl long").option("mode", "DROPMALFORMED").json(path)
+    return read.select("key", F.col("type").alias("kind"), "value", "ttl").where(F.col("kind").isin(*KV_KINDS))
 
 
-def record_matches(matches: DataFrame, path: str, as_of: Column) -> None:
-    """Append matched rows with time and action; days become folders."""
+def record_matches(matches: DataFrame, path: str, as_of: Column, *, batch: int) -> None:
+    """Matched rows with time and action, a folder per batch and in it one per day; a batch that is recorded again replaces itself."""
     (
         matches.filter(F.col("indicator_id").isNotNull())
         .withColumn("timestamp", as_of)
         .withColumn("action_taken", F.lit("blocked"))
         .withColumn("match_date", F.to_date("timestamp"))
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("match_date")
-        .parquet(path)
+        .parquet(f"{path}/batch={batch}")
     )
 
 
