@@ -25,7 +25,7 @@ from wiretally.llm.shingles import Shingler, jaccard
 SF = "/root/testdata/sf0.001"
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, bucket string, row string, n long, name string, batch long"
-HARD = ["", " ", "\n\n", "a", "a  b\t\tc", "Hello <|endoftext|> World<|STARTOFTEXT|>x", "it's they'LL 'sofa", "İstanbul ΣΑΣ", "a\x1cb \x1f c d　e​f", "½²Ⅷ一二 12345", "<s> a▁ b </s>", "日本語 한국어 ไทย", "x" * 700, "ab" * 30_000, "🎉👨‍👩‍👧 ok", " \n b ", "a \nb", "a\r\nb\n"]
+HARD = ["", " ", "\n\n", "a", "a  b\t\tc", "Hello <|endoftext|> World<|STARTOFTEXT|>x", "it's they'LL 'sofa", "İstanbul ΣΑΣ", "a\x1cb \x1f c d　e​f", "½²Ⅷ一二 12345", "<s> a▁ b </s>", "日本語 한국어 ไทย", "x" * 700, "ab" * 30_000, "🎉👨‍👩‍👧 ok", " \n b ", "a \nb", "a\r\nb\n", "nul\x00 a\x00b \x00", "𓀀" * 64 + " " + "𓀀" * 64, "݆᷶ a\u1df6\u0746b", "e\u0301\u0327 \u0323\u0307q", "ꟍ\u1c89Ა\U00011f02 \u2c2f"]
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +102,16 @@ def test_token_counts(spark, documents, hard):
     assert rows_of(token_counts.count_tokens(hard, PIECES)) == sorted(want, key=repr)
 
 
+def test_token_counts_of_odd_characters(spark, empty):
+    """Frequent pre-tokens with a NUL, and of 64 characters that each take several tokens."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["a \x00 b\x00c", "\x00", "𓀀" * 64 + " x " + "𓀀" * 64, "▁ a", "x\ty", "end\x00 " * 50] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [(i, len(t.encode()), len(model.encode(t))) for i, t in enumerate(texts)]
+    assert rows_of(token_counts.count_tokens(docs, PIECES)) == sorted(want, key=repr)
+    assert token_counts.count_tokens(empty, PIECES).collect() == []
+
+
 def test_bpe(spark, documents, hard):
     library = Tokenizer.from_file(WORD_BPE)
 
@@ -117,6 +127,29 @@ def test_bpe(spark, documents, hard):
     assert sorted(map(repr, apart.collect())) == sorted(map(repr, got))
 
 
+def test_any_unicode_as_the_library():
+    """20,000 random texts: all planes, unassigned characters, pairs of combining marks, and characters from each range that is held to be sure."""
+    library, vocabulary = Tokenizer.from_file(WORD_BPE), bpe.Vocabulary(WORD_BPE)
+    random.seed(12)
+    marks = [*range(0x300, 0x370), *range(0x1DC0, 0x1E00), *range(0x730, 0x74B), *range(0x610, 0x61B), 0x3099, 0x309A]
+    sure = [chr(c) for c in range(0x10000) if re.match(f"[{bpe.SURE}]", chr(c))]
+
+    def text():
+        kind = random.randrange(5)
+        if kind == 0:
+            return "".join(chr(random.choice([random.randrange(0xD800), random.randrange(0xE000, 0x110000)])) for _ in range(random.randrange(1, 9)))
+        if kind == 1:
+            return "".join(random.choice("aeoé ") + chr(random.choice(marks)) + chr(random.choice(marks)) for _ in range(3))
+        if kind == 2:
+            return "".join(chr(random.randrange(0x20, 0x3000)) for _ in range(random.randrange(1, 12)))
+        return "".join(random.choices(sure, k=random.randrange(1, 20))) + random.choice(["", " ", "'s", "İ", "Σ"])
+
+    for _ in range(20_000):
+        t = text()
+        ids = np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert vocabulary.encode(t) == ids, ascii(t)
+
+
 def test_long_words_merge_alike():
     vocabulary = bpe.Vocabulary(WORD_BPE)
     random.seed(5)
@@ -181,6 +214,18 @@ def test_exact_classes(spark, hard, monkeypatch):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_leads_that_clash(spark, monkeypatch):
+    """Blocks alike in all that cuts the ranges are told apart, and equal ones across ranges are not."""
+    from wiretally.llm.common import written
+
+    rows = [(random.choice(["aa1", "aa2", "aa3", "b"]), i, 0, 1, i, b"") for i in range(400)]
+    df = spark.createDataFrame(rows, "block string, row long, at long, n long, doc_id long, sha binary").repartition(5)
+    for lead in ({"_lead": F.substring("block", 1, 2)}, {"_lead": F.col("block")}, None):
+        folder = work_folder(spark)
+        named = written(exact_dedup.sorted_names(df, ["block"], folder, "r", lead), folder, "out").join(df.select("row", "block"), "row")
+        assert {(r.name, r.block) for r in named.select("name", "block").distinct().collect()} == {(i, b) for i, b in enumerate(sorted({r[0] for r in rows}))}
+
+
 def test_exact_query_agrees_with_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -378,6 +423,50 @@ def test_factors_learn_pairs():
     assert machine.score([0, 1, 5]) > 0.5 > max(machine.score([0, 5]), machine.score([1, 5]))
 
 
+def test_scores_are_sums_over_all_pairs(spark, hard):
+    """The score of each text against the formula, pair by pair."""
+    random.seed(4)
+    docs = hard.select("doc_id", "text").unionByName(spark.createDataFrame([(i, " ".join(random.choices(["Bad", "good", "badly", "é", "insult", "x1"], k=9))) for i in range(30)], "doc_id long, text string"))
+    known = sorted(set().union(*(toxicity.buckets(w) for w in ("bad", "badly", "insult", "hello", "日本語", "x"))))
+    machine = toxicity.Machine(np.array(known), -0.5, np.array([random.gauss(0, 1) for _ in known]), np.array([[random.gauss(0, 1) for _ in range(toxicity.FACTORS)] for _ in known]))
+    index = {t: i for i, t in enumerate(known)}
+
+    def plain(text):
+        own = set(re.findall(r"\w+", (text or "").lower()))
+        at = [index[b] for b in set().union(*(toxicity.buckets(w) for w in own)) if b in index]
+        pairs = sum(float(machine.factors[a] @ machine.factors[b]) for n, a in enumerate(at) for b in at[:n])
+        raw = machine.bias + sum(machine.weights[a] for a in at) + pairs / max(1, toxicity.WIDTH * len(own))
+        return 1 / (1 + np.exp(-max(-30, min(30, raw))))
+
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(round(plain(r.text), 9))
+    got = collections.defaultdict(list)
+    for r in toxicity.score(docs, machine).collect():
+        got[r.doc_id].append(round(r.score, 9))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in texts.items()}
+
+
+def test_toxicity_of_pairs_alone(spark):
+    """Labels that no single word tells: exactly one of two words. Repeated ids with conflicting labels take the largest."""
+    random.seed(3)
+    stock = ["".join(random.choices("abcdefghijklmnop", k=random.randint(3, 9))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = random.random() < 0.5, random.random() < 0.5
+        text = random.choices(stock, k=random.randint(5, 30)) + ["insult"] * a + ["group"] * b
+        random.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels += [(i, int(a != b)), (i, 0)][: 1 + (i % 5 == 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int"))
+    want = {}
+    for i, label in labels:
+        want[i] = max(label, want.get(i, 0))
+    judged = [(r.score >= 0.5) == (want[r.doc_id] == 1) for r in toxicity.score(docs, machine).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(judged) / len(judged) > 0.95
+
+
 def test_held_out_rows_do_not_teach(spark):
     docs = spark.createDataFrame([(i, "aaaa bbbb" if zlib.crc32(str(i).encode()) % 4 == 2 else "cccc dddd", "xx") for i in range(40)], "doc_id long, text string, lang string")
     grams = {r.gram for r in language.learn(docs).collect()}

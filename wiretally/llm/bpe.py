@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from wiretally.llm.common import keyed_texts, record_batch, texts_of
@@ -34,6 +35,19 @@ NONE = 1 << 40
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+#: Inside a bracket: characters that all versions of Unicode treat alike, and that no normal form reorders. ASCII and Latin-1, Latin Extended-A, Greek and Cyrillic letters,
+#: punctuation, kana without sound marks, Han and Hangul syllables as of Unicode 1.1 to 3.0.
+SURE = "\x00-\xff\u0100-\u017f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u2010-\u2027\u2030-\u203a\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,6 +77,8 @@ class Vocabulary:
         self.cut = re.compile("|".join(f"({re.escape(x)})" for x in sorted(special, key=len, reverse=True))) if special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE))
         self.spaces = re.compile(f"[{SPACE}]+")
+        self.unsure = re.compile(f"[^{SURE}]")
+        self.path, self.library = path, None
         self.pieces, self.old_pieces = {}, {}
         self.seen, self.old_seen = {}, {}
 
@@ -76,9 +92,19 @@ class Vocabulary:
             return b"".join(out)
         return self._plain(text)
 
+    def _by_library(self, text: str) -> bytes:
+        """Text with characters on which Unicode versions differ: normalised and cut by the library with the file's own steps, merged here."""
+        if self.library is None:
+            self.library = tokenizers.Tokenizer.from_file(self.path)
+            self.byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return b"".join([array("I", self.merge_word(bytes(map(self.byte_of.__getitem__, word)))).tobytes() for word, _ in words])
+
     def _plain(self, text: str) -> bytes:
-        if text.isascii():
+        if text.isascii() or is_latin(text):  # no two characters of Latin-1 compose
             text = text.lower()
+        elif self.unsure.search(text):
+            return self._by_library(text)
         else:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)

@@ -4,9 +4,10 @@ Normalised texts are cut into blocks of ``BLOCK`` characters. All blocks are sor
 distinct blocks. Then adjacent names are paired, the pairs sorted and named in the same way, and so on until every document has one
 name. Documents with equal names after equally many rounds have equal texts, and no others: names stand for contents, not for hashes.
 
-Sorting is by range over (content, occurrence), so a block that a third of the documents hold is spread over many tasks, and a run that
-goes across a partition's end is joined by comparing the contents on both sides of it. Each round is a written table, and half the size of
-the one before.
+Sorting is by range over a block's first ``LEAD`` characters, a hash of it, and its occurrence, so a block that a third of the documents hold is spread over
+many tasks, and Spark's samples for the ranges are short. Within a range whole blocks are compared. Where a run goes across a range's end, a join of neighbouring ends
+compares their contents on the executors; the driver sees numbers alone. Should two different blocks agree in their lead, the round is sorted again by whole
+blocks. Each round is a written table, and half the size of the one before.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from wiretally.llm.common import work_folder, written
 
 BLOCK = 4096
+LEAD = 16
 CARRIED = "row long, at long, n long, doc_id long, sha binary"
 
 
@@ -31,48 +33,64 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def sorted_names(rows: DataFrame, keys: list[str], folder: str, name: str) -> DataFrame:
+ENDS = "part long, local long, first binary, last binary, first_lead binary, last_lead binary, clash boolean"
+
+
+def sorted_names(rows: DataFrame, keys: list[str], folder: str, name: str, lead: dict[str, Column] | None = None) -> DataFrame:
     """Rows with ``name``, the place of their keys among the distinct keys in sorted order. Keys must not be null.
 
-    Other columns are those of ``CARRIED``; (row, at) tells occurrences apart.
+    Other columns are those of ``CARRIED``; (row, at) tells occurrences apart. The ranges are cut by ``lead``, short columns made from the keys, else by the keys.
     """
-    ranged = rows.repartitionByRange(*keys, "row", "at").sortWithinPartitions(*keys, "row", "at")
+    columns, wide = [c.split()[0] for c in CARRIED.split(", ")], lead or {}
+    cut = [*wide] or keys
+    ranged = rows.withColumns(wide).repartitionByRange(*cut, "row", "at").sortWithinPartitions(*wide, *keys, "row", "at")
+    n_keys, n_wide = len(keys), len(wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, first, last = TaskContext.get().partitionId(), -1, None, None
-        key = lambda batch, i: repr([batch.column(k)[i].as_py() for k in range(len(keys))]).encode()
+        part, seen, clash, ends = TaskContext.get().partitionId(), -1, False, None
+        spelt = lambda batch, i, to: repr([batch.column(k)[i].as_py() for k in range(to)]).encode()
         out = None
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
+            unlike = [pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False) for k in range(n_wide + n_keys)]
             fresh = np.ones(n, bool)
-            differ = [pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False) for k in range(len(keys))]
-            fresh[1:] = np.logical_or.reduce(differ)
-            begin = key(batch, 0)
-            fresh[0] = begin != last
-            first = begin if first is None else first
+            fresh[1:] = np.logical_or.reduce(unlike)
+            here = spelt(batch, 0, n_wide), spelt(batch, 0, n_wide + n_keys)
+            if ends is None:
+                ends = [*here, *here]
+            else:
+                fresh[0] = here[1] != ends[3]
+                clash |= bool(n_wide) and bool(fresh[0]) and here[0] == ends[2]
+            if n_wide:
+                clash |= bool((np.logical_or.reduce(unlike[n_wide:]) & ~np.logical_or.reduce(unlike[:n_wide])).any())
             local = seen + np.cumsum(fresh)
-            seen, last = int(local[-1]), key(batch, n - 1)
-            carried = batch.columns[len(keys) :]
+            seen, ends[2:] = int(local[-1]), [spelt(batch, n - 1, n_wide), spelt(batch, n - 1, n_wide + n_keys)]
             empty = pa.nulls(n, pa.binary())
-            names = [*batch.schema.names[len(keys) :], "part", "local", "first", "last"]
-            out = pa.RecordBatch.from_arrays([*carried, pa.array(np.full(n, part, np.int64)), pa.array(local.astype(np.int64)), empty, empty], names=names)
+            names = [*columns, *(c.split()[0] for c in ENDS.split(", "))]
+            carried = batch.columns[n_wide + n_keys :]
+            out = pa.RecordBatch.from_arrays([*carried, pa.array(np.full(n, part, np.int64)), pa.array(local.astype(np.int64)), empty, empty, empty, empty, pa.nulls(n, pa.bool_())], names=names)
             yield out
         if out is not None:
-            nothing = [pa.nulls(1, c.type) for c in out.columns[:-4]]
-            ends = [pa.array([part], pa.int64()), pa.array([seen + 1], pa.int64()), pa.array([first], pa.binary()), pa.array([last], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nothing, *ends], names=out.schema.names)
-
-    columns = [c.split()[0] for c in CARRIED.split(", ")]
-    local = ranged.select(*keys, *columns).mapInArrow(run, f"{CARRIED}, part long, local long, first binary, last binary")
-    local = written(local, folder, name)
-    base, bases, before = 0, [], None
-    for part, count, first, last in sorted(map(tuple, local.where("first is not null").select("part", "local", "first", "last").collect())):
-        base -= before is not None and bytes(first) == bytes(before)
+            row = [part, seen + 1, ends[1], ends[3], ends[0], ends[2], clash]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in out.columns[: len(columns)]), *(pa.array([v], c.type) for v, c in zip(row, out.columns[len(columns) :]))], names=out.schema.names)
+
+    local = written(ranged.select(*wide, *keys, *columns).mapInArrow(run, f"{CARRIED}, {ENDS}"), folder, name)
+    spark, ends = local.sparkSession, local.where("first is not null")
+    counts = sorted(map(tuple, ends.select("part", "local", "clash").collect()))  # a row for each range, of numbers
+    neighbours = spark.createDataFrame([(b[0], a[0]) for a, b in zip(counts, counts[1:])], "part long, before long")
+    before = ends.select(F.col("part").alias("before"), F.col("last").alias("ended"), F.col("last_lead").alias("ended_lead"))
+    met = neighbours.join(ends, "part").join(before, "before").select("part", (F.col("first") == F.col("ended")).alias("same"), (F.col("first_lead") == F.col("ended_lead")).alias("alike"))
+    met = {part: (same, alike) for part, same, alike in met.collect()}
+    if wide and any(clash for _, _, clash in counts) or wide and any(alike and not same for same, alike in met.values()):
+        return sorted_names(rows, keys, folder, f"{name}_whole")
+    base, bases = 0, []
+    for part, count, _ in counts:
+        base -= met.get(part, (False, False))[0]
         bases.append((part, base))
-        base, before = base + count, last
-    offsets = local.sparkSession.createDataFrame(bases, "part long, base long")  # a row for each partition
+        base += count
+    offsets = spark.createDataFrame(bases, "part long, base long")
     return local.where("first is null").join(F.broadcast(offsets), "part").select(*columns, (F.col("base") + F.col("local")).alias("name"))
 
 
@@ -91,7 +109,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = cut.select("row", "doc_id", "sha", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("at", "block"))
     head = F.col("at") == 0
     cut = cut.select("block", "row", F.col("at").cast("long").alias("at"), "n", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("sha")).alias("sha"))
-    names = sorted_names(cut, ["block"], folder, "round0")
+    names = sorted_names(cut, ["block"], folder, "round0", {"_lead": F.substring("block", 1, LEAD), "_hash": F.xxhash64("block")})
     finished = [names.where("n = 1").withColumn("round", F.lit(0))]
     longest = names.agg(F.max("n")).first()[0] or 0
     level = 0

@@ -90,14 +90,13 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark, model = docs.sparkSession, load(path)
     tokens = [row[0] for row in frequent(docs, id_col, text_col).select("token").collect()]
-    packed = "\x00".join(tokens).encode() if tokens else b""
-    shared = spark.sparkContext.broadcast((packed, np.array(sizes(model, tokens), np.uint8 if tokens else np.int64).tobytes()))
+    shared = spark.sparkContext.broadcast((tokens, np.array(sizes(model, tokens), np.uint16)))  # a token for each of at most four bytes a character, and one
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         words, lengths = shared.value
-        table = dict(zip(words.decode().split("\x00"), lengths, strict=True)) if lengths else {}
+        table = dict(zip(words, lengths.tolist(), strict=True))
         cache: dict[str, int] = {}
 
         def count(text: str) -> int:

@@ -3,9 +3,10 @@
 The terms of a text are its words in lower case and their beginnings of ``STEMS`` characters, hashed to ``BUCKETS`` places; whether a
 term occurs counts, not how often. The score is the logistic function of
 
-    bias + sum of the terms' weights + sum over all pairs of terms of the dot product of their factors,
+    bias + sum of the terms' weights + sum over all pairs of terms of the dot product of their factors / (``WIDTH`` * distinct words),
 
-so a pair of terms may weigh more than both alone. The pair sum is computed from the factors' sum and the sum of their squares.
+so a pair of terms may weigh more than both alone, and the many harmless pairs of a long text do not drown the rest. The pair sum is computed from the factors'
+sum and the sum of their squares. Every place that a learned text holds has a weight and factors; a proximal step sets those to zero that tell nothing.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.common import held_out, keyed_texts, record_batch
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 STEMS = (4, 5, 6)
-SAMPLE = 20_000  # labelled rows that a fit takes: those with the smallest hashes of their ids
-TERMS = 1_024  # buckets that the machine knows: those that tell the labels apart best among the sample
+SAMPLE = 8_192  # labelled rows that a fit takes: those with the smallest hashes of their ids
 FACTORS = 4
-STEPS = 1_000  # of a fit, whatever the number of rows
+WIDTH = 4  # places that a word has, at most
+STEPS = 320  # of a fit, whatever the number of rows
 MIXED = 256  # rows in a step
+RATE, SPARSE = 3.0, 40.0  # step size and threshold of the weights
+PAIR_RATE, PAIR_SPARSE = 1.0, 0.005  # of the factors
 CACHED = 300_000
 WORD = re.compile(r"\w+")
 
@@ -44,15 +47,15 @@ def words(text: str | None) -> set[str]:
 
 @dataclass
 class Machine:
-    terms: np.ndarray  # known buckets in order
+    terms: np.ndarray  # the places with a weight or factor other than zero, in order
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, known: list[int]) -> float:
-        """``known`` are places in ``terms``, each once."""
+    def score(self, known: list[int], size: int | None = None) -> float:
+        """``known`` are indexes into ``terms``, each once; ``size`` divides the pair sum, and is their number if not given."""
         factors = self.factors[known]
-        pairs = 0.5 * ((factors.sum(axis=0) ** 2).sum() - (factors**2).sum())
+        pairs = 0.5 * ((factors.sum(axis=0) ** 2).sum() - (factors**2).sum()) / max(1, len(known) if size is None else size)
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[known].sum() + pairs, -30, 30))))
 
 
@@ -66,9 +69,9 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine for the labels of a sample of at most ``rows`` labelled documents, read as whole texts.
 
-    The sample's ids are broadcast (bounded by ``rows``); texts are never shuffled. Terms are chosen by the difference of their shares
-    in both classes over its standard error. At most ``rows`` x ``TERMS`` places reach the driver. Without labelled rows the score is 0
-    everywhere.
+    The sample's ids are broadcast (bounded by ``rows``); texts are never shuffled. The distinct places of each text of the sample reach the driver, at most
+    ``rows`` times. Without labelled rows the score is 0 everywhere, with one label alone it is that label. Of several labels of an id the largest counts;
+    repeated rows of an id count each.
     """
     spark = docs.sparkSession
     sample = {row[0]: row[1] for row in sample_labels(labels, id_col, label_col, rows).collect()}
@@ -77,77 +80,73 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str = "d
         return none
     chosen = spark.createDataFrame(list(sample.items()), "doc_id long, label int")
     texts = keyed_texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label")
-    counts_schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("ones", pa.int64()), ("rows", pa.int64()), ("row_ones", pa.int64())])
+    schema = pa.schema([("label", pa.int32()), ("size", pa.int32()), ("places", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ones, total, total_ones = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, 0
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = list(set().union(*map(buckets, words(text))))
-                n[at] += 1
-                ones[at] += label
-                total += 1
-                total_ones += label
-        found = np.flatnonzero(n)
-        yield record_batch(counts_schema, [-1], [0], [0], [total], [total_ones])
-        yield record_batch(counts_schema, found.astype(np.int32), n[found], ones[found], np.zeros(len(found), np.int64), np.zeros(len(found), np.int64))
-
-    counted = texts.mapInArrow(count, "bucket int, n long, ones long, rows long, row_ones long")
-    counted = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "rows", "row_ones"))).persist()
-    total, ones = counted.where("bucket = -1").select("rows", "row_ones").first() or (0, 0)
-    if not total or not ones or ones == total:
-        counted.unpersist()
-        return none if not ones else Machine(none.terms, 30.0, none.weights, none.factors)
-    share = F.col("n") / F.lit(float(total))
-    error = F.sqrt(share * (1 - share) * (1 / float(ones) + 1 / float(total - ones)) + 1e-12)
-    gap = (F.col("ones") / float(ones) - (F.col("n") - F.col("ones")) / float(total - ones)) / error
-    best = counted.where((F.col("bucket") >= 0) & (F.col("n") >= 3)).orderBy(F.desc(F.abs(gap)), "bucket").limit(TERMS)
-    terms = np.array(sorted(row[0] for row in best.select("bucket").collect()), np.int64)
-    counted.unpersist()
-    place = {int(t): i for i, t in enumerate(terms)}
-    shared = spark.sparkContext.broadcast(place)
-    rows_schema = pa.schema([("label", pa.int32()), ("known", pa.binary())])
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _finder(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield record_batch(rows_schema, batch.column(1), [np.array(sorted(find(text)), np.uint16).tobytes() for text in batch.column(0).to_pylist()])
+            own = [words(text) for text in batch.column(0).to_pylist()]
+            places = [np.array(sorted(set().union(*map(buckets, some))), np.uint32).tobytes() for some in own]
+            yield record_batch(schema, batch.column(1), [WIDTH * len(some) for some in own], places)
 
-    learned = texts.mapInArrow(known, "label int, known binary").collect()
+    learned = texts.mapInArrow(run, "label int, size int, places binary").collect()
+    if not learned:
+        return none
     learned.sort()
-    return train(terms, [np.frombuffer(row[1], np.uint16) for row in learned], np.array([row[0] for row in learned], np.float32))
-
-
-def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Log loss with a little decay, by adaptive gradients over mixed batches."""
-    random = np.random.default_rng(seed)
-    table = np.zeros((len(rows), len(terms)), np.uint8)
-    for i, known in enumerate(rows):
-        table[i, known] = 1
+    labels_of = np.array([row[0] for row in learned], np.float64)
+    if labels_of.min() == labels_of.max():
+        return Machine(none.terms, 30.0 if labels_of[0] else -30.0, none.weights, none.factors)
+    found = [np.frombuffer(row[2], np.uint32) for row in learned]
+    terms, flat = np.unique(np.concatenate(found), return_inverse=True)
+    ends = np.cumsum([len(x) for x in found])
+    whole = train(terms, np.split(flat, ends[:-1]), labels_of, sizes=np.array([row[1] for row in learned]))
+    kept = np.flatnonzero((whole.weights != 0) | (whole.factors != 0).any(axis=1))
+    return Machine(terms[kept].astype(np.int64), whole.bias, whole.weights[kept], whole.factors[kept])
+
+
+def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, sizes: np.ndarray | None = None, seed: int = 7) -> Machine:
+    """Log loss over mixed batches of rows (indexes into ``terms``, each once): adaptive steps, each followed by a threshold that sets to zero."""
+    random, n_terms = np.random.default_rng(seed), len(terms)
+    lengths = np.array([len(r) for r in rows])
+    starts, flat = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(rows).astype(np.int64)
+    scale = 1 / np.maximum(1, lengths if sizes is None else sizes)
     mean = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-    bias, weights = np.float32(np.log(mean / (1 - mean))), np.zeros(len(terms), np.float32)
-    factors = random.normal(0, 0.01, (len(terms), FACTORS)).astype(np.float32)
-    sums = [np.float32(1e-6), np.full(len(terms), 1e-6, np.float32), np.full(factors.shape, 1e-6, np.float32)]
+    bias, bias_sum = np.log(mean / (1 - mean)), 1.0
+    weights, pulled, weight_sums = np.zeros(n_terms), np.zeros(n_terms), np.zeros(n_terms)
+    factors, factor_sums = random.normal(0, 0.01, (FACTORS, n_terms)), np.zeros((FACTORS, n_terms))
     order, at = random.permutation(len(rows)), 0
     for _ in range(STEPS):
         if at >= len(order):
             order, at = random.permutation(len(rows)), 0
-        x, y = table[order[at : at + MIXED]].astype(np.float32), labels[order[at : at + MIXED]]
+        some = order[at : at + MIXED]
         at += MIXED
-        inner = x @ factors
-        raw = bias + x @ weights + 0.5 * ((inner**2).sum(axis=1) - x @ (factors**2).sum(axis=1))
-        slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(y)
-        steps = (slope.sum(), slope @ x + 1e-5 * weights, x.T @ (slope[:, None] * inner) - factors * (slope @ x)[:, None] + 1e-5 * factors)
-        sums = [s + g * g for s, g in zip(sums, steps, strict=True)]
-        bias, weights, factors = (p - 0.1 * g / np.sqrt(s) for p, g, s in zip((bias, weights, factors), steps, sums, strict=True))
-    return Machine(terms, float(bias), weights, factors)
+        known, row = np.concatenate([flat[starts[i] : starts[i + 1]] for i in some]), np.repeat(np.arange(len(some)), lengths[some])
+        own = factors[:, known]
+        sums = np.stack([np.bincount(row, f, len(some)) for f in own])
+        pairs = 0.5 * scale[some] * ((sums**2).sum(axis=0) - np.bincount(row, (own**2).sum(axis=0), len(some)))
+        raw = bias + np.bincount(row, weights[known], len(some)) + pairs
+        slope = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[some]
+        step = np.bincount(known, slope[row], n_terms)
+        grown = weight_sums + step**2
+        pulled += step - (np.sqrt(grown) - np.sqrt(weight_sums)) / RATE * weights
+        weight_sums = grown
+        weights = -np.sign(pulled) * np.maximum(np.abs(pulled) - SPARSE, 0) * RATE / (1 + np.sqrt(weight_sums))
+        shared = (slope * scale[some])[row]
+        for f in range(FACTORS):
+            step = np.bincount(known, shared * (sums[f][row] - own[f]), n_terms)
+            factor_sums[f] += step**2
+            rate = PAIR_RATE / (1 + np.sqrt(factor_sums[f]))
+            moved = factors[f] - rate * step
+            factors[f] = np.sign(moved) * np.maximum(np.abs(moved) - rate * PAIR_SPARSE, 0)
+        bias_sum += slope.sum() ** 2
+        bias -= 0.1 * slope.sum() / np.sqrt(bias_sum)
+    return Machine(terms, float(bias), weights, factors.T.copy())
 
 
 def _finder(place: dict[int, int]):
-    """A function from a text to the places of its known terms; the words' places are kept, up to ``CACHED`` of them."""
+    """A function from a text to the indexes of its known terms and the size that divides its pair sum; the words' terms are kept, up to ``CACHED`` of them."""
     cache: dict[str, tuple[int, ...]] = {}
 
-    def find(text: str | None) -> set[int]:
+    def find(text: str | None) -> tuple[list[int], int]:
         nonlocal cache
         own = words(text)
         if len(cache) > CACHED:
@@ -158,7 +157,7 @@ def _finder(place: dict[int, int]):
                 places = cache[word] = tuple(place[b] for b in buckets(word) if b in place)
             if places:
                 found.update(places)
-        return found
+        return sorted(found), WIDTH * len(own)
 
     return find
 
@@ -166,7 +165,7 @@ def _finder(place: dict[int, int]):
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each row from its whole text alone; null and empty texts get the score of no terms.
 
-    Every row gives one row. The machine is broadcast: ``TERMS`` weights and factors.
+    Every row gives one row, repeated ones too. The machine is broadcast: at most ``BUCKETS`` weights and factors, those that are not zero.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(machine)
@@ -176,6 +175,6 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         machine = shared.value
         find = _finder({int(t): i for i, t in enumerate(machine.terms)})
         for batch in batches:
-            yield record_batch(schema, batch.column(0), [machine.score(sorted(find(text))) for text in batch.column(1).to_pylist()])
+            yield record_batch(schema, batch.column(0), [machine.score(*find(text)) for text in batch.column(1).to_pylist()])
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
