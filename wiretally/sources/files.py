@@ -111,8 +111,8 @@ KV_KINDS = ("string", "hash", "list", "set", "zset")
 
 def export_kv(entries: DataFrame, path: str) -> None:
     """Typed entries (``key, kind, value, ttl``) as gzip JSON lines; ``value`` is a ``VARIANT``: text, object, array, array, or array of [member, score]."""
-    lines = entries.where(F.col("kind").isin(*KV_KINDS)).select(F.to_json(F.struct("key", F.col("kind").alias("type"), "value", "ttl")).alias("value"))
-    lines.write.mode("overwrite").option("compression", "gzip").text(path)
+    lines = entries.where(F.col("kind").isin(*KV_KINDS)).select("key", F.col("kind").alias("type"), "value", "ttl")
+    lines.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def import_kv(spark: SparkSession, path: str) -> DataFrame:
