@@ -10,14 +10,13 @@ ONE_ROW_JOINS = {
     "audit_page", "indicator_page", "match_page", "weekly_recommendations", "purged_indicators", "overview", "seeded_rules",
     "dashboard", "lru_evict", "chosen_backends", "sticky_sessions", "split_stats", "routed_slots",
 }
-FITTED = {"latency_fit", "latency_fit_accuracy"}
 
 
 def plan(spark, name):
     return catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - FITTED))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_products_or_nested_loops(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text

@@ -110,3 +110,31 @@ def test_trend_of_a_flat_series_and_short_series(spark):
     assert set(found) == {"flat", "up"}
     assert found["flat"].direction == "stable" and found["flat"].confidence == 1.0
     assert found["up"].n == 1000 and round(found["up"].slope, 6) == 1.0 and found["up"].direction == "increasing"
+
+
+def test_one_instant_of_one_key_is_cut(spark, monkeypatch):
+    """All rows in one second of one key, half of them in one instant: no slice is much above its share, and results stay."""
+    monkeypatch.setattr(W, "CROWD", 100)
+    data = [(i, "k", 1_700_000_000_000_000 + (0 if i % 2 else (i * 37) % 900_000), (i * 7) % 11) for i in range(4000)]
+    df = spark.createDataFrame(data, "id long, key string, us long, v long").withColumn("ts", F.timestamp_micros("us")).repartition(5)
+    sizes = [r["count"] for r in W.with_slice(df, ["key"], "ts", "id", 3600).groupBy(W.PLACE).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 200 and len(sizes) > 60
+    ordered = sorted(data, key=lambda r: (r[2], r[0]))
+    out = {r.id: (r.n, r.s) for r in W.running_sums(df, ["key"], "ts", "id", {"n": F.lit(1), "s": F.col("v")}).collect()}
+    total = 0
+    for n, (i, _, _, v) in enumerate(ordered):
+        total += v
+        assert out[i] == (n + 1, total)
+    before = {r.id: r.p for r in W.previous_values(df, ["key"], "ts", "id", {"p": "id"}).collect()}
+    assert [before[r[0]] for r in ordered] == [None, *(r[0] for r in ordered[:-1])]
+    level, want = 0.0, {}
+    for i, _, _, v in ordered:
+        level = 0.1 * v + 0.9 * level
+        want[i] = round(level, 6)
+    assert {r.id: round(r.ema, 6) for r in L.ema_series(df, "key", "ts", "id", "v").collect()} == want
+    assert round(W.ema_final(df, ["key"], "ts", "id", {"e": F.col("v")}).first().e, 6) == want[ordered[-1][0]]
+    ranks = {r.id: r.session_rank for r in W.gap_sessions(df, ["key"], "ts", "id", 400).collect()}
+    rank = 0
+    for n, (i, _, us, _) in enumerate(ordered):
+        rank = 1 if n == 0 or us - ordered[n - 1][2] >= 400 else rank + 1
+        assert ranks[i] == rank

@@ -167,7 +167,7 @@ def user_view(users: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def users_enhanced(
-    users: DataFrame, profiles: DataFrame, permissions: DataFrame, *, parts: int = 1
+    users: DataFrame, profiles: DataFrame, permissions: DataFrame, *, parts: int
 ) -> DataFrame:
     """``user_view`` with each user's permissions nested, ordered by database, table, id.
 

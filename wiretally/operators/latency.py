@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,30 +150,48 @@ def features(executions: DataFrame, profile: DataFrame, *, ts: str = "ts") -> Da
     )
 
 
-def _assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="_x").transform(df)
+PIVOT = 1e-9  # a feature that leaves less of its spread, after those before it, follows from them and gets no weight
 
 
-def fit_latency(df: DataFrame, *, label: str = "latency") -> LinearRegressionModel | None:
-    """Least squares over the ten features plus bias; none below the minimum of samples.
+def _solved(products: np.ndarray) -> list[float]:
+    """Weights by elimination of (1, features | label) sums of products; the constant comes first, so the rest is centred."""
+    m, size = products.copy(), len(products)
+    used, spread = [], None
+    for k in range(size):
+        if k and m[k, k] <= PIVOT * spread[k]:
+            continue
+        used.append(k)
+        row = m[k] / m[k, k]
+        m -= np.outer(m[:, k], row)
+        m[k] = row
+        spread = np.diagonal(m).copy() if spread is None else spread
+    return [float(m[k, -1]) if k in used else 0.0 for k in range(size)]
 
-    The solver passes over the rows more than once: persist the features before.
+
+def fit_latency(df: DataFrame, *, label: str = "latency") -> DataFrame:
+    """Least squares over the ten features plus bias: one row with ``weights`` (bias first), null below the minimum of samples.
+
+    One aggregate of sums of products over the rows with a label, and a system of eleven equations: nothing runs before the result is asked for.
     """
-    if len(df.limit(MIN_SAMPLES).take(MIN_SAMPLES)) < MIN_SAMPLES:
-        return None
-    return LinearRegression(
-        featuresCol="_x", labelCol=label, predictionCol="_y", solver="normal", regParam=0.0
-    ).fit(_assembled(df).select("_x", label))
+    terms = [F.lit(1.0), *(F.col(f"f_{n}") for n in FEATURES)]
+    targets = [*terms, F.col(label).cast("double")]
+    size = len(terms)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(products: pd.Series) -> pd.Series:
+        return products.map(lambda p: _solved(np.array(p).reshape(size, size + 1)))
 
+    sums = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("n"), F.array(*(F.sum(a * b) for a in terms for b in targets)).alias("products"))
+    return sums.where(F.col("n") >= MIN_SAMPLES).select(solve("products").alias("weights"))
 
-def predict_latency(model: LinearRegressionModel | None, df: DataFrame) -> DataFrame:
+
+def predict_latency(model: DataFrame, df: DataFrame) -> DataFrame:
     """Add ``predicted``; negative predictions become 0.001. Without a model (too few samples) it is null."""
-    if model is None:
-        return df.withColumn("predicted", F.lit(None).cast("double"))
-    scored = model.transform(_assembled(df))
-    return scored.withColumn("predicted", F.when(F.col("_y") < 0, F.lit(0.001)).otherwise(F.col("_y"))).drop(
-        "_x", "_y"
-    )
+    weighted = df.withColumn("_w", model.scalar())
+    y = F.get("_w", F.lit(0))
+    for i, name in enumerate(FEATURES):
+        y = y + F.get("_w", F.lit(i + 1)) * F.col(f"f_{name}")
+    return weighted.withColumn("_y", y).withColumn("predicted", F.when(F.col("_y") < 0, F.lit(0.001)).otherwise(F.col("_y"))).drop("_w", "_y")
 
 
 def score_weights(df: DataFrame, kind: str, weights: dict[str, float]) -> DataFrame:
@@ -338,16 +355,16 @@ def ema_series(
                 level = e + level * keep**n
             yield pd.DataFrame(out, columns=["k", "s", "level"])
 
-    place = F.col(PLACE)
+    place, placed = F.col(PLACE), with_slice(df, [key], ts, tie, slice_seconds)
     entry = (
-        ema_parts(df, [key], ts, tie, {"v": F.col(value)}, alpha, slice_seconds)
+        ema_parts(df, [key], ts, tie, {"v": F.col(value)}, alpha, slice_seconds, placed=placed)
         .select(place[key].alias("k"), place[SLICE].alias("s"), F.col("_n").alias("n"), F.col("_e_v").alias("e"))
         .repartition("k")
         .sortWithinPartitions("k", "s")
         .mapInPandas(chain, f"k {key_type}, s long, level double")
     )
     # entry values travel with the rows, ahead of their slice's first one: one shuffle, no join
-    rows = with_slice(df, [key], ts, slice_seconds).withColumn(SLICE, place[SLICE]).drop(PLACE)
+    rows = placed.withColumn(SLICE, place[SLICE]).drop(PLACE)
     entries = entry.select(F.col("k").alias(key), F.col("s").alias(SLICE), F.col("level").alias("_level"))
     both = rows.withColumn("_level", F.lit(None).cast("double")).unionByName(entries, allowMissingColumns=True)
     ordered = both.repartition(key, SLICE).sortWithinPartitions(key, SLICE, F.col("_level").isNull(), ts, tie)

@@ -125,20 +125,34 @@ def counter_rollup(events: DataFrame) -> DataFrame:
     )
 
 
+SPAN_KEYS = ["database", "operation", "table"]
+
+
 def span_stats(spans: DataFrame) -> DataFrame:
     """Durations by database, operation and table, with error counts."""
-    return spans.groupBy("database", "operation", "table").agg(
+    return spans.groupBy(*SPAN_KEYS).agg(
         F.count(F.lit(1)).alias("spans"),
         F.count_if("error").alias("errors"),
         F.sum("duration_ms").alias("total_ms"),
         F.max("duration_ms").alias("max_ms"),
-        F.percentile_approx("duration_ms", 0.95, 10000).alias("p95_ms"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col("duration_ms").cast("double")), F.lit(0.95)).alias("p95_ms"),
+    )
+
+
+def span_ranks(spans: DataFrame, quantiles: DataFrame, value: str) -> DataFrame:
+    """For each group the shares of its spans that are below, and not above, its ``value``: where a quantile of a sketch really stands."""
+    side = quantiles.select(*(F.col(k).alias(f"_{k}") for k in SPAN_KEYS), F.col(value).alias("_v"))
+    joined = spans.join(side, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in SPAN_KEYS])
+    return joined.groupBy(*SPAN_KEYS).agg(
+        F.count("*").alias("spans"), F.avg((F.col("duration_ms") < F.col("_v")).cast("double")).alias("below"), F.avg((F.col("duration_ms") <= F.col("_v")).cast("double")).alias("upto")
     )
 
 
 def sample_spans(spans: DataFrame, rate: float, *, trace: str = "trace_id") -> DataFrame:
     """Keep a share of traces by a hash of their id, so a trace stays whole."""
-    return spans.filter(F.pmod(F.xxhash64(trace), F.lit(1_000_000)) < int(rate * 1_000_000))
+    digits = 13  # of the hash: 52 bits
+    place = F.conv(F.substring(F.md5(F.col(trace)), 1, digits), 16, 10).cast("long")
+    return spans.filter(place < int(rate * 16**digits))
 
 
 def security_event_counts(events: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ A key's rows are cut into time slices. Rows shuffle once by (key, slice); what a
 about earlier slices is carried by a summary with one row per (key, slice). The only step that
 sees a whole key is the chain over those summary rows, whose number is bounded by the time range
 over the slice width, not by the row count.
+
+Slices of a key with more than ``CROWD`` rows are cut further, at quantiles of time, and a single instant with so many rows at quantiles of the
+tie-break. The cuts are a small table, written once, so that every look at the rows sees the same slices; where no slice of the clock holds so many rows of all keys
+together there is nothing to cut.
 """
 
 from __future__ import annotations
@@ -14,16 +18,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wiretally.sources.folders import new_folder
+
 SLICE = "_slice"
 PLACE = "_place"  # struct of the keys and the slice: one column to shuffle, join and window by
 DEFAULT_SLICE_SECONDS = 3600
 
 
-def with_slice(df: DataFrame, keys: list[str], ts: str, slice_seconds: int) -> DataFrame:
+CROWD = 4_000_000  # rows of a (key, slice) that are cut further
+CUTS = 64  # parts of a crowded slice, and of a crowded instant in it
+ROOM = 1024  # numbers kept free for the cuts of a slice, and for those of an instant
+
+
+def _cuts(rows: DataFrame, at: Column, micros: Column, tie: str) -> DataFrame:
+    """(_c, cuts, instants) of the crowded (key, slice) places, at most one for each ``CROWD`` rows of the table."""
+    places = rows.select(at.alias("_c"), micros.alias("_t"), F.col(tie).alias("_tie"))
+    crowded = places.groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select("_c")
+    inside = places.join(F.broadcast(crowded), "_c", "left_semi")
+    shares = [i / CUTS for i in range(1, CUTS)]
+    cuts = inside.groupBy("_c").agg(F.percentile_approx("_t", shares).alias("cuts"))
+    instants = inside.groupBy("_c", "_t").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select("_c", "_t")
+    ties = inside.join(F.broadcast(instants), ["_c", "_t"], "left_semi").groupBy("_c", "_t").agg(F.percentile_approx("_tie", shares).alias("ties"))
+    listed = ties.groupBy("_c").agg(F.sort_array(F.collect_list(F.struct("_t", "ties"))).alias("instants"))
+    alone = F.flatten(F.transform(F.coalesce("instants", F.array()), lambda i: F.array(i["_t"], i["_t"] + 1)))  # a crowded instant has a part of its own
+    return cuts.join(listed, "_c", "left").select("_c", F.array_distinct(F.concat("cuts", alone)).alias("cuts"), "instants")
+
+
+def with_slice(df: DataFrame, keys: list[str], ts: str, tie: str, slice_seconds: int) -> DataFrame:
     """Add ``_place``. As a struct it equals itself where keys are null, and a join on it leaves the
-    rows partitioned the way the windows over it need them."""
-    number = F.floor(F.unix_micros(ts) / (slice_seconds * 1_000_000))
-    return df.withColumn(PLACE, F.struct(*keys, number.alias(SLICE)))
+    rows partitioned the way the windows over it need them. ``tie`` must be a number."""
+    micros = F.unix_micros(ts)
+    number = F.floor(micros / (slice_seconds * 1_000_000))
+    place = lambda n: F.struct(*keys, n.alias(SLICE))
+    if not df.groupBy(number).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).limit(1).count():
+        return df.withColumn(PLACE, place(number * ROOM * ROOM))
+    path = f"{new_folder(df.sparkSession)}/cuts"
+    table = _cuts(df, place(number), micros, tie)
+    table.write.parquet(path)
+    table = df.sparkSession.read.schema(table.schema).parquet(path)
+    placed = df.withColumn("_c", place(number)).join(F.broadcast(table.withColumnRenamed("_c", "_cut")), F.col("_c") == F.col("_cut"), "left")
+    upto = lambda cuts, value: F.least(F.coalesce(F.size(F.filter(cuts, lambda c: c <= value)), F.lit(0)), F.lit(ROOM - 1))
+    here = F.try_element_at(F.filter("instants", lambda i: i["_t"] == micros), F.lit(1))["ties"]
+    inner = F.when(F.col("cuts").isNotNull(), upto(F.col("cuts"), micros)).otherwise(0)
+    innermost = F.when(here.isNotNull(), upto(here, F.col(tie))).otherwise(0)
+    return placed.withColumn(PLACE, place((number * ROOM + inner) * ROOM + innermost)).drop("_c", "_cut", "cuts", "instants")
 
 
 def _chain(keys: list[str], descending: bool = False):
@@ -57,7 +95,7 @@ def running_sums(
     descending: bool = False,
 ) -> DataFrame:
     """Inclusive running sums per key in (ts, tie) order; ``F.lit(1)`` gives a row number."""
-    rows = with_slice(df, keys, ts, slice_seconds)
+    rows = with_slice(df, keys, ts, tie, slice_seconds)
     totals = rows.groupBy(PLACE).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = _chain(keys, descending).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -71,7 +109,7 @@ def running_sums(
 
 def _with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, str], slice_seconds: int) -> DataFrame:
     """Rows with ``_place`` and the values of the key's preceding row."""
-    rows = with_slice(df, keys, ts, slice_seconds)
+    rows = with_slice(df, keys, ts, tie, slice_seconds)
     packed = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
     last = rows.groupBy(PLACE).agg(F.max_by(packed, F.struct(ts, tie)).alias("_last"))
     carried = last.select(PLACE, F.lag("_last").over(_chain(keys)).alias("_carry"))
@@ -136,13 +174,13 @@ def gap_sessions(
 
 
 def ema_parts(
-    df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, Column], alpha: float, slice_seconds: int
+    df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, Column], alpha: float, slice_seconds: int, placed: DataFrame | None = None
 ) -> DataFrame:
     """Per (key, slice) the row count ``_n`` and each average's part ``_e_<name>`` from its own rows.
 
     Weights use the distance from the slice's end, so long series cannot overflow. Rows with a null among the values are left out.
     """
-    rows = with_slice(df, keys, ts, slice_seconds)
+    rows = placed if placed is not None else with_slice(df, keys, ts, tie, slice_seconds)
     known = reduce(lambda a, b: a & b, [c.isNotNull() for c in values.values()])
     back = F.count_if(known).over(_upto(_order(ts, tie, True))) - 1
     weight = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_back"))

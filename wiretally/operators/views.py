@@ -87,7 +87,7 @@ def policy_view(configs: DataFrame, databases: DataFrame) -> DataFrame:
     return configs.join(side, F.col("database_id") == F.col("_d"), "inner").drop("_d")
 
 
-def schema_view(columns: DataFrame, database_id: int | None = None, *, parts: int = 1) -> DataFrame:
+def schema_view(columns: DataFrame, database_id: int | None = None, *, parts: int) -> DataFrame:
     """Column descriptions nested by table (in ``parts`` rows each, see ``nest``)."""
     rows = columns if database_id is None else columns.filter(F.col("database_id") == database_id)
     item = F.struct("column_name", "data_type", "is_nullable")

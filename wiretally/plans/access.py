@@ -323,9 +323,10 @@ def _(spark, sf):
         F.col("o_custkey").alias("user_id"), F.concat(F.lit("db"), F.col("o_orderkey") % 3).alias("database"),
         F.col("o_orderstatus").alias("table"), F.col("o_orderkey").alias("permission_id"), F.array(F.lit("read")).alias("actions"),
     )
-    nested = A.users_enhanced(people, profiles(spark, sf), grants)
-    text = F.transform("permissions", lambda p: F.concat(p["database"], F.lit("."), p["table"], F.lit("#"), p["permission_id"]))
-    return nested.withColumn("grants", F.concat_ws(",", text)).drop("permissions", "part")
+    nested = A.users_enhanced(people, profiles(spark, sf), grants, parts=4)
+    text = lambda p: F.concat(p["database"], F.lit("."), p["table"], F.lit("#"), p["permission_id"])
+    whole = nested.groupBy("user_id", "api_key", "require_tls", "rate_limit", "is_active").agg(F.flatten(F.collect_list("permissions")).alias("p"))  # the few rows of a user
+    return whole.withColumn("grants", F.concat_ws(",", F.transform(F.sort_array("p"), text))).drop("p")
 
 
 @query(
@@ -543,8 +544,10 @@ def _(spark, sf):
         F.concat("p_name", F.lit("#"), "p_partkey").alias("column_name"), F.col("p_type").alias("data_type"),
         F.lit(True).alias("is_nullable"),
     )
-    text = F.transform("columns", lambda c: F.concat(c["column_name"], F.lit(":"), c["data_type"]))
-    return views.schema_view(columns).withColumn("columns", F.concat_ws(",", text)).drop("part")
+    nested = views.schema_view(columns, parts=3)
+    whole = nested.groupBy("database_id", "table_name").agg(F.sort_array(F.flatten(F.collect_list("columns"))).alias("c"))
+    text = F.transform("c", lambda c: F.concat(c["column_name"], F.lit(":"), c["data_type"]))
+    return whole.withColumn("columns", F.concat_ws(",", text)).drop("c")
 
 
 # --- counts over decisions -----------------------------------------------------------------------------------

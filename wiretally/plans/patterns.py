@@ -281,17 +281,32 @@ def _(spark, sf):
     return df.select("log_id", F.round("relu", 5).alias("relu"), F.round("ensemble", 5).alias("ensemble"))
 
 
-@query("latency_fit")
+def fitted_sql() -> str:
+    """Tables up to ``fitted`` (log_id, latency, predicted): sums of products of (1, features | label), and their elimination, a column a step."""
+    terms = ["1.0", *(f"f{i + 1}::DOUBLE" for i in range(10))]
+    products = ", ".join(f"sum({a} * {b})" for a in terms for b in [*terms, "latency::DOUBLE"])
+    pivot = "m[k * 12 + k + 1]"
+    eliminated = f"list_transform(range(132), lambda p: CASE WHEN p // 12 = k THEN m[p + 1] / {pivot} ELSE m[p + 1] - m[(p // 12) * 12 + k + 1] * m[k * 12 + p % 12 + 1] / {pivot} END)"
+    weight = lambda i: f"CASE WHEN list_contains(used, {i}) THEN m[{i} * 12 + 12] ELSE 0 END"
+    raw = " + ".join([weight(0), *(f"{weight(i + 1)} * f{i + 1}" for i in range(10))])
+    return f"""{FEATURES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, steps AS (
+      SELECT 0::BIGINT AS k, [{products}] AS m, [0.0::DOUBLE] AS spread, []::BIGINT[] AS used FROM feats
+      UNION ALL SELECT k + 1, CASE WHEN ok THEN {eliminated} ELSE m END, CASE WHEN k = 0 THEN list_transform(range(11), lambda i: m[i * 13 + 1] - m[i * 12 + 1] * m[i + 1] / m[1]) ELSE spread END,
+        CASE WHEN ok THEN list_append(used, k) ELSE used END FROM (SELECT *, k = 0 OR {pivot} > 1e-9 * spread[k + 1] AS ok FROM steps WHERE k < 11)),
+    fitted AS (SELECT log_id, latency, CASE WHEN raw < 0 THEN 0.001 ELSE raw END AS predicted FROM (SELECT log_id, latency, {raw} AS raw FROM feats, (SELECT * FROM steps WHERE k = 11)))"""
+
+
+@query("latency_fit", f"{fitted_sql()} SELECT log_id, latency::DOUBLE AS latency, round(predicted, 5)::DOUBLE AS predicted FROM fitted")
 def _(spark, sf):
     df = with_features(spark, sf)
-    model = L.fit_latency(df)
-    return L.predict_latency(model, df).select("log_id", "latency", F.round("predicted", 6).alias("predicted"))
+    fitted = L.predict_latency(L.fit_latency(df), df)
+    return fitted.select("log_id", F.col("latency").cast("double").alias("latency"), F.round("predicted", 5).alias("predicted"))
 
 
-@query("latency_fit_accuracy")
+@query("latency_fit_accuracy", f"{fitted_sql()} SELECT round(greatest(0.0, 1.0 - avg(abs(predicted - latency) / latency)), 6)::DOUBLE AS accuracy FROM fitted WHERE latency > 0")
 def _(spark, sf):
     df = with_features(spark, sf)
-    return L.fit_accuracy(L.predict_latency(L.fit_latency(df), df).filter("latency > 0"))
+    return L.fit_accuracy(L.predict_latency(L.fit_latency(df), df).filter("latency > 0")).select(F.round("accuracy", 6).alias("accuracy"))
 
 
 # --- text and key functions --------------------------------------------------------------------------------

@@ -154,19 +154,28 @@ def _(spark, sf):
     return A.span_stats(spans).drop("p95_ms")
 
 
-@query("span_percentiles")
+RANK_ERROR = 0.02  # of a quantile of a sketch
+
+
+@query(
+    "span_percentiles",
+    f"""{ctes('query_log')} SELECT database, event_type = 'error' AS faulty, count(*) AS spans, true AS p95_in_place FROM query_log GROUP BY 1, 2""",
+)
 def _(spark, sf):
-    q = F.col("query")
+    """Whether the 95th percentile of each group's sketch stands within the rank error of its place among the group's spans."""
     spans = derive(spark, sf, "query_log").select(
-        "database", sql_operation(q).alias("operation"), primary_table(q).alias("table"),
-        (F.col("event_type") == "error").alias("error"), (F.col("value") * 10).alias("duration_ms"),
+        "database", F.lit("any").alias("operation"), (F.col("event_type") == "error").alias("table"), (F.col("event_type") == "error").alias("error"),
+        (F.col("value") * 10).alias("duration_ms"),
     )
-    return A.span_stats(spans).select("database", "operation", "table", "spans", "p95_ms")
+    ranks = A.span_ranks(spans, A.span_stats(spans), "p95_ms")
+    fits = (F.col("below") <= 0.95 + RANK_ERROR) & (F.col("upto") >= 0.95 - RANK_ERROR)
+    return ranks.select("database", F.col("table").alias("faulty"), "spans", fits.alias("p95_in_place"))
 
 
-@query("sampled_traces")
+@query("sampled_traces", "SELECT event_id, user_id::VARCHAR AS trace_id FROM events WHERE ('0x' || substr(md5(user_id::VARCHAR), 1, 13))::BIGINT < 0.25 * 4503599627370496")
 def _(spark, sf):
-    return A.sample_spans(load(spark, sf, "events").withColumn("trace_id", F.col("user_id").cast("string")), 0.25)
+    events = load(spark, sf, "events").withColumn("trace_id", F.col("user_id").cast("string"))
+    return A.sample_spans(events, 0.25).select("event_id", "trace_id")
 
 
 SECURITY_SQL = """SELECT 'type' || (event_id % 3) AS type, CASE event_type WHEN 'error' THEN 'critical' ELSE 'warning' END AS level,
