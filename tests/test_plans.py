@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 # these join a single-row total, page count or flag; every other nested loop would be a defect
 ONE_ROW_JOINS = {
     "audit_page", "indicator_page", "match_page", "weekly_recommendations", "purged_indicators", "overview", "seeded_rules",
-    "dashboard", "lru_evict", "chosen_backends", "sticky_sessions", "split_stats", "routed_slots",
+    "dashboard", "chosen_backends", "sticky_sessions", "split_stats", "routed_slots",
 }
 
 
@@ -40,3 +40,22 @@ def test_sliced_windows_shuffle_rows_by_place(spark):
     text = plan(spark, "routed_queries")
     assert "Exchange hashpartitioning(db_type#" not in text.split("Window [")[0]
     assert "Exchange hashpartitioning(_place" in text
+
+
+@pytest.mark.parametrize("name", ["lru_evict", "training_half"])
+def test_order_without_keys_gathers_no_rows(spark, name):
+    """The one exchange to a single task is of a total, a row for each task."""
+    gathered = [line for line in plan(spark, name).splitlines() if "Exchange SinglePartition" in line]
+    assert len(gathered) <= 1
+
+
+@pytest.mark.parametrize("name", ["blocked_access", "threat_matches", "screened_log", "custom_rule_hits"])
+def test_matches_bring_their_reason(spark, name):
+    """The log is shuffled by no id that most of its rows lack, and not by its text."""
+    text = plan(spark, name)
+    for column in ("rule_id", "indicator_id", "custom_rule", "low", "_text", "query"):
+        assert f"Exchange hashpartitioning({column}#" not in text
+
+
+def test_screening_goes_over_tests_in_the_row(spark):
+    assert "hashpartitioning(gram" not in plan(spark, "threat_matches").split("FileScan parquet")[0]

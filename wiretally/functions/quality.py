@@ -340,6 +340,13 @@ def strip_active_html(c: Column) -> Column:
     return c
 
 
+def path_within(c: Column, base: str) -> Column:
+    """``safe_path`` below an absolute folder, without a slash at the end; null when it leaves that folder."""
+    root = "/" + "/".join(p for p in base.split("/") if p not in ("", "."))
+    inner = F.regexp_replace(safe_path(c), "/+$", "")
+    return F.when(inner.isin(".", ""), F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), inner))
+
+
 def safe_path(c: Column) -> Column:
     """Relative path with ``.`` and inner ``..`` resolved; null when it leaves its root."""
     parts = F.filter(F.split(c, "/+"), lambda p: ~p.isin("", "."))

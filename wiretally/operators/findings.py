@@ -302,6 +302,19 @@ def with_remediation(findings: DataFrame, guidance: DataFrame) -> DataFrame:
     return joined.withColumn("guidance", F.coalesce("_text", F.lit(packs.GUIDANCE_DEFAULT))).drop("_g", "_text")
 
 
+def with_knowledge(findings: DataFrame, knowledge: DataFrame, *, default: str = "default") -> DataFrame:
+    """``findings`` with all columns of a knowledge base (``type`` and whatever else: title, description, lists of actions, maps of controls).
+
+    Types that it lacks get the entry of the type ``default``, if there is one. Names that findings have already get the prefix ``kb_``.
+    """
+    details = [c for c in knowledge.columns if c != "type"]
+    entry = F.struct(*details)
+    side = knowledge.groupBy(F.col("type").alias("_type")).agg(F.min_by(entry, F.xxhash64(F.to_json(entry))).alias("_entry"))
+    other = knowledge.where(F.col("type") == default).agg(F.min_by(entry, F.xxhash64(F.to_json(entry)))).scalar()
+    joined = findings.join(side, F.col("type") == F.col("_type"), "left").withColumn("_entry", F.coalesce("_entry", other))
+    return joined.select(*findings.columns, *(F.col(f"_entry.{c}").alias(f"kb_{c}" if c in findings.columns else c) for c in details))
+
+
 # --- scans and scores --------------------------------------------------------------------------------------
 
 
@@ -484,3 +497,27 @@ def compliance_tests(inventory: DataFrame, *, allowed_ports: list[int] | None =
         for f, t, s, st, d in tests
     ]
     return inventory.select("host", F.explode(F.array(*items)).alias("t")).select("host", "t.*")
+
+
+def framework_tests(inventory: DataFrame, tests: DataFrame) -> DataFrame:
+    """(host, framework, test_id, severity, status, details): every test of a table of frameworks for every host.
+
+    ``tests``: ``framework, test_id, type, expected, severity, parameters map<string,string>``. A ``network`` test fails on open ports beyond the parameter ``ports`` (a list with
+    commas), a ``config`` test that expects ``strong_password_policy`` on a weaker one than 12 characters (or ``min_length``) of all kinds, an ``access`` test on more open ports than
+    ``most``; other tests are skipped. The tests travel with the plan as one value, the hosts are not shuffled.
+    """
+    listed = tests.agg(F.array_sort(F.collect_list(F.struct("framework", "test_id", "type", "expected", "severity", F.map_entries("parameters").alias("parameters"))))).scalar()
+    rows = inventory.withColumn("_tests", listed).select("*", F.explode("_tests").alias("t"))
+    told = lambda name: F.map_from_entries("t.parameters")[name]
+    extra = F.sort_array(F.array_except("open_ports", F.transform(F.split(F.coalesce(told("ports"), F.lit("")), ","), lambda p: p.try_cast("int"))))
+    strong = (F.col("min_length") >= F.coalesce(told("min_length").try_cast("int"), F.lit(12))) & F.col("upper") & F.col("lower") & F.col("digits") & F.col("special")
+    verdict = lambda ok: F.when(ok, "pass").otherwise("fail")
+    kind = F.col("t.type")
+    status = (
+        F.when(kind == "network", verdict(F.size(extra) == 0))
+        .when((kind == "config") & (F.col("t.expected") == "strong_password_policy"), verdict(strong))
+        .when(kind == "access", verdict(F.size("open_ports") <= F.coalesce(told("most").try_cast("int"), F.lit(0))))
+        .otherwise("skip")
+    )
+    details = F.when(kind == "network", F.concat_ws(",", extra.cast("array<string>"))).otherwise("")
+    return rows.select("host", "t.framework", "t.test_id", "t.severity", status.alias("status"), details.alias("details"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiretally.functions import fingerprint as fp
-from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, PLACE, SLICE, ema_final, ema_parts, with_slice
+from wiretally.operators.sliced import DEFAULT_SLICE_SECONDS, PLACE, SLICE, ema_final, ema_parts, running_sums, with_slice
 
 ALPHA = 0.1
 MIN_SAMPLES = 10
@@ -58,6 +58,12 @@ def trim_history(df: DataFrame, ts: str, since: Column) -> DataFrame:
     return df.filter(F.col(ts) >= since)
 
 
+def trim_training(df: DataFrame, ts: str, tie: str, cap: int) -> DataFrame:
+    """All rows up to twice ``cap``; of more, the newest half (rounded down), equal times by ``tie``. No task sorts the whole."""
+    ranked = running_sums(df, [], ts, tie, {"_rank": F.lit(1)}, descending=True).withColumn("_n", df.agg(F.count("*")).scalar())
+    return ranked.where((F.col("_n") <= 2 * cap) | (F.col("_rank") <= F.floor(F.col("_n") / 2))).drop("_rank", "_n")
+
+
 def latency_ema(
     log: DataFrame,
     *,

@@ -175,6 +175,24 @@ def packet_actions(decisions: DataFrame) -> DataFrame:
     return count_per(decisions, "decision", out="packets")
 
 
+def counter_families(points: DataFrame, families: DataFrame, by: list[str], *, ts: str = "ts") -> DataFrame:
+    """Per ``by`` and family of ``families`` (family, kind): ``points``, ``value`` and ``per_second``.
+
+    A ``counter`` sums its points (family, value) and has a rate over the time between its first and last one; a ``gauge`` shows its newest value. Families are rows, so
+    there may be any number; points of other families are left out.
+    """
+    side = families.select(F.col("family").alias("_f"), "kind")
+    seconds = (F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))) / 1_000_000.0
+    counted = points.join(side, F.col("family") == F.col("_f")).groupBy(*by, "family", "kind").agg(
+        F.count("*").alias("points"), F.sum("value").alias("_sum"), F.max_by("value", F.struct(ts, "value")).alias("_last"), seconds.alias("_seconds")
+    )
+    counter = F.col("kind") == "counter"
+    return counted.select(
+        *by, "family", "kind", "points", F.when(counter, F.col("_sum")).otherwise(F.col("_last")).alias("value"),
+        F.when(counter, F.try_divide("_sum", "_seconds")).alias("per_second"),
+    )
+
+
 def traffic_rollup(points: DataFrame, by: str = "interface") -> DataFrame:
     """Packet families per interface with hit ratio and error rate."""
     families = ("processed", "dropped", "passed", "aborted", "redirected", "cache_hit", "cache_miss")
@@ -230,8 +248,7 @@ def evict_lru(
     ranked = running_sums(
         entries, [], ts, tie, {"_bytes": F.col(size), "_rank": F.lit(1)}, descending=True, **how
     )
-    total = F.broadcast(entries.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total")))
-    joined = ranked.crossJoin(total)
+    joined = ranked.withColumn("_total", entries.agg(F.coalesce(F.sum(size), F.lit(0))).scalar())
     target = int(max_bytes * 0.9)
     evicted = (F.col("_total") > max_bytes) & (F.col("_bytes") > target)
     if max_entries is not None:

@@ -98,6 +98,7 @@ def running_sums(
     rows = with_slice(df, keys, ts, tie, slice_seconds)
     totals = rows.groupBy(PLACE).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = _chain(keys, descending).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals if keys else totals.coalesce(1)  # a row for each slice
     offsets = totals.select(
         PLACE, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )

@@ -104,6 +104,16 @@ def _(spark, sf):
     )
 
 
+@query(
+    "training_half",
+    """WITH r AS (SELECT event_type, event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rank, count(*) OVER () AS n FROM events)
+    SELECT event_type, count(*) AS kept, sum(event_id)::BIGINT AS ids, min(event_id) AS first_id FROM r WHERE n <= 600 OR rank <= n // 2 GROUP BY 1""",
+)
+def _(spark, sf):
+    kept = L.trim_training(load(spark, sf, "events"), "ts", "event_id", 300)
+    return kept.groupBy("event_type").agg(F.count("*").alias("kept"), F.sum("event_id").alias("ids"), F.min("event_id").alias("first_id"))
+
+
 @query(
     "latency_ema",
     f"""{PATTERNED} SELECT pattern_id, n, round(ema, 6) AS avg_latency FROM ({ema_sql('marked', 'pattern_id', 'latency')})""",

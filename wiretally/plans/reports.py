@@ -134,6 +134,23 @@ def _(spark, sf):
     return rollups.count_per(G.with_remediation(issues(spark, sf), G.default_guidance(spark)), "guidance")
 
 
+@query(
+    "remediation_bodies",
+    f"""{ctes('issues')}, kb AS (SELECT 'type_' || n_nationkey AS type, n_name AS title, [n_name || ' now', 'then ' || n_regionkey] AS actions, n_regionkey AS level FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT coalesce(kb.title, d.title) AS kb_title, array_to_string(coalesce(kb.actions, d.actions), '; ') AS actions, coalesce(level, 9)::BIGINT AS level, count(*) AS n
+    FROM issues LEFT JOIN kb USING (type), (SELECT 'Review' AS title, ['look', 'ask'] AS actions) d GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Findings with the whole entries of a knowledge base, and its default entry for other types."""
+    known = load(spark, sf, "nation").where("n_nationkey % 2 = 0").select(
+        F.concat(F.lit("type_"), "n_nationkey").alias("type"), F.col("n_name").alias("title"),
+        F.array(F.concat("n_name", F.lit(" now")), F.concat(F.lit("then "), "n_regionkey")).alias("actions"), F.col("n_regionkey").alias("level"),
+    )
+    other = known.agg(F.lit("default").alias("type"), F.lit("Review").alias("title"), F.array(F.lit("look"), F.lit("ask")).alias("actions"), F.lit(9).cast("long").alias("level"))
+    found = G.with_knowledge(issues(spark, sf), known.unionByName(other))
+    return found.groupBy("kb_title", F.concat_ws("; ", "actions").alias("actions"), "level").agg(F.count("*").alias("n"))
+
+
 @query(
     "nested_scans",
     f"{ctes('issues')} SELECT scan_id, server, count(*) AS n, min(issue_id) AS first_issue FROM issues GROUP BY 1, 2",
@@ -456,6 +473,34 @@ def stix_columns(rows):
     )
 
 
+@query(
+    "framework_tests",
+    """WITH hosts AS (SELECT c_custkey, 'h' || c_custkey AS host, list_distinct([22, 8000 + c_custkey % 3, 8000 + c_nationkey % 2]) AS ports, c_custkey % 20 AS min_length, c_nationkey % 5 <> 0 AS special FROM customer),
+    tests AS (SELECT n_nationkey AS k, 'F' || n_regionkey AS framework, 'T' || n_nationkey AS test_id, CASE n_nationkey % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'config' WHEN 2 THEN 'access' ELSE 'crypto' END AS type FROM nation)
+    SELECT framework, test_id, CASE type WHEN 'network' THEN CASE WHEN len(list_filter(ports, lambda p: p NOT IN (22, 8000, 8000 + k % 3))) = 0 THEN 'pass' ELSE 'fail' END
+      WHEN 'config' THEN CASE WHEN min_length >= 8 + k % 7 AND special THEN 'pass' ELSE 'fail' END
+      WHEN 'access' THEN CASE WHEN len(ports) <= 1 + k % 3 THEN 'pass' ELSE 'fail' END ELSE 'skip' END AS status,
+      CASE type WHEN 'network' THEN array_to_string(list_sort(list_filter(ports, lambda p: p NOT IN (22, 8000, 8000 + k % 3))), ',') ELSE '' END AS details, count(*) AS hosts
+    FROM hosts, tests GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Tests of several frameworks from a table, for every host."""
+    key, port = F.col("n_nationkey"), lambda c: (F.lit(8000) + c).cast("int")
+    inventory = load(spark, sf, "customer").select(
+        F.concat(F.lit("h"), "c_custkey").alias("host"), F.array_distinct(F.array(F.lit(22), port(F.col("c_custkey") % 3), port(F.col("c_nationkey") % 2))).alias("open_ports"),
+        (F.col("c_custkey") % 20).alias("min_length"), F.lit(True).alias("upper"), F.lit(True).alias("lower"), F.lit(True).alias("digits"), (F.col("c_nationkey") % 5 != 0).alias("special"),
+    )
+    told = F.create_map(
+        F.lit("ports"), F.concat(F.lit("22,8000,"), (8000 + key % 3).cast("string")), F.lit("min_length"), (8 + key % 7).cast("string"), F.lit("most"), (1 + key % 3).cast("string")
+    )
+    tests = load(spark, sf, "nation").select(
+        F.concat(F.lit("F"), "n_regionkey").alias("framework"), F.concat(F.lit("T"), "n_nationkey").alias("test_id"),
+        F.when(key % 4 == 0, "network").when(key % 4 == 1, "config").when(key % 4 == 2, "access").otherwise("crypto").alias("type"),
+        F.lit("strong_password_policy").alias("expected"), F.lit("high").alias("severity"), told.alias("parameters"),
+    )
+    return G.framework_tests(inventory, tests).groupBy("framework", "test_id", "status", "details").agg(F.count("*").alias("hosts"))
+
+
 @query(
     "stix_indicators",
     """SELECT page_id % 6 AS kind, CASE page_id % 6 WHEN 0 THEN 'url' WHEN 1 THEN 'ip' WHEN 2 THEN 'domain' WHEN 3 THEN 'hash' ELSE 'pattern' END AS type,
@@ -844,6 +889,19 @@ def _(spark, sf):
     return load(spark, sf, "pages").select("page_id", Q.safe_path(raw).alias("path"))
 
 
+@query(
+    "paths_within",
+    """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/srv/data/a/b' || page_id WHEN 2 THEN '/srv/data/c' || page_id WHEN 4 THEN '/srv/data' END AS path FROM pages""",
+)
+def _(spark, sf):
+    page = F.col("page_id")
+    raw = (
+        F.when(page % 5 == 0, F.concat(F.lit("./a//x/../b"), page)).when(page % 5 == 1, F.concat(F.lit("a/../../data2/b"), page))
+        .when(page % 5 == 2, F.concat(F.lit("c"), page, F.lit("/./"))).when(page % 5 == 3, F.concat(F.lit("/srv/data/"), page)).otherwise("x/..")
+    )
+    return load(spark, sf, "pages").select("page_id", Q.path_within(raw, "/srv//data/").alias("path"))
+
+
 # --- scripts ------------------------------------------------------------------------------------------------------
 
 

@@ -222,6 +222,23 @@ def _(spark, sf):
     return A.traffic_rollup(points)
 
 
+@query(
+    "counter_families",
+    """WITH p AS (SELECT 'eth' || (user_id % 3) AS interface, event_type || '_' || (event_id % 11) AS family, event_id % 11 < 8 AS counting, ts, value FROM events WHERE event_id % 11 < 10)
+    SELECT interface, family, CASE WHEN counting THEN 'counter' ELSE 'gauge' END AS kind, count(*) AS points, round(CASE WHEN counting THEN sum(value) ELSE arg_max(value, (ts, value)) END, 4)::DOUBLE AS value,
+      round(CASE WHEN counting THEN sum(value) / nullif((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0, 0) END, 9)::DOUBLE AS per_second FROM p GROUP BY interface, family, counting""",
+)
+def _(spark, sf):
+    """Fifty families of counters and gauges that a table names, by interface; points of a fifty-first kind are left out."""
+    named = load(spark, sf, "events").select(F.col("event_type"), (F.col("event_id") % 11).alias("k")).distinct().where("k < 10")
+    families = named.select(F.concat_ws("_", "event_type", "k").alias("family"), F.when(F.col("k") < 8, "counter").otherwise("gauge").alias("kind"))
+    points = load(spark, sf, "events").select(
+        F.concat(F.lit("eth"), F.col("user_id") % 3).alias("interface"), F.concat_ws("_", "event_type", F.col("event_id") % 11).alias("family"), "ts", "value"
+    )
+    found = A.counter_families(points, families, ["interface"])
+    return found.withColumn("value", F.round("value", 4)).withColumn("per_second", F.round("per_second", 9))
+
+
 @query("feature_usage", "SELECT user_id, event_type AS feature, count(*) AS uses FROM events GROUP BY 1, 2")
 def _(spark, sf):
     return A.feature_usage(load(spark, sf, "events").withColumnRenamed("event_type", "feature"))
