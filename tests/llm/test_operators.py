@@ -365,6 +365,46 @@ def smith_waterman(a, b):
     return max(map(max, table)) / (2 * len(a))
 
 
+def test_leaks_against_every_pair(spark):
+    """Edited copies in longer texts: the pairs that share a run of four words, each aligned whole, at and around the threshold."""
+    random.seed(21)
+    stock = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(random.choices(stock, k=random.choice([1, 3, 5, 12, 30])))) for i in range(40)]
+
+    def edited(words):
+        return [w for x in words for w in random.choice([[x]] * 8 + [[], [x, "zz"], ["yy"]])]
+
+    docs = []
+    for i in range(150):
+        own = edited(random.choice(items)[1].split()) if i % 3 else []
+        docs.append((i, " ".join(random.choices(stock, k=random.randint(0, 40)) + own + random.choices(stock, k=random.randint(0, 40)))))
+    docs.append((900, " ".join(t for _, t in items) * 40))  # a very long text that holds every item
+    want = {}
+    for d, text in docs:
+        words = text.split()
+        for item, known in items:
+            own = known.split()
+            size = min(4, len(own))
+            runs = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
+            if d < 900 and any(tuple(words[i : i + size]) in runs for i in range(len(words) - size + 1)):
+                score = smith_waterman(own, words)
+                if score >= 0.5:
+                    want[d, item] = score
+    want |= {(900, item): 1.0 for item, _ in items}
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), benchmark).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()} and len(got) == len(want)
+
+
+def test_items_of_common_phrases_are_found(spark):
+    """Every seed of these items is held by many items: the next rarest ones stand in."""
+    phrases = ["please answer the following question now", "choose one of the four answers below", "read the text and then reply"]
+    items = [(i, " ".join(phrases[(i + k) % 3] for k in range(3))) for i in range(60)]
+    docs = [(i, f"x{i} " + items[i][1] + " y") for i in range(60)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(i, i) for i in range(60)} <= {(r.doc_id, r.item_id) for r in got.collect() if r.score == 1.0}
+
+
 def test_alignment():
     random.seed(8)
     for _ in range(60):
@@ -394,7 +434,14 @@ def test_language(spark, hard, empty):
     assert right > 0.97
     profiles = language.learn(docs)
     found = {r.doc_id: r for r in language.predict(hard, profiles).collect()}
-    assert (found[0].lang_pred, found[0].score, found[18].lang_pred) == ("und", 0.0, "und")
+    assert (found[0].lang_pred, found[0].score, found[len(HARD)].lang_pred) == ("und", 0.0, "und")
+    place, langs = {(r.lang, r.gram): r["rank"] for r in profiles.collect()}, sorted({r.lang for r in profiles.collect()})
+    for row in docs.limit(8).collect():  # a plain sum of out-of-place distances
+        own = language.ranked(language.ngrams(row.text)).tolist()
+        apart = {lang: sum(abs(place[lang, g] - i) if (lang, g) in place else language.TOP for i, g in enumerate(own)) for lang in langs}
+        best = min(langs, key=lambda lang: (apart[lang], lang))
+        got = language.predict(docs.where(F.col("doc_id") == row.doc_id), profiles).first()
+        assert (got.lang_pred, got.score) == (best, pytest.approx(1 - apart[best] / (language.TOP * len(own))))
     assert language.predict(hard, profiles).count() == hard.count()
     assert language.predict(empty, profiles).count() == 0
     assert {r.lang_pred for r in language.predict(hard, language.learn(docs.limit(0))).collect()} == {"und"}
