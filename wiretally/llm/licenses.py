@@ -6,12 +6,13 @@ fewer shingles are retrieved by single shingles, windows of one. A copy that kee
 certain: its window is a window of the template. A word changed breaks five shingles in a row, so every copy with a containment of 0.8 that
 is longer than a line has such a run. Windows that share a part J of their shingles agree with probability 1 - (1 - J) ** BANDS.
 
-Texts without any shingle whose hash is a template's min-hash are passed over before windows are made: they agree in no band.
+A min-hash is the hash of one shingle. A bit table of fixed size holds those of all templates; texts without any of them are passed over before windows are made, since
+they agree in no band, and windows of other min-hashes are passed over after. The keys of bands and the templates' shingles are two tables that the rest meets in joins.
 
 Around each place retrieved, the share of the template's shingles that the text holds there is then counted exactly.
 
-All of it runs in the scan's own tasks but for the last sum by text and template, which only retrieved places reach. Templates are a stated
-query set: their window hashes become literals of the filter, so they must be at most ``MOST`` in number.
+All of it runs in the scan's own tasks but for the last sum by text and template, which only retrieved places reach, while the templates' tables are small enough for Spark to
+broadcast them, and in joins beyond that; no number of templates is too large.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SIZE = 5
 WINDOW = 4
 BANDS = 4
 CONTAINMENT = 0.8
-MOST = 20_000
+FILTER_BITS = 1 << 20  # 128 KB, whatever the templates
 
 # Texts of public license notices.
 NOTICES = {
@@ -43,6 +44,32 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "LGPL-grant": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "Apache-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations '
+        "under the License."
+    ),
+    "MPL-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+    "ISC-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib-grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions:"
+    ),
 }
 
 
@@ -80,12 +107,36 @@ def _with_ahead(step: int):
     return lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.greatest(F.size(v), F.lit(1))), lambda x, y: F.least(x, y))
 
 
-def _among(values: list[int]):
-    return lambda x: x.isin(values)
+def _set_in(bits: Column):
+    """A test of a hash in a bit table."""
+
+    def test(h: Column) -> Column:
+        place = h.bitwiseAND(F.lit(FILTER_BITS - 1))
+        return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
+
+
+def bit_table(hashes: DataFrame) -> Column:
+    """The bits of a column ``hash``, 64 in each long of one array, as one value."""
+    place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = hashes.select(F.shiftright(place, 6).alias("id"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = words.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    every = words.unionByName(hashes.sparkSession.range(FILTER_BITS // 64).withColumn("bits", F.lit(0).cast("long"))).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), _bits_of)).scalar()
+
+
+def _bits_of(row: Column) -> Column:
+    return row["bits"]
+
+
+def _unflipped(band: int):
+    return lambda p: p["key"].bitwiseXOR(F.lit(_flip(band)))
 
 
-def _keys_among(values: list[int]):
-    return lambda p: p["key"].isin(values)
+def _passing(bits: Column, way: int):
+    test = _set_in(bits)
+    return lambda p: test(p["key"] if way == 0 else _unflipped(way - 1)(p))
 
 
 def _placed(way: int):
@@ -102,32 +153,29 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, id_col: str = "doc_i
     spark = docs.sparkSession
     known = templates(spark) if notices is None else notices
     prepared = known.select(F.col("license").cast("string").alias("license"), shingles(F.col("text")).alias("own")).where(F.size("own") > 0).distinct()
+    prepared = prepared.select("license", "own", F.xxhash64("license", "own").alias("template"))
     minima = [band_minima(F.col("own"), b) for b in range(BANDS)]
     whole = F.greatest(F.size("own") - (WINDOW - 1), F.lit(1))
-    keyed = prepared.select(
-        "license",
-        F.array_distinct("own").alias("own"),
-        F.when(F.size("own") < WINDOW, F.col("own")).otherwise(F.array().cast("array<bigint>")).alias("short"),
-        *(F.when(F.size("own") >= WINDOW, F.slice(m, F.lit(1), whole)).otherwise(F.array().cast("array<bigint>")).alias(f"band{b}") for b, m in enumerate(minima)),
-    )
-    rows = keyed.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} templates; scan them in parts")
-    ways = [("short", F.col("hashes"))] + [(f"band{b}", band_minima(F.col("hashes"), b)) for b in range(BANDS)]
-    keys = {name: sorted({value for row in rows for value in row[name]}) for name, _ in ways}
-    table = spark.createDataFrame(
-        [(number, key, row["license"], row["own"]) for row in rows for number, (name, _) in enumerate(ways) for key in sorted(set(row[name]))],
-        "way int, key long, license string, own array<long>",
-    )
+    none = F.array().cast("array<bigint>")
+    ways = [F.when(F.size("own") < WINDOW, F.col("own")).otherwise(none)] + [F.when(F.size("own") >= WINDOW, F.slice(m, F.lit(1), whole)).otherwise(none) for m in minima]
+    listed = F.flatten(F.array(*(F.transform(F.array_distinct(values), _placed(way)) for way, values in enumerate(ways))))
+    table = prepared.select("template", F.explode(listed).alias("k")).select("template", "k.way", "k.key")
+    unflipped = F.element_at(F.array(F.lit(0).cast("long"), *(F.lit(_flip(b)) for b in range(BANDS))), F.col("way") + 1)
+    bits = bit_table(table.select(F.col("key").bitwiseXOR(unflipped).alias("hash")))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), shingles(F.col(text_col)).alias("hashes"))
-    # A min-hash is one shingle's hash, flipped: a text without any of the shingles behind the keys agrees in no band.
-    behind = sorted({*keys["short"], *(key ^ _flip(b) for b in range(BANDS) for key in keys[f"band{b}"])})
-    hit, places = F.exists("hashes", _among(behind)) if behind else F.lit(False), [F.array().cast("array<struct<way:int,place:int,key:bigint>>")]
-    for number, (name, values) in enumerate(ways):
-        if keys[name]:
-            places.append(F.filter(F.transform(values, _placed(number)), _keys_among(keys[name])))
-    retrieved = texts.where(hit).select("row", "doc_id", "hashes", F.explode(F.concat(*places)).alias("p")).select("row", "doc_id", "hashes", "p.*")
-    found = retrieved.join(F.broadcast(table), ["way", "key"])  # the windows of at most MOST templates
+    # A subquery may not stand in a lambda; as a column that is used once it is put there by the optimizer.
+
+    def retrieval(bound: Column) -> Column:
+        hashes, bits = bound["hashes"], bound["bits"]
+        values = [hashes, *(band_minima(hashes, b) for b in range(BANDS))]
+        places = [F.filter(F.transform(v, _placed(way)), _passing(bits, way)) for way, v in enumerate(values)]
+        return F.when(F.exists(hashes, _set_in(bits)), F.concat(*places))
+
+    placed = held(F.struct(F.col("hashes"), F.col("_bits").alias("bits")), retrieval)
+    retrieved = texts.withColumn("_bits", bits).select("row", "doc_id", "hashes", placed.alias("places"))
+    retrieved = retrieved.select("row", "doc_id", "hashes", F.explode("places").alias("p")).select("row", "doc_id", "hashes", "p.*")
+    owns = prepared.select("template", "license", F.array_distinct("own").alias("own"))
+    found = retrieved.join(table, ["way", "key"]).join(owns, "template")
     first = F.greatest(F.col("place") - F.size("own") + 1, F.lit(0))
     around = F.slice("hashes", first + 1, F.lit(2) * F.size("own") + WINDOW)
     share = F.size(F.array_intersect("own", around)) / F.size("own")
