@@ -128,6 +128,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         one = one.unionByName(more)
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     classes = one.groupBy("round", "name").agg(F.min(rank).alias("least"), F.count("*").alias("group_size"))
-    joined = one.join(classes, ["round", "name"])
+    # A table, so that the join has a shuffle on both sides and Spark can split a class that many rows share.
+    joined = one.join(written(classes, folder, "classes"), ["round", "name"])
     kept = F.col("row") == F.col("least.row")
     return joined.select("row", "doc_id", F.col("least.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
