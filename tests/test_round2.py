@@ -59,3 +59,14 @@ def test_trends_use_all_points_unless_told(spark, last, n):
     points = spark.range(2500).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") * 900).alias("ts"), "id", (F.col("id") * 2.0).alias("v"))
     got = tuning.trend(points, "key", ["ts", "id"], "v", last).first()
     assert (got.n, got.slope, got.direction) == (n, pytest.approx(2.0), "increasing")
+
+
+def test_two_users_of_one_name_do_not_multiply_requests(spark):
+    ddl = "username string, enabled boolean, expires_at timestamp, allowed_ips array<string>"
+    early, late = (F.lit(t).cast("timestamp") for t in ("2024-01-01", "2024-03-01"))
+    users = spark.createDataFrame([("a", False, None, None), ("a", True, None, None), ("b", True, None, None)], ddl)
+    users = users.withColumn("expires_at", F.when(F.col("username") == "a", F.when(F.col("enabled"), late)).otherwise(early))
+    permissions = spark.createDataFrame([("a", "*", "*", ["read"], None), ("b", "*", "*", ["read"], None)], "username string, database string, table string, actions array<string>, time_limit timestamp")
+    requests = spark.createDataFrame([("a", "db", "1.1.1.1"), ("b", "db", "1.1.1.1"), (None, "db", "1.1.1.1")], "username string, database string, source_ip string")
+    got = access.authenticate(requests, users, permissions, F.lit("2024-02-01").cast("timestamp")).collect()
+    assert sorted((r.username or "", r.allowed, r.deny_reason) for r in got) == [("", False, "user not found or disabled"), ("a", True, None), ("b", False, "account expired")]

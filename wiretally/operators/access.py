@@ -12,12 +12,16 @@ from wiretally.operators.screen import first_denial
 
 
 def _user_side(users: DataFrame) -> DataFrame:
-    return users.select(
-        F.col("username").alias("_u"),
-        F.col("enabled").alias("_u_enabled"),
-        F.col("expires_at").alias("_u_expires"),
-        F.col("allowed_ips").alias("_u_ips"),
-        *([F.col("api_key").alias("_u_key")] if "api_key" in users.columns else []),
+    """One user per name, so that no request is multiplied: of several an enabled one, then the one that expires last (never is later), then by list and key."""
+    keys = [F.col("api_key").alias("key")] if "api_key" in users.columns else []
+    order = [(~F.coalesce("enabled", F.lit(False))).alias("off"), F.col("expires_at").isNotNull().alias("ends"), (-F.unix_micros("expires_at")).alias("less")]
+    first = users.groupBy(F.col("username").alias("_u")).agg(F.min(F.struct(*order, "enabled", "expires_at", F.col("allowed_ips").alias("ips"), *keys)).alias("_f"))
+    return first.where("_u IS NOT NULL").select(
+        "_u",
+        F.col("_f.enabled").alias("_u_enabled"),
+        F.col("_f.expires_at").alias("_u_expires"),
+        F.col("_f.ips").alias("_u_ips"),
+        *([F.col("_f.key").alias("_u_key")] if keys else []),
     )
 
 
@@ -60,7 +64,7 @@ def authenticate(
     *,
     check_ip: bool = True,
 ) -> DataFrame:
-    """Add ``allowed, deny_reason``. Of several permissions of a user the first counts; users are unique by name."""
+    """Add ``allowed, deny_reason``. Of several permissions of a user the first counts, and of several users of a name one (see ``_user_side``)."""
     df = requests.join(_user_side(users), F.col("username") == F.col("_u"), "left")
     df = df.join(_permission_side(permissions), F.col("username") == F.col("_p"), "left")
     ip = F.col("source_ip") if check_ip else None

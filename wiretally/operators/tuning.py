@@ -113,7 +113,8 @@ def applicable_rules(
     """Rules whose met weight is at least 70 % of their total, per snapshot.
 
     ``metrics`` is long form (snapshot, metric, value). A missing metric adds to the total only.
-    Rules in cooldown at ``as_of`` are left out when ``last_applied`` (name, applied_at) is given.
+    Rules in cooldown at ``as_of`` are left out when ``last_applied`` (name, applied_at) is given. The rules' conditions travel with the plan as one value: metrics have few
+    names, by which a join would send them to few tasks.
     """
     live = rules.filter("enabled")
     if last_applied is not None:
@@ -126,11 +127,12 @@ def applicable_rules(
         "name", "priority", "c.metric", "c.operator", F.col("c.value").alias("bound"), "c.weight"
     )
     totals = parts.groupBy("name").agg(F.sum("weight").alias("total_weight"), F.max("priority").alias("priority"))
+    listed = parts.agg(F.collect_list(F.struct("metric", "name", "operator", "bound", "weight"))).scalar()
+    asked = metrics.withColumn("_asked", listed).select(snapshot, "value", F.explode(F.filter("_asked", lambda c: c["metric"] == F.col("metric"))).alias("c"))
     met = (
-        metrics.join(parts.drop("priority"), "metric")
-        .filter(condition_met(F.col("operator"), F.col("value"), F.col("bound")))
-        .groupBy(snapshot, "name")
-        .agg(F.sum("weight").alias("met_weight"))
+        asked.filter(condition_met(F.col("c.operator"), F.col("value"), F.col("c.bound")))
+        .groupBy(snapshot, F.col("c.name").alias("name"))
+        .agg(F.sum("c.weight").alias("met_weight"))
     )
     return (
         met.join(totals, "name")
