@@ -159,3 +159,45 @@ def test_late_rows_pass_flagged(spark, tmp_path, late):
     got = run(limit_stream(stream, TokenBucket(1, 0), "k", "ts", "id"), tmp_path)
     rows = {r.id: (r.allowed, r.late) for r in got.collect()}
     assert rows[0] == (True, False) and rows[1] == ((True, True) if late else (False, False))
+
+
+def test_expiry_follows_the_newest_sighting(spark, tmp_path):
+    """A later sighting moves or lifts an expiry; an earlier one that comes late does not."""
+    from wiretally.streaming.expiry import expired_stream
+
+    rows = [("a", 0, 10), ("b", 0, 20), ("c", 3, 15), ("a", 5, 60), ("b", 6, None), ("c", 1, 300), (None, 1, 2), ("z", 900, None)]
+    minutes = lambda c: F.timestamp_seconds(1_700_000_000 + F.col(c) * 60)
+    for i, part in enumerate((rows[:3], rows[3:7], rows[7:])):
+        df = spark.createDataFrame(part, "key string, m long, e long").select("key", minutes("m").alias("ts"), F.when(F.col("e").isNotNull(), minutes("e")).alias("expires_at"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        query = expired_stream(stream, "key", "ts", "expires_at", lateness="30 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.key, (r.expired_us // 1_000_000 - 1_700_000_000) // 60) for r in got) == [("a", 60), ("c", 15)]
+
+
+def test_more_tests_than_a_stream_holds(spark, tmp_path, monkeypatch):
+    from wiretally.operators import textmatch
+
+    monkeypatch.setattr(textmatch, "INDEX_BYTES", 0)
+    log = spark.createDataFrame([("shop", "root")], "database string, username string")
+    with pytest.raises(ValueError, match="foreachBatch"):
+        M.match_blocked(as_stream(spark, log, tmp_path / "in", order="database"), M.default_rules(spark))
+
+
+def test_merged_rule_changes_equal_all_of_them(spark, tmp_path):
+    """What a batch reads stays the same: one snapshot and the batches since; a merging batch that runs again changes nothing."""
+    from wiretally.sources.folders import numbered
+
+    ddl = "seq long, op string, id long, kind string, pattern string, reason string, active boolean"
+    path, state = str(tmp_path / "rules"), {}
+    writer = changes.record_changes(path, merge_every=3)
+    for n in range(10):
+        batch = [(k, "remove" if (n + k) % 4 == 0 else "add", (n * 3 + k) % 7, "database", f"p{n}-{k}", "r", True) for k in range(4)]
+        for _, op, i, _, pattern, _, _ in batch:
+            state[i] = None if op == "remove" else pattern
+        for _ in range(2 if n in (4, 5, 8) else 1):
+            writer(spark.createDataFrame(batch, ddl), n)
+        assert {r.id: r.pattern for r in changes.current_rules(spark, path).collect()} == {i: p for i, p in state.items() if p}
+        assert len(numbered(spark, path, "batch")) <= 6 and len(numbered(spark, f"{path}/snapshots", "upto")) <= 2

@@ -15,9 +15,14 @@ def reason_class(code: Column) -> Column:
     )
 
 
+def in_force(blocks: DataFrame) -> DataFrame:
+    """The blocks whose ``active`` is true, all where they have no such column."""
+    return blocks.filter("active") if "active" in blocks.columns else blocks
+
+
 def match_ip_block(requests: DataFrame, blocked_ips: DataFrame, *, ip: str = "ip") -> DataFrame:
     """Add ``ip_reason`` for addresses (longs) listed one by one; the lowest code wins."""
-    side = blocked_ips.groupBy(F.col("ip").alias("_bip")).agg(F.min("reason_code").alias("_code"))
+    side = in_force(blocked_ips).groupBy(F.col("ip").alias("_bip")).agg(F.min("reason_code").alias("_code"))
     joined = requests.join(side, F.col(ip) == F.col("_bip"), "left")
     return joined.withColumn(
         "ip_reason", F.when(F.col("_bip").isNotNull(), reason_class(F.col("_code")))
@@ -40,6 +45,7 @@ def parse_cidrs(df: DataFrame, cidr: str) -> DataFrame:
 
 def match_cidr(requests: DataFrame, cidrs: DataFrame, *, ip: str = "ip") -> DataFrame:
     """Add ``cidr_hit``: one equi-join on ``ip & mask`` per distinct mask (33 at most)."""
+    cidrs = in_force(cidrs)
     masks = sorted(r.mask for r in cidrs.select("mask").distinct().collect())
     df, hits = requests, []
     for mask in masks:
@@ -82,7 +88,7 @@ def filter_stats(decisions: DataFrame, *, family: str | None = None) -> DataFram
 
 def exempt(requests: DataFrame, whitelist: DataFrame, *, ip: str = "ip") -> DataFrame:
     """Add ``whitelisted``: the address is on the limiter's exemption list."""
-    side = whitelist.select(F.col("ip").alias("_wip")).distinct()
+    side = in_force(whitelist).select(F.col("ip").alias("_wip")).distinct()
     joined = requests.join(side, F.col(ip) == F.col("_wip"), "left")
     return joined.withColumn("whitelisted", F.col("_wip").isNotNull()).drop("_wip")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions import packs
+from wiretally.operators.netblocks import in_force
 
 
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -75,7 +76,7 @@ def dashboard(requests: DataFrame, cache_log: DataFrame, deployments: DataFrame,
         requests.agg(F.count(F.lit(1)).alias("total_requests")),
         cache_log.agg(ratio(F.count_if(F.col("hit")), F.count(F.lit(1))).alias("cache_hit_ratio")),
         deployments.agg(F.count_if(F.col("status") == "active").alias("active_deployments")),
-        blocked.agg(F.count(F.lit(1)).alias("blocked_ips")),
+        in_force(blocked).agg(F.count(F.lit(1)).alias("blocked_ips")),
         nodes.agg(F.count_if("healthy").alias("healthy_nodes"), F.count(F.lit(1)).alias("total_nodes")),
     ]
     out = parts[0]

@@ -131,14 +131,14 @@ BLOCKS_SQL = """blocked AS (SELECT 167772160 + (c_custkey % 8) * 256 + (c_custke
 
 
 def blocked_ips(spark, sf):
-    return load(spark, sf, "customer").filter("c_custkey % 5 = 0").selectExpr(
-        "167772160 + (c_custkey % 8) * 256 + (c_custkey % 250 + 1) AS ip", "c_nationkey % 3 AS reason_code"
+    return load(spark, sf, "customer").selectExpr(
+        "167772160 + (c_custkey % 8) * 256 + (c_custkey % 250 + 1) AS ip", "c_nationkey % 3 AS reason_code", "c_custkey % 5 = 0 AS active"
     )
 
 
 def blocked_nets(spark, sf):
-    texts = load(spark, sf, "supplier").filter("s_nationkey % 5 = 0").selectExpr(
-        "CASE s_suppkey % 2 WHEN 0 THEN '10.0.' || (s_suppkey % 8) || '.' || ((s_suppkey % 4) * 64) || '/26' "
+    texts = load(spark, sf, "supplier").selectExpr(
+        "s_nationkey % 5 = 0 AS active", "CASE s_suppkey % 2 WHEN 0 THEN '10.0.' || (s_suppkey % 8) || '.' || ((s_suppkey % 4) * 64) || '/26' "
         "ELSE '10.0.' || (s_suppkey % 8) || '.' || ((s_suppkey % 16) * 16) || '/28' END AS cidr"
     )
     return N.parse_cidrs(texts, "cidr")

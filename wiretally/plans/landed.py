@@ -17,6 +17,8 @@ from wiretally.sources import feeds as S
 from wiretally.sources import files as X
 from wiretally.sources.folders import new_folder
 from wiretally.streaming import changes, counters
+from wiretally.streaming.expiry import expired_stream
+from wiretally.streaming.limits import use_keyed_state
 from wiretally.streaming.screening import screen_sql
 
 IN_FILE = 500  # pages of a landed document
@@ -397,3 +399,25 @@ def _(spark, sf):
     drained(steps, metrics.schema, lambda stream: stream.writeStream.foreachBatch(write), folder)
     applied = spark.read.schema("name string, applied_at timestamp, batch long").parquet(f"{folder}/applied")
     return applied.select("batch", "name")
+
+
+@query(
+    "live_expiry",
+    """SELECT 'v' || (user_id % 70) AS value, epoch_us(max(ts)) + 86400000000 * (1 + user_id % 70 % 3) AS expired_us FROM events GROUP BY user_id % 70""",
+)
+def _(spark, sf):
+    """Indicators that run out one to three days after they were last seen; a last sighting far ahead lets time pass."""
+    use_keyed_state(spark)
+    folder = new_folder(spark)
+    kind = F.col("user_id") % 70
+    seen = load(spark, sf, "events").select(
+        F.concat(F.lit("v"), kind).alias("value"), "ts", (F.col("ts") + F.make_dt_interval(F.lit(1) + (kind % 3).cast("int"))).alias("expires_at")
+    )
+    last = seen.agg((F.max("ts") + F.make_dt_interval(F.lit(30))).alias("ts")).select(F.lit("later").alias("value"), "ts", F.lit(None).cast("timestamp").alias("expires_at"))
+
+    def start(stream):
+        return expired_stream(stream, "value", "ts", "expires_at", lateness="60 days").writeStream.format("parquet").option("path", f"{folder}/out")
+
+    ahead = last.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(60)))
+    drained([seen.where("value < 'v4'"), seen.where("value >= 'v4'"), ahead], seen.schema, start, folder)
+    return spark.read.parquet(f"{folder}/out")
