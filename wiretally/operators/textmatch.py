@@ -5,20 +5,25 @@ regex is a literal that each of its matches must contain. Every needle is anchor
 its own 4-grams among the anchors; only tests found so are tried. Of those passed, the least hit (a struct that begins with an id) is the answer.
 
 Anchors of up to ``INDEX_BYTES`` are one value, an array of hash buckets, which each row looks into: no shuffle, no join, and streams take it as tables do.
-More of them meet the texts' grams in an equi-join. Both give the same rows.
+More tests meet, in an equi-join on whole needles, those stretches of the texts that a bit table of fixed size lets pass (``pieces``); no text travels with them.
+Both give the same rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wiretally.operators.pieces import piece_marks, stretches, text_bytes
+
 try:  # the parser of the standard library, by its place in this Python
     from re import _constants as ops
     from re import _parser as parser
@@ -29,6 +34,9 @@ except ImportError:
 GRAM = 4
 INDEX_BYTES = 16 << 20
 BUCKETS = 1 << 13
+TEST_BYTES = 64  # that a test takes beside its text and hit
+WHOLE = 256  # characters of a needle that its join is on
+KEY_BYTES = 16  # of a text's SHA-256
 CHOICES = 16  # literals of which a regex needs one, at most; beyond it, it is tried on every text
 
 
@@ -96,7 +104,7 @@ class Tests:
 
 
 def _size(text: Column, hit: Column, copies: int) -> Column:
-    return (copies * (2 * F.octet_length(text) + F.octet_length(F.to_json(hit)) + 64)).cast("long").alias("bytes")
+    return (copies * (2 * F.octet_length(text) + F.octet_length(F.to_json(hit)) + TEST_BYTES)).cast("long").alias("bytes")
 
 
 def substring_tests(needles: DataFrame, needle: Column, hit: Column, kind: Column | None = None) -> Tests:
@@ -172,14 +180,64 @@ def _in_row(targets: list[tuple[str, Column]], index: Column) -> Column:
     return _let(F.struct(F.array(*texts).alias("targets"), index.alias("index")), look)
 
 
-def _by_join(log: DataFrame, text: Column, kind: str, tests: DataFrame, out: str) -> DataFrame:
-    """The distinct texts' grams meet the anchors; rows meet their text's answer by its hash."""
-    anchors, lengths = anchored(tests.where(F.col("kind") == kind)), F.array(*map(F.lit, range(GRAM + 1)))
-    log = log.withColumn("_key", F.unhex(F.sha2(text, 256)))
-    texts = log.select("_key", text.alias("_text")).where(F.col("_text").isNotNull()).groupBy("_key").agg(F.first("_text").alias("_text"))
-    grams = texts.select("_key", "_text", F.explode(_beginnings(_grams(F.col("_text")), lengths)).alias("gram"))
-    hits = grams.join(anchors, "gram").where(_passes(F.col("_text"), F.lit(kind), F.struct("kind", "needle", "regex"))).groupBy("_key").agg(F.min("hit").alias(out))
-    return log.join(hits, "_key", "left").drop("_key")
+def _least(hits: DataFrame, hit: str = "hit") -> Column:
+    """The least hit of a group; of ids alone by a sum that needs no sort. A null id is the least one."""
+    if len(hits.schema[hit].dataType) > 1:
+        return F.min(hit)
+    number = F.col(f"{hit}.id")
+    return F.struct(F.when(F.bool_and(number.isNotNull()), F.min(number)).alias("id"))
+
+
+def _hits(texts: DataFrame, kind: str, tests: DataFrame) -> tuple[DataFrame, Column]:
+    """(key, hit) of the texts (key, bytes), and a test of bytes: a text without it has no hit.
+
+    Stretches of texts that may be needles meet them in an equi-join. Texts are taken once more only for tests that a needle does not settle.
+    """
+    tests = tests.where(F.col("kind") == kind)
+    tests = tests.groupBy("needle", "regex").agg(_least(tests).alias("hit")).withColumn("piece", F.substring("needle", 1, WHOLE).cast("binary"))
+    look = F.col("regex").isNotNull() | (F.length("needle") > WHOLE)
+    marks = piece_marks(tests.select("piece", look.alias("look")))
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        found = np.zeros(len(texts), bool)
+        for rows, _, _ in shared.value.places(*text_bytes(texts)):
+            found[rows] = True
+        return pa.array(found)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, (data, ends) = batch.column(0), text_bytes(batch.column(1))
+            for rows, begins, sizes in shared.value.places(data, ends):
+                once = pa.table([rows, stretches(data, begins, sizes)], ["row", "piece"]).group_by(["row", "piece"], use_threads=False).aggregate([])
+                yield pa.RecordBatch.from_arrays([keys.take(once["row"].combine_chunks()), once["piece"].combine_chunks()], ["key", "piece"])
+
+    texts = texts.where("bytes IS NOT NULL")
+    hits = texts.mapInArrow(cut, "key binary, piece binary").distinct().join(tests, "piece")
+    if marks.look:
+        again = texts.join(hits.where(look).select("key").distinct(), "key", "left_semi").distinct().select("key", F.col("bytes").cast("string").alias("low"))
+        passes = _passes(F.col("low"), F.lit(kind), F.struct(F.lit(kind).alias("kind"), "needle", "regex"))
+        hits = hits.join(again, "key", "left").where(~look | passes)
+    return hits.groupBy("key").agg(_least(hits).alias("hit")), holds
+
+
+def _by_join(log: DataFrame, targets: dict[str, tuple[str, Column]], tests: DataFrame) -> DataFrame:
+    """Rows of texts that may have a hit meet their text's by its hash; all others stay where they are."""
+    kept, some = log.columns, F.lit(False)
+    for i, (_, text) in enumerate(targets.values()):
+        log = log.withColumn(f"_bytes{i}", text.cast("binary"))
+    found = {}
+    for i, (out, (kind, _)) in enumerate(targets.items()):
+        data = F.col(f"_bytes{i}")
+        key = F.substring(F.unhex(F.sha2(data, 256)), 1, KEY_BYTES)
+        hits, holds = _hits(log.select(key.alias("key"), data.alias("bytes")), kind, tests)
+        found[out], some = (key, hits.select(F.col("key").alias(f"_key{i}"), F.col("hit").alias(out))), some | holds(data)
+    marked = log.withColumn("_some", some)
+    met, rest = marked.where("_some"), marked.where("NOT _some").select(*kept, *(F.lit(None).cast(hits.schema[out].dataType).alias(out) for out, (_, hits) in found.items()))
+    for key, hits in found.values():
+        met = met.join(hits, key == F.col(hits.columns[0]), "left")
+    return met.select(*kept, *targets).unionByName(rest)
 
 
 def first_hits(log: DataFrame, targets: dict[str, tuple[str, Column]], tests: Tests) -> DataFrame:
@@ -187,12 +245,11 @@ def first_hits(log: DataFrame, targets: dict[str, tuple[str, Column]], tests: Te
 
     Rows may repeat; null texts pass none.
     """
-    if (tests.sizes.agg(F.sum("bytes")).first()[0] or 0) > INDEX_BYTES:
+    enough = tests.sizes.limit(max(INDEX_BYTES, 0) // TEST_BYTES + 1)  # so many take more than INDEX_BYTES, whatever the rest
+    if (enough.agg(F.sum("bytes")).first()[0] or 0) > INDEX_BYTES:
         if log.isStreaming:
             raise ValueError("more tests than a stream's rows can hold; call this from foreachBatch")
-        for out, (kind, text) in targets.items():
-            log = _by_join(log, text, kind, tests.rows, out)
-        return log
+        return _by_join(log, targets, tests.rows)
     # A subquery may not stand in a lambda; as a column that is used once it is put there by the optimizer.
     kept = log.columns
     found = log.withColumn("_index", _index(tests.rows)).select(*kept, _in_row(list(targets.values()), F.col("_index")).alias("_found"))
