@@ -34,9 +34,9 @@ def screen_sql(
     Adds ``stage, deny_reason, decision``; the log carries ``database, username, table, query,
     source_ip``.
     """
-    df = match_blocked(log, rules)
+    df = match_threats(log, indicators, policy)  # first, as it may take its input more than once
+    df = match_blocked(df, rules)
     df = classify_queries(df)
-    df = match_threats(df, indicators, policy)
     df = df.withColumn("is_write", is_write_query(F.col("query")))
     df = authorize(df, permissions)
     decided = _decide(
