@@ -12,6 +12,7 @@ A file is a Parquet file of blocks, each of whole documents in ascending order o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ class LibraryVocabulary(Vocabulary):
         return [token.id for token in self.model.tokenize("".join([letters[b] for b in raw]))]
 
 
+@lru_cache(maxsize=1)
+def library_vocabulary(path: str) -> LibraryVocabulary:
+    """One for all tasks of a worker, which thus find its bounded caches filled."""
+    return LibraryVocabulary(path)
+
+
 def encode_levels(tokens: np.ndarray) -> list[dict[str, bytes]]:
     """The levels of unsigned 32-bit ids; ids of any size below 2**32."""
     levels, rest = [], tokens
@@ -110,7 +117,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     ranged = texts.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, part, number, before = LibraryVocabulary(path), TaskContext.get().partitionId(), 0, 0
+        vocabulary, part, number, before = library_vocabulary(path), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
 
         def block(ids: list, texts: list[bytes]) -> pa.RecordBatch:
