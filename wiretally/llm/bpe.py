@@ -16,6 +16,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ from wiretally.llm.common import keyed_texts, record_batch, texts_of
 LONG = 200
 CACHED = 500_000  # pieces in each of two generations that a worker keeps
 CACHED_WORDS = 300_000  # words, likewise
+CACHED_BYTES = 96 << 20  # of a generation of pieces, however long they are; ordinary ones reach their number first
+CACHED_WORD_BYTES = 48 << 20  # of a generation of words, likewise
+ENTRY = 48  # bytes for an entry's place in a dictionary, about
 OUT_BYTES = 8 << 20
 NONE = 1 << 40
 
@@ -79,8 +83,8 @@ class Vocabulary:
         self.spaces = re.compile(f"[{SPACE}]+")
         self.unsure = re.compile(f"[^{SURE}]")
         self.path, self.library = path, None
-        self.pieces, self.old_pieces = {}, {}
-        self.seen, self.old_seen = {}, {}
+        self.pieces, self.old_pieces, self.piece_bytes = {}, {}, 0
+        self.seen, self.old_seen, self.seen_bytes = {}, {}, 0
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian 32-bit integers."""
@@ -125,9 +129,10 @@ class Vocabulary:
             words = (piece,) if piece.isalpha() else self.words.findall(piece)
             ids = b"".join([self.seen.get(word) or self._word(word) for word in words])
         if len(piece) <= LONG:
-            if len(self.pieces) >= CACHED:
-                self.pieces, self.old_pieces = {}, self.pieces
+            if len(self.pieces) >= CACHED or self.piece_bytes >= CACHED_BYTES:
+                self.pieces, self.old_pieces, self.piece_bytes = {}, self.pieces, 0
             self.pieces[piece] = ids
+            self.piece_bytes += getsizeof(piece) + getsizeof(ids) + ENTRY
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -135,9 +140,10 @@ class Vocabulary:
         if ids is None:
             ids = array("I", self.merge_word(word.encode())).tobytes()
         if len(word) <= LONG:
-            if len(self.seen) >= CACHED_WORDS:
-                self.seen, self.old_seen = {}, self.seen
+            if len(self.seen) >= CACHED_WORDS or self.seen_bytes >= CACHED_WORD_BYTES:
+                self.seen, self.old_seen, self.seen_bytes = {}, self.seen, 0
             self.seen[word] = ids
+            self.seen_bytes += getsizeof(word) + getsizeof(ids) + ENTRY
         return ids
 
     def merge_word(self, raw: bytes) -> list[int]:

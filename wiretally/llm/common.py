@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS = 64  # of a batch that are Python strings at once
+
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a temporary one only on a local master."""
@@ -44,6 +46,8 @@ def record_batch(schema: pa.Schema, *columns: Iterable) -> pa.RecordBatch:
 
 
 def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
-    """(doc_id, text) of a batch, null texts as empty ones."""
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield doc_id, text or ""
+    """(doc_id, text) of a batch, null texts as empty ones; few rows at a time become Python strings."""
+    for at in range(0, batch.num_rows, ROWS):
+        few = batch.slice(at, ROWS)
+        for doc_id, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+            yield doc_id, text or ""
