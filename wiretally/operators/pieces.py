@@ -16,21 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 26  # 8 MB
+ROOM = 32  # bits of a table that its size follows, for each needle
 STEPS = (3, 5, 8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 700)
 PLACES = 1 << 18  # taken at a time, so memory does not follow the texts' length
 SIZE, LOOK = -1, -(1 << 30)  # words that are none of the table: a size of needles below -1, a needle to be looked at again
 
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _WHOLE, _BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
-_MASK = np.uint64((1 << BITS) - 1)
 
 
-def _probes(hashes: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def _probes(hashes: np.ndarray, salt: np.uint64, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a table of 2 ** ``bits`` bits."""
     x = hashes ^ salt
     x ^= x >> np.uint64(29)
     x *= _MIX
     x ^= x >> np.uint64(32)
-    return (x & _MASK).view(np.int64), (x >> np.uint64(64 - BITS)).view(np.int64)
+    return (x & np.uint64((1 << bits) - 1)).view(np.int64), (x >> np.uint64(64 - bits)).view(np.int64)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ class Marks:
     look: bool
 
     def _known(self, hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
-        first, second = _probes(hashes, salt)
+        first, second = _probes(hashes, salt, len(self.table).bit_length() + 2)
         bit = lambda at: (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         passed = np.flatnonzero(bit(first))
         return passed[bit(second[passed]).astype(bool)]
@@ -100,31 +101,45 @@ class Marks:
                 yield tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
+def _put(table: np.ndarray, needles: pa.Array) -> set[int]:
+    """Enters needles into a table of one byte a bit; their sizes in bytes."""
+    bits, sizes = len(table).bit_length() - 1, set()
+
+    def put(hashes: np.ndarray, salt: np.uint64) -> None:
+        for at in _probes(hashes, salt, bits):
+            table[at] = True
+
+    data, ends = text_bytes(needles)
+    at = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]
+    left, hashes, size = ends - at, np.zeros(len(at), np.uint64), 0
+    while len(at):
+        whole = left == size
+        if whole.any():
+            sizes.add(size)
+            put(hashes[whole], _WHOLE)
+            at, left, hashes = at[~whole], left[~whole], hashes[~whole]
+        if size in STEPS:
+            put(hashes, _BEGIN)
+        hashes = hashes * _FACTOR + data[at + size] + np.uint64(1)
+        size += 1
+    return sizes
+
+
+def marks_of(needles: pa.Array) -> Marks:
+    """The marks of needles (bytes) at hand; the table's size follows their number."""
+    table = np.zeros(1 << min(BITS, max(10, (ROOM * len(needles)).bit_length())), bool)
+    sizes = _put(table, needles)
+    return Marks(np.packbits(table, bitorder="little"), tuple(sorted(sizes)), False)
+
+
 def piece_marks(needles: DataFrame) -> Marks:
     """The marks of needles ``piece`` (bytes) with ``look``, made where these lie; the driver gets a table of fixed size and the sizes."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sizes, look = np.zeros(1 << BITS, bool), set(), False
-
-        def put(hashes: np.ndarray, salt: np.uint64) -> None:
-            for at in _probes(hashes, salt):
-                table[at] = True
-
         for batch in batches:
-            data, ends = text_bytes(batch.column(0))
             look = look or bool(np.any(batch.column(1).to_numpy(zero_copy_only=False)))
-            at = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]
-            left, hashes, size = ends - at, np.zeros(len(at), np.uint64), 0
-            while len(at):
-                whole = left == size
-                if whole.any():
-                    sizes.add(size)
-                    put(hashes[whole], _WHOLE)
-                    at, left, hashes = at[~whole], left[~whole], hashes[~whole]
-                if size in STEPS:
-                    put(hashes, _BEGIN)
-                hashes = hashes * _FACTOR + data[at + size] + np.uint64(1)
-                size += 1
+            sizes |= _put(table, batch.column(0))
         words = np.packbits(table, bitorder="little").view(np.int64)
         filled = np.flatnonzero(words)
         extra = [SIZE - size for size in sizes] + [LOOK] * look

@@ -5,8 +5,9 @@ regex is a literal that each of its matches must contain. Every needle is anchor
 its own 4-grams among the anchors; only tests found so are tried. Of those passed, the least hit (a struct that begins with an id) is the answer.
 
 Anchors of up to ``INDEX_BYTES`` are one value, an array of hash buckets, which each row looks into: no shuffle, no join, and streams take it as tables do.
-More tests meet, in an equi-join on whole needles, those stretches of the texts that a bit table of fixed size lets pass (``pieces``); no text travels with them.
-Both give the same rows.
+Of more tests, those of the least hits (``FIRST``, in as many bytes) are one list that every row looks into: a text that passes one of them has its least hit, as
+all other tests have greater ones. Texts that pass none meet the others, slice after slice by ascending hits, until they pass one: stretches of them that a bit table
+of fixed size lets pass (``pieces``) are joined with whole needles; no text travels with them. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiretally.operators.pieces import piece_marks, stretches, text_bytes
+from wiretally.operators.pieces import marks_of, piece_marks, stretches, text_bytes
+from wiretally.sources.folders import new_folder, remove
 
 try:  # the parser of the standard library, by its place in this Python
     from re import _constants as ops
@@ -37,6 +41,11 @@ BUCKETS = 1 << 13
 TEST_BYTES = 64  # that a test takes beside its text and hit
 WHOLE = 256  # characters of a needle that its join is on
 KEY_BYTES = 16  # of a text's SHA-256
+FIRST = 1 << 16  # tests of the least hits that a row looks into, at most
+FIRST_ROWS = 1 << 20  # rows of tests, repeated ones too, among which these are looked for
+HALVED = 40  # times that the rows of tests may be halved to come down to those
+SLICE = 1 << 22  # tests that meet texts at once; of them the bit table is filled to about a quarter
+SEEN = 1 << 18  # keys of texts that a task keeps, so repeated texts give their stretches once
 CHOICES = 16  # literals of which a regex needs one, at most; beyond it, it is tried on every text
 
 
@@ -188,15 +197,63 @@ def _least(hits: DataFrame, hit: str = "hit") -> Column:
     return F.struct(F.when(F.bool_and(number.isNotNull()), F.min(number)).alias("id"))
 
 
-def _hits(texts: DataFrame, kind: str, tests: DataFrame) -> tuple[DataFrame, Column]:
+def _own(tests: DataFrame) -> DataFrame:
+    """One row for tests that differ by their hits only."""
+    return tests.groupBy("needle", "regex").agg(_least(tests).alias("hit"))
+
+
+def _look() -> Column:
+    """Whether a text is needed to tell if a test passes, as a stretch does not tell all."""
+    return F.col("regex").isNotNull() | (F.length("needle") > WHOLE)
+
+
+def _up_to(greatest: int | None) -> Column:
+    """Tests of hits with this id at most; a null id is the least one."""
+    return F.lit(True) if greatest is None else F.col("hit.id").isNull() | (F.col("hit.id") <= greatest)
+
+
+def _counted(tests: DataFrame) -> dict[tuple[str, bool], tuple[int, list]]:
+    """For each kind, of tests that need a text and of those that do not: how many rows, and the id that a half, a quarter, ... of them do not exceed."""
+    halves = F.percentile_approx("hit.id", [0.5**k for k in range(HALVED)])
+    rows = tests.groupBy("kind", _look().alias("look")).agg(F.count("*").alias("n"), halves.alias("ids")).collect()
+    return {(row["kind"], row["look"]): (row["n"], row["ids"] or [None] * HALVED) for row in rows}
+
+
+def _first(tests: DataFrame, count: int, ids: list) -> tuple[pa.Table, bool]:
+    """Of tests that stretches settle, those of the least hits, ascending (needle, hit), and whether these are all. All others have hits as great or greater."""
+    halved = next((k for k in range(HALVED) if count <= FIRST_ROWS << k), HALVED - 1)
+    few = tests.where(_up_to(ids[halved] if halved else None))
+    few = few.groupBy("needle").agg(_least(few).alias("hit"))
+    distinct, most = few.agg(F.count("*"), F.max(F.octet_length("needle") + F.octet_length(F.to_json("hit")) + TEST_BYTES)).first()
+    taken = max(0, min(FIRST, INDEX_BYTES // (most or 1)))
+    least = few.orderBy("hit").limit(taken).select(F.col("needle").cast("binary").alias("needle"), "hit")
+    return least.toArrow(), not halved and distinct <= taken
+
+
+def _first_hit(spark, first: pa.Table, hit: T.DataType) -> Callable[[Column], Column]:
+    """The hit of the first of the listed needles that a text (bytes) holds."""
+    needles, hits = (first[name].combine_chunks() for name in ("needle", "hit"))
+    shared = spark.sparkContext.broadcast((marks_of(needles), needles, hits))
+
+    @F.arrow_udf(hit)
+    def piece_hit(texts: pa.Array) -> pa.Array:
+        marks, needles, hits = shared.value
+        least, (data, ends) = np.full(len(texts), len(needles)), text_bytes(texts)
+        for rows, begins, sizes in marks.places(data, ends):
+            found = pc.index_in(stretches(data, begins, sizes), value_set=needles)
+            np.minimum.at(least, rows, found.fill_null(len(needles)).to_numpy())
+        return hits.take(pa.array(least, mask=least == len(needles)))
+
+    return piece_hit.asNondeterministic()  # so it is not computed once more for a filter
+
+
+def _hits(texts: DataFrame, kind: str, tests: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
     """(key, hit) of the texts (key, bytes), and a test of bytes: a text without it has no hit.
 
     Stretches of texts that may be needles meet them in an equi-join. Texts are taken once more only for tests that a needle does not settle.
     """
-    tests = tests.where(F.col("kind") == kind)
-    tests = tests.groupBy("needle", "regex").agg(_least(tests).alias("hit")).withColumn("piece", F.substring("needle", 1, WHOLE).cast("binary"))
-    look = F.col("regex").isNotNull() | (F.length("needle") > WHOLE)
-    marks = piece_marks(tests.select("piece", look.alias("look")))
+    tests = _own(tests).withColumn("piece", F.substring("needle", 1, WHOLE).cast("binary"))
+    marks = piece_marks(tests.select("piece", _look().alias("look")))
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     @F.arrow_udf("boolean")
@@ -207,37 +264,93 @@ def _hits(texts: DataFrame, kind: str, tests: DataFrame) -> tuple[DataFrame, Col
         return pa.array(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            fresh = [i for i, key in enumerate(batch.column(0).to_pylist()) if not (key in seen or seen.add(key))]
+            if len(seen) > SEEN:
+                seen.clear()
+            if len(fresh) < batch.num_rows:
+                batch = batch.take(pa.array(fresh, pa.int64()))
             keys, (data, ends) = batch.column(0), text_bytes(batch.column(1))
             for rows, begins, sizes in shared.value.places(data, ends):
                 once = pa.table([rows, stretches(data, begins, sizes)], ["row", "piece"]).group_by(["row", "piece"], use_threads=False).aggregate([])
                 yield pa.RecordBatch.from_arrays([keys.take(once["row"].combine_chunks()), once["piece"].combine_chunks()], ["key", "piece"])
 
-    texts = texts.where("bytes IS NOT NULL")
-    hits = texts.mapInArrow(cut, "key binary, piece binary").distinct().join(tests, "piece")
+    found = texts.mapInArrow(cut, "key binary, piece binary")
+    hits = (found.distinct() if marks.look else found).join(tests, "piece")
     if marks.look:
-        again = texts.join(hits.where(look).select("key").distinct(), "key", "left_semi").distinct().select("key", F.col("bytes").cast("string").alias("low"))
+        again = texts.join(hits.where(_look()).select("key").distinct(), "key", "left_semi").distinct().select("key", F.col("bytes").cast("string").alias("low"))
         passes = _passes(F.col("low"), F.lit(kind), F.struct(F.lit(kind).alias("kind"), "needle", "regex"))
-        hits = hits.join(again, "key", "left").where(~look | passes)
+        hits = hits.join(again, "key", "left").where(~_look() | passes)
     return hits.groupBy("key").agg(_least(hits).alias("hit")), holds
 
 
+def _sliced_hits(texts: DataFrame, kind: str, tests: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """As ``_hits``, of more tests: slice after slice by ascending ids, each for the texts that have no hit yet. The hits are a work table."""
+    spark, folder = texts.sparkSession, new_folder(texts.sparkSession)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    tests = written(_own(tests), "tests")
+    count, rank, ranks = tests.count(), 4 * FIRST, []
+    while rank < count:
+        ranks.append(rank / count)
+        rank += min(3 * rank, SLICE)
+    ends = tests.agg(F.percentile_approx("hit.id", ranks, 100_000)).first()[0] if ranks else None
+    ends, found, before = [*sorted(set(ends or [])), None], [], F.lit(False)
+    for i, end in enumerate(ends):
+        hits, _ = _hits(texts, kind, tests.where(_up_to(end) & ~before))
+        found.append(written(hits, f"hits{i}"))
+        if end is None:
+            break
+        before = _up_to(end)
+        texts = written(texts.join(found[-1], "key", "left_anti"), f"texts{i}")
+        if texts.isEmpty():
+            break
+    for name in ("tests", *(f"texts{i}" for i in range(len(ends)))):
+        remove(spark, f"{folder}/{name}")
+    return reduce(DataFrame.unionByName, found), lambda data: F.lit(True)
+
+
 def _by_join(log: DataFrame, targets: dict[str, tuple[str, Column]], tests: DataFrame) -> DataFrame:
-    """Rows of texts that may have a hit meet their text's by its hash; all others stay where they are."""
-    kept, some = log.columns, F.lit(False)
+    """Rows of texts that may have a hit beyond the first tests meet their text's by its hash; all others stay where they are."""
+    kept, hit, some, met = log.columns, tests.schema["hit"].dataType, F.lit(False), {}
     for i, (_, text) in enumerate(targets.values()):
         log = log.withColumn(f"_bytes{i}", text.cast("binary"))
-    found = {}
-    for i, (out, (kind, _)) in enumerate(targets.items()):
-        data = F.col(f"_bytes{i}")
+    marked, counted = log, _counted(tests)
+    for i, (kind, _) in enumerate(targets.values()):
+        data, first, settled = F.col(f"_bytes{i}"), F.col(f"_first{i}"), False
         key = F.substring(F.unhex(F.sha2(data, 256)), 1, KEY_BYTES)
-        hits, holds = _hits(log.select(key.alias("key"), data.alias("bytes")), kind, tests)
-        found[out], some = (key, hits.select(F.col("key").alias(f"_key{i}"), F.col("hit").alias(out))), some | holds(data)
-    marked = log.withColumn("_some", some)
-    met, rest = marked.where("_some"), marked.where("NOT _some").select(*kept, *(F.lit(None).cast(hits.schema[out].dataType).alias(out) for out, (_, hits) in found.items()))
-    for key, hits in found.values():
-        met = met.join(hits, key == F.col(hits.columns[0]), "left")
-    return met.select(*kept, *targets).unionByName(rest)
+        texts = left = log.where(data.isNotNull()).select(key.alias("key"), data.alias("bytes"))
+        own = tests.where(F.col("kind") == kind).select("needle", "regex", "hit")
+        plain, look = own.where(~_look()), own.where(_look())
+        found = F.lit(None).cast(hit)
+        if (kind, False) in counted and INDEX_BYTES >= TEST_BYTES:
+            listed, settled = _first(plain, *counted[kind, False])
+            if listed.num_rows:
+                listed = _first_hit(log.sparkSession, listed, hit)
+                found, left = listed(data), texts.where(listed(F.col("bytes")).isNull())
+                settled = settled or left.isEmpty()
+        marked, parts = marked.withColumn(f"_first{i}", found), []
+        for asked, others, needs, wanted in ((left, plain, False, first.isNull()), (texts, look, True, F.lit(True))):
+            if (kind, needs) in counted and (needs or not settled):
+                hits, holds = (_hits if counted[kind, needs][0] <= SLICE else _sliced_hits)(asked, kind, others)
+                parts.append(hits)
+                some = some | (wanted & data.isNotNull() & holds(F.when(wanted, data)))
+        if parts:
+            hits = reduce(DataFrame.unionByName, parts)
+            met[i] = key, hits.groupBy(F.col("key").alias(f"_hit_key{i}")).agg(_least(hits).alias(f"_hit{i}"))
+    firsts = [F.col(f"_first{i}").alias(out) for i, out in enumerate(targets)]
+    if not met:
+        return marked.select(*kept, *firsts)
+    marked = marked.withColumn("_some", some)
+    joined = marked.where("_some").select(*kept, *(f"_first{i}" for i in range(len(targets))), *(key.alias(f"_key{i}") for i, (key, _) in met.items()))
+    for i, (_, hits) in met.items():
+        joined = joined.join(hits, F.col(f"_key{i}") == F.col(f"_hit_key{i}"), "left")
+    least = [F.least(f"_first{i}", f"_hit{i}").alias(out) if i in met else F.col(f"_first{i}").alias(out) for i, out in enumerate(targets)]
+    return joined.select(*kept, *least).unionByName(marked.where("NOT _some").select(*kept, *firsts))
 
 
 def first_hits(log: DataFrame, targets: dict[str, tuple[str, Column]], tests: Tests) -> DataFrame:
