@@ -44,6 +44,7 @@ KEY_BYTES = 16  # of a text's SHA-256
 FIRST = 1 << 16  # tests of the least hits that a row looks into, at most
 FIRST_ROWS = 1 << 20  # rows of tests, repeated ones too, among which these are looked for
 HALVED = 40  # times that the rows of tests may be halved to come down to those
+WORTH = 8  # of all texts' bytes, the part that the first tests must settle for rows to look into them, where one join does without
 SLICE = 1 << 22  # tests that meet texts at once; of them the bit table is filled to about a quarter
 SEEN = 1 << 18  # keys of texts that a task keeps, so repeated texts give their stretches once
 CHOICES = 16  # literals of which a regex needs one, at most; beyond it, it is tried on every text
@@ -330,9 +331,12 @@ def _by_join(log: DataFrame, targets: dict[str, tuple[str, Column]], tests: Data
         if (kind, False) in counted and INDEX_BYTES >= TEST_BYTES:
             listed, settled = _first(plain, *counted[kind, False])
             if listed.num_rows:
-                listed = _first_hit(log.sparkSession, listed, hit)
-                found, left = listed(data), texts.where(listed(F.col("bytes")).isNull())
-                settled = settled or left.isEmpty()
+                listed, size = _first_hit(log.sparkSession, listed, hit), F.octet_length("bytes")
+                looked = texts.select(size.alias("n"), listed(F.col("bytes")).isNull().alias("open"))
+                every, unsettled = (n or 0 for n in looked.agg(F.sum("n"), F.sum(F.when(F.col("open"), F.col("n")))).first())
+                settled = settled or not unsettled
+                if settled or counted[kind, False][0] > SLICE or (every - unsettled) * WORTH >= every:
+                    found, left = listed(data), texts.where(size > 0).where(listed(F.col("bytes")).isNull())
         marked, parts = marked.withColumn(f"_first{i}", found), []
         for asked, others, needs, wanted in ((left, plain, False, first.isNull()), (texts, look, True, F.lit(True))):
             if (kind, needs) in counted and (needs or not settled):
